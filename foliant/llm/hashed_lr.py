@@ -150,6 +150,6 @@ def train(
                 m.slope, m.shift = platt(np.array([part.margin(i, v) for _, i, v in held]), np.array([y for y, _, _ in held]))
         yield pa.RecordBatch.from_pydict({"w": [m.w.tobytes()], "s": [[m.bias, m.slope, m.shift]]})
 
-    got = rows.coalesce(1).mapInArrow(fit, "w binary, s array<double>").collect()  # one row
+    got = rows.repartition(1).mapInArrow(fit, "w binary, s array<double>").collect()  # one row; at most max_rows go in
     w, s = got[0]["w"], got[0]["s"]
     return Model(np.frombuffer(bytes(w), np.float32), *s)
