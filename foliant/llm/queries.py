@@ -6,9 +6,10 @@ from foliant.llm import op2_decontaminate, op3_warc
 from foliant.llm.op1_quality import op1_quality_classifier
 from foliant.llm.op4_rules import op4_quality_rules
 from foliant.llm.op6_bpe import op6_bpe
+from foliant.llm.op7_toxicity import op7_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_decontaminate.op2_decontamination, op3_warc.op3_warc, op4_quality_rules, op6_bpe)
+    for f in (op1_quality_classifier, op2_decontaminate.op2_decontamination, op3_warc.op3_warc, op4_quality_rules, op6_bpe, op7_toxicity)
 }
 ORACLE: dict[str, str] = {"op2_decontamination": op2_decontaminate.SQL, "op3_warc": op3_warc.SQL}
