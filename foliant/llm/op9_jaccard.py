@@ -4,7 +4,7 @@ A text's set holds the distinct shingles of N lower-cased words (fewer words: th
 equal sets form one class, named by a 64-bit hash of the set, and only classes are joined. Classes that share
 a signature (partenum.py) are candidates. They are not paired off: first each class is tried against the
 smallest one of each signature, which finds nearly all links; then, where a signature's classes are still in
-several components, those of different components are compared, exactly, by size and by a 512-bit parity
+several components, those of different components are compared, exactly, by size and by a 1024-bit parity
 sketch whose distance never exceeds the sets' difference. What these bounds leave is verified on the sets.
 So no link between different texts is lost, and candidates that are connected already cost nothing.
 
@@ -28,7 +28,8 @@ from foliant.llm.partenum import signatures
 
 N, PERCENT = 5, 80
 BUCKET_ROWS = 1_000_000  # signatures that one task groups, 14 bytes each
-SKETCH = 512
+SKETCH = 1024
+KEPT = 6  # bytes of a shingle's hash that verification compares
 KEYS_SENT = 4_000_000  # 64-bit keys that may be broadcast; beyond, a join picks the sets
 BLOCK = 512
 
@@ -45,7 +46,7 @@ def set_key(s: np.ndarray) -> int:
 
 def sketch(s: np.ndarray) -> bytes:
     """The parity of the number of features in each of SKETCH cells."""
-    return np.packbits((np.bincount((mixed(s) >> np.uint64(55)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((mixed(s) >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def as_words(sketches: list[bytes]) -> np.ndarray:
 
 
 def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches allow."""
+    """Pairs (a, b, bits) that sizes and sketches allow; bits is the sketches' distance."""
     of = lambda x: info.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,17 +165,17 @@ def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
             if b.num_rows:
                 bits = np.bitwise_count(as_words(b.column("s_a").to_pylist()) ^ as_words(b.column("s_b").to_pylist())).sum(1).astype(np.int64)
                 ok = near_enough(bits, b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
-                yield b.select(["a", "b"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(bits)], names=["a", "b", "bits"]).filter(pa.array(ok))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long, bits long")
 
 
 def apart(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
     """Plausible pairs of classes that share a signature and are in different components so far."""
-    known = info.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("key", "n", "sketch", F.coalesce("v", "key").alias("root"))
     every = members.select("sig", F.col("b").alias("key")).union(members.select("sig", F.col("a").alias("key")).distinct())
-    rows = every.join(known, "key")
-    mixed_sigs = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
+    rooted = every.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("sig", "key", F.coalesce("v", "key").alias("root"))
+    mixed_sigs = rooted.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
+    rows = rooted.join(mixed_sigs, "sig").join(info.select("key", "n", "sketch"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(t: pa.Table) -> np.ndarray:
@@ -215,59 +216,58 @@ def apart(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) ->
         if found:
             yield emitted(found)
 
-    dealt = rows.join(mixed_sigs, "sig").repartition(parts, "sig").sortWithinPartitions("sig")
+    dealt = rows.repartition(parts, "sig").sortWithinPartitions("sig")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles) of the classes whose key is in ``keys``, each once."""
-    count = keys.count()
-    wanted = np.sort(np.array([r[0] for r in keys.toLocalIterator()], np.int64)) if count <= KEYS_SENT else None
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # KEYS_SENT bounds it
+def sets_of(docs: DataFrame, keys: DataFrame, info: DataFrame) -> DataFrame:
+    """(key, shingles) of the classes whose key is in ``keys``, from the documents that name them.
+
+    A document that shares its id with others may give a class twice, which does no harm.
+    """
+    wanted = info.join(keys, "key").select(F.col("least").alias("_id"), F.col("key").alias("_key")).dropDuplicates(["_key"])
+    wanted = stored(wanted, "keys")
+    ids = wanted.select("_id").distinct()
+    few = ids.count() <= KEYS_SENT
+    named = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, want = hash_cache(), set(), sent.value
+        cache = hash_cache()
         for b in batches:
-            rows = []
-            for t in texts(b, "text"):
-                s = shingles(t or b"", cache)
-                if not len(s):
-                    continue
-                k = set_key(s)
-                if want is not None:
-                    i = np.searchsorted(want, k)
-                    if i == len(want) or want[i] != k or k in seen:
-                        continue
-                    seen.add(k)
-                rows.append((k, s.tobytes()))
+            rows = [(set_key(s), planes(s, KEPT)) for s in (shingles(t or b"", cache) for t in texts(b, "text")) if len(s)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["key", "shingles"])
 
-    got = docs.select("text").mapInArrow(run, "key long, shingles binary")
-    got = got if wanted is not None else got.join(keys, "key", "left_semi")
-    return got.groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return named.select("text").mapInArrow(run, "key long, shingles binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
     """The pairs (a, b), as links (u, v), whose sets are similar."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = stored(sets_of(docs, keys), "sets")
+    sets = stored(sets_of(docs, keys, info), "sets")
     of = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column("s_a").to_pylist(), b.column("s_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = unplanes(x, KEPT), unplanes(y, KEPT)
+                both = len(np.intersect1d(x, y))
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    links = stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
+    links = stored(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
     discard(sets)
     return links
 
 
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs whose ends are in different components."""
+    of = lambda x: roots.select(F.col("u").alias(x), F.col("v").alias(f"r_{x}"))
+    tagged = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return tagged.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select(pairs.columns)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key and component_id of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -278,17 +278,23 @@ def join(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-total // (2 * BUCKET_ROWS)))  # about one signature for two shingles
     shared = stored(grouped(signed(docs, buckets), buckets), "shared")
     pairs = stored(plausible(shared.select("a", "b").distinct(), info), "pairs")
-    links = verified(docs, pairs)
+    # first the nearest candidate of each class, then what these links have left in different components
+    best = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    links = verified(docs, best, info)
     roots = components(links)
+    left = stored(between(pairs, roots).join(best, ["a", "b"], "left_anti"), "pairs")
+    if not left.isEmpty():
+        links = stored(links.union(verified(docs, left, info)), "links")
+        roots = components(links)
     more = stored(apart(shared.where("sig is not null"), info, roots, buckets), "pairs")
-    more = more.join(pairs, ["a", "b"], "left_anti")
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        roots = components(links.union(verified(docs, more)))
+        roots = components(links.union(verified(docs, more, info)))
     discard(shared)
-    classes = info.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("key", "least", F.coalesce("v", "key").alias("root"), "copies", F.col("v").isNotNull().alias("moved"))
+    classes = info.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("key", "least", F.coalesce("v", "key").alias("root"), "copies")
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
     named = classes.join(named, "root").select("key", "component_id")
-    out = rows.join(named, "key", "left")  # a class with very many copies is split by the skew join
+    out = rows.drop("sketch").join(named, "key", "left")  # a class with very many copies is split by the skew join
     return out.select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
