@@ -147,7 +147,7 @@ def _averaged(parts: DataFrame) -> np.ndarray | None:
     """Token-weighted mean of (id, slice, vector, weight) rows, summed FAN_IN at a time in executors."""
     many = parts.select("id").distinct().count()
 
-    def summed(key, t: pa.Table) -> pa.Table:
+    def summed(key, t):
         total, weight = None, 0.0
         for v, w in zip(t.column("vector").to_pylist(), t.column("weight").to_pylist(), strict=True):
             v = np.frombuffer(v, np.float64)

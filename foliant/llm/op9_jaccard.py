@@ -286,10 +286,14 @@ def join(docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         links = stored(links.union(verified(docs, left, info)), "links")
         roots = components(links)
-    more = stored(apart(shared.where("sig is not null"), info, roots, buckets), "pairs")
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        roots = components(links.union(verified(docs, more, info)))
+    members = shared.where("sig is not null")
+    for share in (16, 1):  # links that some signatures show spare the exact pass most of its comparisons
+        more = apart(members.where(F.pmod("sig", F.lit(share)) == 0), info, roots, buckets)
+        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = stored(links.union(verified(docs, more, info)), "links")
+            roots = components(links)
+            pairs = pairs.select("a", "b").union(more)
     discard(shared)
     classes = info.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("key", "least", F.coalesce("v", "key").alias("root"), "copies")
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
