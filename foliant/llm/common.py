@@ -81,7 +81,7 @@ def crc_mod(key: object, n: int) -> int:
 class WordCache(dict):
     """word -> value; computes what is missing and keeps at most ``cap`` words."""
 
-    def __init__(self, compute, cap: int = 400_000):
+    def __init__(self, compute, cap: int = 200_000):
         super().__init__()
         self.compute, self.cap = compute, cap
 
@@ -96,7 +96,7 @@ def word_hashes(words: list[bytes], cache: WordCache) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def hash_cache(cap: int = 400_000) -> WordCache:
+def hash_cache(cap: int = 200_000) -> WordCache:
     return WordCache(xxhash.xxh3_64_intdigest, cap)
 
 

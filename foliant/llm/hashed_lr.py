@@ -39,7 +39,7 @@ def unit(idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets with 1 + log(count), scaled to length one."""
     if not len(idx):
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    u, n = np.unique(idx, return_counts=True)
+    u, n = np.unique(idx.astype(np.int32), return_counts=True)
     v = 1 + np.log(n)
     return u, (v / np.sqrt(v @ v)).astype(np.float32)
 

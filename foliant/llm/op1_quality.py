@@ -40,10 +40,12 @@ class WordNgrams:
         self.mask = np.uint64((1 << bits) - 1)
         self.hashes, self.shapes = hash_cache(), WordCache(shape)
 
-    def buckets(self, words: list[bytes]) -> np.ndarray:
+    def buckets(self, words: list[bytes], h: np.ndarray | None = None) -> np.ndarray:
+        """``h``: the words' hashes, if they are known already."""
         if not words:
             return np.empty(0, np.int64)
-        h, s = word_hashes(words, self.hashes), word_hashes(words, self.shapes)
+        h = word_hashes(words, self.hashes) if h is None else h
+        s = word_hashes(words, self.shapes)
         s[1:] = s[1:] * np.uint64(2) + (h[1:] == h[:-1])
         tri = window_hashes(h, 3)
         spread = len(np.unique(tri)) * 10 // max(1, len(tri))  # tenths of the 3-grams that are distinct

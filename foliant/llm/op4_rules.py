@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import hashed_lr
-from foliant.llm.common import MIX, hash_cache, mixed, table, texts, window_hashes, word_hashes
+from foliant.llm.common import MIX, mixed, table, texts, window_hashes, word_hashes
 from foliant.llm.op1_quality import WordNgrams
 
 BITS = 20
-MAX_ROWS = 8_000
+MAX_ROWS = 4_000
 KEEP = 0.5
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
@@ -63,8 +63,8 @@ class WordCharNgrams(WordNgrams):
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return self.both(text, text.split())
 
-    def both(self, text: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        i, v = hashed_lr.unit(self.buckets(words))
+    def both(self, text: bytes, words: list[bytes], h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        i, v = hashed_lr.unit(self.buckets(words, h))
         a = np.frombuffer(text, np.uint8).astype(np.uint64)
         if len(a) < CHARS:
             return i, v
@@ -87,14 +87,15 @@ def judge(docs: DataFrame, model: hashed_lr.Model, keep: tuple[str, ...] = ("doc
     cols = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, f, cache = sent.value, WordCharNgrams(), hash_cache()
+        m, f = sent.value, WordCharNgrams()
         for b in batches:
             rows, ps = [], []
             for t in texts(b, "text"):
                 t = t or b""
                 words = t.split()
-                rows.append(counts(t, words, word_hashes(words, cache)))
-                ps.append(m.probability(*f.both(t, words)))
+                h = word_hashes(words, f.hashes)
+                rows.append(counts(t, words, h))
+                ps.append(m.probability(*f.both(t, words, h)))
             c = np.array(rows, np.int64).reshape(-1, len(COUNTS))
             failed = (c[:, 0] < MIN_WORDS) | (100 * c[:, 4] > MAX_REPEAT_PCT * c[:, 0])
             p = np.array(ps, np.float64)

@@ -60,7 +60,10 @@ class Automaton:
             u, v = m.split(" ") if isinstance(m, str) else m
             self.gadget(k, vocab[u], vocab[v], vocab[u + v])
         self.known.clear()  # answers of earlier times
-        self.longest = max(map(len, self.arc))
+        #: the longest label that begins with these (up to three) bytes
+        self.reach: dict[bytes, int] = {}
+        for label in self.arc:
+            self.reach[label[:3]] = max(self.reach.get(label[:3], 0), len(label))
 
     def gadget(self, k: int, u: int, v: int, uv: int) -> None:
         if self.follows(u, v):  # else no word keeps u and v side by side, and nothing changes
@@ -99,7 +102,7 @@ class Automaton:
         if whole is not None:
             return (whole,)
         arc, n, out, dead, i = self.arc, len(word), [], set(), 0
-        size = min(n, self.longest)
+        size = min(n, self.reach.get(word[:3], 2))
         while i < n:
             while size:
                 t = arc.get(word[i : i + size])
@@ -109,7 +112,7 @@ class Automaton:
             if size:
                 out.append(t)
                 i += size
-                size = min(n - i, self.longest)
+                size = min(n - i, self.reach.get(word[i : i + 3], 2))
             else:  # a dead end: the last label cannot be right here
                 t = out.pop()
                 dead.add((i, t))
@@ -124,12 +127,17 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             self.machine = Automaton(json.load(f))
         m = self.machine
-        self.words = WordCache(lambda w: m.encode_word(w.encode()), 250_000)
-        self.chunks = WordCache(self._chunk, 250_000)
+        self.words = WordCache(lambda w: m.encode_word(w.encode()), 200_000)
+        self.chunks = WordCache(self._chunk, 200_000)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(m.special, key=len, reverse=True)) + ")") if m.special else None
         self.label = m.bytes
         self.decimal = {i: str(i) for i in m.bytes}
 
+    def forget(self) -> None:
+        """Free what a task has remembered; its process may live on."""
+        self.words.clear()
+        self.chunks.clear()
+
     def segment(self, s: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(s))))
 
@@ -190,6 +198,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         for b in batches:
             got = [c.encode(t or "") for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int32()))], names=[*names, ids])
+        c.forget()
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{head}, `{ids}` array<int>")
@@ -222,6 +231,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 enc.append(hashlib.sha256(c.joined(ids).encode()).hexdigest())
                 dec.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

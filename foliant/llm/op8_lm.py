@@ -155,7 +155,7 @@ def _averaged(parts: DataFrame) -> np.ndarray | None:
         return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "slice": pa.array([key[1].as_py()], pa.int32()), "vector": pa.array([total.tobytes()], pa.binary()), "weight": pa.array([weight], pa.float64())})
 
     while many > 1:
-        level = parts.groupBy(F.floor(F.col("id") / FAN_IN).alias("id"), "slice").applyInArrow(summed, parts.schema)
+        level = parts.withColumn("id", F.floor(F.col("id") / FAN_IN)).groupBy("id", "slice").applyInArrow(summed, parts.schema)
         parts, many = stored(level, "weights"), -(-many // FAN_IN)
         many = parts.select("id").distinct().count() if many > 1 else 1
     rows = sorted(parts.collect(), key=lambda r: r.slice)  # one model
