@@ -54,6 +54,9 @@ class Spark:
     def split(self, x: str, by: str) -> str:
         return f"split({x}, {self.lit(''.join(chr(92) + c if c in '.|*+?()[]{}^$' + chr(92) else c for c in by))}, -1)"
 
+    def lines(self, x: str) -> str:
+        return f"split({x}, '\\n', -1)"
+
     def each(self, source: str, array: str) -> str:
         """FROM clause: a row (pos, val) for each element, pos from 0."""
         return f"{source} LATERAL VIEW posexplode({array}) e AS pos, val"
@@ -139,6 +142,9 @@ class Duck(Spark):
     def split(self, x, by):
         return f"string_split({x}, {self.lit(by)})"
 
+    def lines(self, x):
+        return f"string_split({x}, chr(10))"
+
     def each(self, source, array):
         return f"{source} CROSS JOIN LATERAL (SELECT unnest({array}) AS val, generate_subscripts({array}, 1) - 1 AS pos) e"
 

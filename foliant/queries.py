@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from foliant.constants import MODES, PAPERS
-from foliant.operators import cover, lens, neighbour, pigment, reduce
+from foliant.functions.pixel import luma
+from foliant.operators import counters, cover, ink, lens, neighbour, pigment, recover, reduce, text
 from foliant.plans import carriers
 from foliant.plans.sql import Plan, Query
 
@@ -183,3 +184,254 @@ def neighbour_clones(p: Plan):
 
     src = p.add("flat", f"SELECT image_id, y, x, CASE WHEN y % 16 < 8 THEN {luma()} * 0e0 + 0.5e0 ELSE {luma()} END AS l FROM {carriers.paper(p)}")
     return neighbour.clones(p, src), "*"
+
+
+# ---------------------------------------------------------------- ink
+
+
+@query("lineitem")
+def ink_features(p: Plan):
+    """One row of stroke features an image."""
+    f = ink.features(p, p.add("gray", f"SELECT image_id, y, x, {luma()} AS l FROM {carriers.paper(p)}"))
+    cols = ("ink_frac", "weight_mean", "weight_std", "weight_cv", "taper", "density", "tremor", "slant_std", "ductus", "drift", "bleed", "bright_frac", "ghost_frac", "block_std", "dark_frac")
+    return f, f"image_id, width, height, pixels, ink_pixels, {R6(*cols)}, bx0, by0, bx1, by1, clones, refuse_code"
+
+
+@query("lineitem")
+def ink_indicators(p: Plan):
+    """Indicator rules."""
+    return ink.indicators(p, ink.features(p, p.add("gray", f"SELECT image_id, y, x, {luma()} AS l FROM {carriers.paper(p)}"))), "*"
+
+
+@query("lineitem")
+def ink_compare(p: Plan):
+    """Feature deltas of neighbouring images."""
+    f = ink.features(p, p.add("gray", f"SELECT image_id, y, x, {luma()} AS l FROM {carriers.paper(p)}"))
+    pairs = p.add("pairs", f"SELECT image_id AS a, image_id + 1 AS b FROM {f}")
+    return ink.compare(p, f, pairs), "*"
+
+
+@query("embeddings")
+def ink_mask(p: Plan):
+    """Hosted ink mask by nearest rank."""
+    return ink.mask(p, carriers.tiles(p)), "image_id, y, x"
+
+
+@query("embeddings")
+def ink_heatmap(p: Plan):
+    """Density heatmap."""
+    return ink.heatmaps(p, carriers.tiles(p)), f"image_id, y, x, {R6('heat')}"
+
+
+@query("orders")
+def stroke_edges(p: Plan):
+    """H14, DM16: sequence edges over a customer's orders as strokes."""
+    s = p.add("strokes", f"SELECT o_custkey AS image_id, o_orderkey AS seq, o_totalprice / 1000e0 AS cx, CAST(o_orderkey % 97 AS DOUBLE) AS cy, 1e0 + (o_orderkey % 7) / 2e0 AS aspect, 400e0 AS side FROM orders")
+    return ink.edges(p, s), "*"
+
+
+@query("lineitem")
+def helper_modes(p: Plan):
+    """How much the helper lenses move the luminance, inject off."""
+    src = lens.clean(p, carriers.paper(p))
+    parts = []
+    for m, bound in (("indent", 0.02), ("lemon", 0.01), ("uv", 0.01), ("candle", 0.01)):
+        out = lens.mode(p, src, m, False)
+        parts.append(p.add("d", f"SELECT a.image_id AS image_id, '{m}' AS mode, avg(abs({luma('a.r', 'a.g', 'a.b')} - {luma('b.r', 'b.g', 'b.b')})) AS delta, {bound}e0 AS bound FROM {src} a JOIN {out} b ON a.image_id = b.image_id AND a.y = b.y AND a.x = b.x GROUP BY a.image_id"))
+    u = p.add("u", " UNION ALL ".join(f"SELECT * FROM {t}" for t in parts))
+    return u, "image_id, mode, round(delta, 6) AS delta, delta > bound AS contributed, false AS invented"
+
+
+# ---------------------------------------------------------------- text of artifacts
+
+LITERAL = (
+    ".env: API_KEY=abcdef123456 and password : hunter2secret", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "EFTA-00012345 issued 2021-03-04 D:20210304120000 AB123456",
+    "# note\n// old value\nplain\n<<<<<<< HEAD\n>>>>>>> branch\n  # later", "name: x\n_deleted: true\n# hidden\nprevious: 3", "DOC-00001234 then SMITH_9876543 token bearer abc",
+    "<html><!-- draft --><p style=\"display:none\">x</p><p hidden=\"1\">y</p><script type=\"application/ld+json\">{\"a\":1}</script><title>T</title><img src=\"data:image/png;base64,AAAA\"></html>",
+    "{\\rtf1 \\v secret words\\v0 Visible Literal text}", "  caf\u00e9   au\t\tlait  ", "",
+)
+
+
+def artifacts(p: Plan) -> str:
+    """Texts (id, t): the documents, and literals with what they lack (ids from -1 down)."""
+    rows = " UNION ALL ".join(f"SELECT CAST({-1 - i} AS BIGINT) AS id, {p.d.lit(s)} AS t" for i, s in enumerate(LITERAL))
+    return p.add("art", f"SELECT doc_id AS id, text AS t FROM documents UNION ALL {rows}")
+
+
+@query("documents")
+def text_previews(p: Plan):
+    """Previews, the text test, suppressed secrets and digests."""
+    a = artifacts(p)
+    d = p.d
+    return p.add("prev", f"SELECT id, {text.printable(d, 't')} AS preview, {text.text_like(d, 't')} AS text_like, {d.sha(text.suppressed(d, 't'))} AS suppressed_sha256, {text.printable(d, text.suppressed(d, 't'), 60)} AS suppressed_preview, {d.sha('t')} AS sha256 FROM {a}"), "*"
+
+
+@query("documents")
+def secret_hits(p: Plan):
+    """V08."""
+    return text.secrets(p, artifacts(p)), "*"
+
+
+@query("documents")
+def identifier_hits(p: Plan):
+    """D37."""
+    return text.identifiers(p, artifacts(p)), "*"
+
+
+@query("documents")
+def plain_text_hits(p: Plan):
+    """V10, V18."""
+    return text.plain(p, artifacts(p)), "*"
+
+
+@query("documents")
+def yaml_hits(p: Plan):
+    """V16."""
+    return text.yaml(p, artifacts(p)), "*"
+
+
+@query("documents")
+def rtf_hits(p: Plan):
+    """V17, over the literals (plain prose has no rich text)."""
+    a = artifacts(p)
+    return text.rtf(p, p.add("lits", f"SELECT * FROM {a} WHERE id < 0")), "*"
+
+
+@query("documents")
+def cite_query(p: Plan):
+    """U04."""
+    return text.cite(p, artifacts(p), "the"), "*"
+
+
+@query("documents")
+def producer_needles(p: Plan):
+    """Places of fixed needles."""
+    words = (("the", "article"), ("***", "mark"), ("D:", "pdf-date"), ("-----BEGIN", "pem"))
+    return text.needles(p, artifacts(p), words), "*"
+
+
+@query("pages", "documents")
+def markup_hits(p: Plan):
+    """V15, over web pages and the literals."""
+    a = artifacts(p)
+    src = p.add("both", f"SELECT page_id AS id, html AS t FROM pages UNION ALL SELECT id, t FROM {a} WHERE id < 0")
+    return text.markup(p, src), "*"
+
+
+# ---------------------------------------------------------------- files and revisions
+
+
+def files(p: Plan) -> str:
+    """Files (seq, name, stem, kind, sha256, t): a document each, named by its source and id."""
+    d = p.d
+    ext = "CASE WHEN doc_id % 7 = 0 THEN 'json' WHEN doc_id % 7 = 1 THEN 'bak' WHEN doc_id % 7 = 2 THEN 'md' WHEN doc_id % 7 = 3 THEN 'py' WHEN doc_id % 7 = 4 THEN 'heic' ELSE 'txt' END"
+    third = f"lpad(CAST({d.idiv('doc_id', '3')} AS VARCHAR(20)), 8, '0')"
+    stem = f"CASE WHEN doc_id % 50 = 0 THEN concat({third}, '-backup') WHEN doc_id % 3 = 2 THEN concat({third}, '-2') ELSE {third} END"
+    return p.add("files", f"SELECT {d.idiv('seq', '30')} AS production, seq, concat(stem, '.', kind) AS name, stem, kind, sha256, t FROM (SELECT doc_id AS seq, {stem} AS stem, {ext} AS kind, {d.sha('text')} AS sha256, text AS t FROM documents) q")
+
+
+@query("documents")
+def detect_kinds(p: Plan):
+    """Kinds of text artifacts by content and name."""
+    f = files(p)
+    a = artifacts(p)
+    src = p.add("named", f"SELECT seq AS id, name AS filename, t FROM {f} UNION ALL SELECT id, CASE WHEN id = -1 THEN '.env' WHEN id = -7 THEN 'x.html' ELSE '' END AS filename, t FROM {a} WHERE id < 0")
+    return recover.detect(p, src), "*"
+
+
+@query("documents")
+def recovered_dedup(p: Plan):
+    """The first of equal items."""
+    items = p.add("items", "SELECT source AS file, doc_id AS seq, lang AS kind, 'text' AS path, substr(text, 1, 40) AS preview, CAST(NULL AS BIGINT) AS pos FROM documents")
+    return recover.dedup(p, items), "*"
+
+
+@query("documents")
+def revision_diff(p: Plan):
+    """Previews only in one of two revisions."""
+    a = p.add("old", "SELECT substr(text, 1, 40) AS preview FROM documents WHERE doc_id % 10 < 8")
+    b = p.add("new", "SELECT substr(text, 1, 40) AS preview FROM documents WHERE doc_id % 10 > 1")
+    return recover.revision_diff(p, a, b), "*"
+
+
+@query("documents")
+def sidecar_pairs(p: Plan):
+    """V42."""
+    return recover.sidecars(p, files(p)), "*"
+
+
+@query("documents")
+def production_pairs(p: Plan):
+    """V43."""
+    return recover.correlate(p, files(p)), "*"
+
+
+@query("documents")
+def provenance_rows(p: Plan):
+    """Ledger rows."""
+    state = "CASE WHEN doc_id % 4 = 0 THEN 'present_current' WHEN doc_id % 4 = 1 THEN 'present_prior_revision' WHEN doc_id % 4 = 2 THEN 'present_orphan' ELSE 'present_sidecar' END"
+    return recover.provenance(p, p.add("items", f"SELECT source AS file, doc_id AS seq, 'text' AS path, {state} AS state, text AS raw FROM documents")), "*"
+
+
+@query("documents")
+def query_filter(p: Plan):
+    """V40."""
+    items = p.add("items", "SELECT doc_id AS seq, substr(text, 1, 80) AS preview, source AS path FROM documents")
+    return recover.found(p, items, "SRC1"), "*"
+
+
+# ---------------------------------------------------------------- counters
+
+AGENTS = ("Mozilla/5.0", "curl/8.1", "Googlebot/2.1", "CF-Healthchecks/1.0", "", "  ", "Safari/605 (iPhone)", "python-requests/2.31")
+
+
+def requests(p: Plan) -> str:
+    """Requests (request_id, ua, score, verified) from events."""
+    arms = " ".join(f"WHEN {i} THEN {p.d.lit(a)}" for i, a in enumerate(AGENTS))
+    return p.add("req", f"SELECT event_id AS request_id, CASE event_id % 9 {arms} END AS ua, CASE WHEN event_id % 5 < 3 THEN CAST(user_id % 100 AS DOUBLE) + 0.5e0 END AS score, CASE WHEN event_id % 11 = 0 THEN true WHEN event_id % 11 = 1 THEN false END AS verified FROM events")
+
+
+@query("events")
+def classify_requests(p: Plan):
+    """C01, C02."""
+    return counters.classify(p, requests(p)), "*"
+
+
+@query("events")
+def split_counters(p: Plan):
+    """Downloads and views by bucket."""
+    c = counters.classify(p, requests(p))
+    e = p.add("kinds", f"SELECT event_type AS kind, bucket FROM {c} JOIN events ON event_id = request_id")
+    return counters.split_counts(p, e), "*"
+
+
+@query("events")
+def count_keys(p: Plan):
+    """Dimensions, keys and exact counts."""
+    src = p.add("req", "SELECT event_id AS request_id, CASE WHEN user_id % 5 = 0 THEN 'other' ELSE '' END AS owner, CASE WHEN user_id % 7 = 0 THEN 'acme/tools' WHEN user_id % 7 = 1 THEN '' ELSE 'repo' END AS repo, CASE WHEN user_id % 3 = 0 THEN 'dev' END AS branch, CASE WHEN user_id % 11 = 0 THEN 'me/copy' WHEN user_id % 11 = 1 THEN 'true' WHEN user_id % 11 = 2 THEN '0' END AS fork FROM events")
+    return counters.counted(p, counters.dims(p, src)), "*"
+
+
+@query("events")
+def counter_stats(p: Plan):
+    """Grouping sets over counters, with reserved and short keys."""
+    src = p.add("req", "SELECT event_id AS request_id, CASE WHEN user_id % 5 = 0 THEN 'other' ELSE '' END AS owner, CASE WHEN user_id % 7 = 0 THEN 'acme/tools' ELSE 'repo' END AS repo, CASE WHEN user_id % 3 = 0 THEN 'dev' END AS branch, CASE WHEN user_id % 11 = 1 THEN 'true' END AS fork FROM events")
+    c = counters.counted(p, counters.dims(p, src))
+    more = p.add("more", f"SELECT key, n FROM {c} UNION ALL SELECT 'project|__views__' AS key, 999 AS n UNION ALL SELECT 'a|b' AS key, 5 AS n UNION ALL SELECT 'project|o|r|b|1' AS key, 0 AS n")
+    return counters.stats(p, more), "*"
+
+
+@query("events")
+def display_remainder(p: Plan):
+    """Counts read from text, and the remainder."""
+    d = p.d
+    src = p.add("raw", f"SELECT user_id AS name, {counters.as_count(d, 'CAST(sum(event_id) AS VARCHAR(40))')} AS views, count(*) AS downloads, {counters.as_count(d, 'concat(CAST(min(event_id) AS VARCHAR(40)), ' + chr(39) + 'x' + chr(39) + ')')} AS views_human, {counters.as_count(d, chr(39) + '-3' + chr(39))} AS downloads_human FROM events GROUP BY user_id")
+    return counters.remainder(p, src), "*"
+
+
+@query("events")
+def mesh_rollup(p: Plan):
+    """The first usable number of each alternative, zero if disabled."""
+    src = p.add("docs", """SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN concat('{"enabled":true,"rollup":{"live":', CAST(user_id AS VARCHAR(20)), '},"locked":"1,204"}')
+      WHEN event_id % 4 = 1 THEN concat('{"status":"on","live_nodes":', CAST(user_id AS VARCHAR(20)), ',"isolated":-1,"isolated_count":2}') WHEN event_id % 4 = 2 THEN '{"live":5}' ELSE '{"mesh_enabled":"live","mesh_live_nodes":3.7}' END AS doc FROM events""")
+    return counters.mesh(p, src), "*"
