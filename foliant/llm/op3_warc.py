@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -36,6 +37,7 @@ DATE = "1970-01-01T00:00:00Z"  # the tables have no capture time
 #: ZIP signatures and the marks that send a reader to ZIP64 fields.
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\3\4", b"PK\1\2", b"PK\5\6", b"PK\6\6", b"PK\6\7"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
+BLANK = re.compile(r"[\x00-\x20]")
 
 
 # ---------------------------------------------------------------- ZIP
@@ -70,7 +72,8 @@ class StoredZip:
         tail_at = max(0, size - 22 - FULL16)
         tail = read(tail_at, size - tail_at)
         at = tail.rfind(END)
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        ends = lambda i: i + 22 <= len(tail) and i + 22 + struct.unpack_from("<H", tail, i + 20)[0] == len(tail)
+        while at >= 0 and not ends(at):
             at = tail.rfind(END, 0, at)  # those bytes stood in a comment or in data
         if at < 0:
             raise ValueError("no end of central directory")
@@ -124,7 +127,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + BLANK.sub(lambda m: f"%{ord(m[0]):02X}", url))
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
         head += [f"WARC-Refers-To: {name(first)}", f"WARC-Profile: {REVISIT}"]
@@ -159,7 +162,7 @@ def package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
     """A package of (url, gzip member) pairs with its index."""
     at, lines = 0, []
     for url, member in records:
-        lines.append(f"{url.replace(' ', '%20') or '-'} {json.dumps({'offset': at, 'length': len(member), 'filename': 'data.warc.gz'})}")
+        lines.append(f"{BLANK.sub(lambda m: f'%{ord(m[0]):02X}', url) or '-'} {json.dumps({'offset': at, 'length': len(member), 'filename': 'data.warc.gz'})}")
         at += len(member)
     return zipped([(DATA, b"".join(m for _, m in records)), (INDEX, "\n".join(sorted(lines)).encode())], zip64)
 
