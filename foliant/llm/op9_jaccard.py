@@ -4,8 +4,8 @@ A text's set holds the distinct shingles of N lower-cased words (fewer words: th
 equal sets form one class, named by a 64-bit hash of the set, and only classes are joined. Classes that share
 a signature (partenum.py) are candidates. They are not paired off: first each class is tried against the
 smallest one of each signature, which finds nearly all links; then, where a signature's classes are still in
-several components, those of different components are compared, exactly, by size and by a 1024-bit parity
-sketch whose distance never exceeds the sets' difference. What these bounds leave is verified on the sets.
+several components, those of different components are compared, exactly, by size and by a parity sketch
+whose distance never exceeds the sets' difference. What these bounds leave is verified on the sets.
 So no link between different texts is lost, and candidates that are connected already cost nothing.
 
 Null and wordless texts have empty sets and are linked with nothing; repeated rows and equal ids share a
@@ -28,10 +28,10 @@ from foliant.llm.partenum import signatures
 
 N, PERCENT = 5, 80
 BUCKET_ROWS = 1_000_000  # signatures that one task groups, 14 bytes each
-SKETCH = 1024
+SKETCH, SKETCH_MOST = 1024, 1 << 16  # bits; twice to four times the set's size, within these bounds
 KEPT = 6  # bytes of a shingle's hash that verification compares
 KEYS_SENT = 4_000_000  # 64-bit keys that may be broadcast; beyond, a join picks the sets
-BLOCK = 512
+BLOCK = 256
 
 
 def shingles(text: bytes, cache, n: int = N) -> np.ndarray:
@@ -45,8 +45,31 @@ def set_key(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """The parity of the number of features in each of SKETCH cells."""
-    return np.packbits((np.bincount((mixed(s) >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    """The parity of the number of features in each cell; cells by the low bits of a hash, so that halves fold."""
+    cells = min(SKETCH_MOST, max(SKETCH, 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((mixed(s) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """The sketches as rows of 64-bit words, each folded to ``size`` bytes."""
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for i, raw in enumerate(sketches):
+        x = np.frombuffer(raw, np.uint64)
+        while len(x) > size // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many cells differ, for pairs of sketches; never more than the sets' difference."""
+    size = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+    out = np.empty(len(a), np.int64)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        out[at] = np.bitwise_count(folded([a[i] for i in at], n) ^ folded([b[i] for i in at], n)).sum(1)
+    return out
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -152,10 +175,6 @@ def near_enough(xor_bits: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarra
     return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((100 + PERCENT) * xor_bits <= (100 - PERCENT) * (n + m))
 
 
-def as_words(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, SKETCH // 64)
-
-
 def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs (a, b, bits) that sizes and sketches allow; bits is the sketches' distance."""
     of = lambda x: info.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -163,7 +182,7 @@ def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                bits = np.bitwise_count(as_words(b.column("s_a").to_pylist()) ^ as_words(b.column("s_b").to_pylist())).sum(1).astype(np.int64)
+                bits = distances(b.column("s_a").to_pylist(), b.column("s_b").to_pylist())
                 ok = near_enough(bits, b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(bits)], names=["a", "b", "bits"]).filter(pa.array(ok))
 
@@ -181,7 +200,8 @@ def apart(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) ->
         def compared(t: pa.Table) -> np.ndarray:
             t = t.sort_by("root")
             key, root, n = (t.column(c).to_numpy() for c in ("key", "root", "n"))
-            w = as_words(t.column("sketch").to_pylist())
+            raw = t.column("sketch").to_pylist()
+            w = folded(raw, min(map(len, raw)))
             out = []
             for i in range(0, len(key), BLOCK):
                 hi = min(i + BLOCK, len(key))
