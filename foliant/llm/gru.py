@@ -12,7 +12,7 @@ import heapq
 
 import numpy as np
 
-CLASS = 64
+CLASS = 48
 WINDOW = 32
 LANES = 256
 f32 = np.float32
@@ -84,9 +84,8 @@ class Gru:
         p, n = self.p, len(ids)
         cls, within = ids // CLASS, ids % CLASS
         rows = np.arange(n)
-        lc = h @ p["wc"]
+        lc = h @ p["wc"]  # states are within -1..1 and log shares below 0: no exponential overflows
         lc += p["bc"]
-        lc -= lc.max(1, keepdims=True)
         at = lc[rows, cls]
         np.exp(lc, lc)
         s = lc.sum(1)
@@ -104,7 +103,6 @@ class Gru:
             hi = h[i]
             lo = hi @ p["wo"][c]
             lo += p["bo"][c]
-            lo -= lo.max(1, keepdims=True)
             k = np.arange(len(i))
             at = lo[k, within[i]]
             np.exp(lo, lo)
@@ -185,22 +183,22 @@ def windows(docs: list[np.ndarray], start: int):
     Each document's inputs are ``start`` and then its tokens but the last; owner is the document's index.
     """
     dealt = lanes(docs)
-    rows = [np.concatenate([docs[i] for i in lane]) for lane in dealt]
-    ins = [np.concatenate([np.concatenate([[start], docs[i][:-1]]) for i in lane]) for lane in dealt]
-    owners = [np.repeat(lane, [len(docs[i]) for i in lane]) for lane in dealt]
-    fresh = [np.concatenate([[0], np.cumsum([len(docs[i]) for i in lane])[:-1]]) for lane in dealt]
-    size = np.array([len(r) for r in rows])
-    for t in range(0, int(size.max()), WINDOW):
+    size = np.array([sum(len(docs[i]) for i in lane) for lane in dealt])
+    total = int(size.max())
+    x, y, owner = (np.zeros((len(dealt), total), np.int32) for _ in range(3))
+    keep = np.ones((len(dealt), total), f32)
+    for k, lane in enumerate(dealt):
+        at = 0
+        for i in lane:
+            d = docs[i]
+            end = at + len(d)
+            y[k, at:end], x[k, at], x[k, at + 1 : end], owner[k, at:end], keep[k, at] = d, start, d[:-1], i, 0
+            at = end
+    for t in range(0, total, WINDOW):
         live = int((size > t).sum())  # lanes are sorted by length
-        steps = int(min(WINDOW, size[0] - t))
-        x, y, o = (np.zeros((live, steps), np.int64) for _ in range(3))
-        keep, real = np.ones((live, steps), f32), np.zeros((live, steps), bool)
-        for k in range(live):
-            n = min(steps, size[k] - t)
-            x[k, :n], y[k, :n], o[k, :n], real[k, :n] = ins[k][t : t + n], rows[k][t : t + n], owners[k][t : t + n], True
-            b = fresh[k]
-            keep[k, b[(b >= t) & (b < t + n)] - t] = 0
-        yield x.T, keep.T, y.T, real.T, o.T
+        cut = (slice(0, live), slice(t, min(t + WINDOW, total)))
+        real = np.arange(t, min(t + WINDOW, total))[None] < size[:live, None]
+        yield x[cut].T, keep[cut].T, y[cut].T, real.T, owner[cut].T
 
 
 def trained(model: Gru, docs: list[np.ndarray], start: int, opt: Adagrad, every: int) -> int:

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from foliant.llm.common import WordCache, crc_bucket, discard, stored, table, texts
 from foliant.llm.gru import Adagrad, Gru, log_likelihoods, trained
 
-VOCABULARY, ENDINGS, HIDDEN = 4_000, 96, 32
+VOCABULARY, ENDINGS, HIDDEN = 2_000, 64, 16
 FREQUENT = 200_000
-SEED_DOCS, SEED_RATE, RATE, EVERY = 2_000, 0.1, 0.05, 8
+SEED_DOCS, SEED_RATE, RATE, EVERY = 2_000, 0.1, 0.05, 10
 HELD_TOKENS = 1_000_000  # tokens of documents that are packed into lanes together
 SLICES, FAN_IN = 8, 64
 ALPHA = 0.1
@@ -94,7 +94,7 @@ class Lexicon:
         self.id = np.where(np.arange(len(c)) < own, place[np.minimum(np.arange(len(c)), own - 1)], self.class_id[self.endings])
         self.known, self.seen = np.arange(len(c)) < own, c > 0
         self.start = int(self.id[self.index[END]])
-        self.rare = WordCache(ending, 300_000)
+        self.rare = WordCache(ending, 100_000)
 
     def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Frequent indexes (-1: rarer), ids of the recurrent model, and the endings of the rarer words."""
@@ -109,11 +109,17 @@ class Lexicon:
 def lexicon(vocab: DataFrame, frequent: int = FREQUENT) -> tuple[Lexicon, DataFrame]:
     """The lexicon of a stored (word, c) table, and the table of the rarer words."""
     sums = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = [(bytes(r.word), r.c) for r in vocab.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(frequent).collect()]
-    last = top[-1] if len(top) == frequent else None  # order: falling count, then word
     end = vocab.where(F.col("word") == F.lit(END)).first()
-    rest = vocab.where(F.col("word") != F.lit(END))
-    rest = rest.where((F.col("c") < last[1]) | ((F.col("c") == last[1]) & (F.col("word") > F.lit(last[0])))) if last else rest.where("false")
+    words = vocab.where(F.col("word") != F.lit(END)).withColumn("level", F.floor(F.log2("c") * 8))
+    # the least level of counts at which no more than ``frequent`` words are as frequent; there are some 500 levels
+    total, least = 0, 1 << 30
+    for r in words.groupBy("level").count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > frequent:
+            break
+        least = r.level
+    top = [(bytes(r.word), r.c) for r in words.where(F.col("level") >= least).select("word", "c").collect()]
+    rest = words.where(F.col("level") < least).select("word", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((ENDINGS, 2), np.int64)
