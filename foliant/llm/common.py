@@ -123,6 +123,13 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def sliced(batches, rows: int = 1_000):
+    """Arrow batches cut into short ones, so that few Python objects live at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def texts(batch, name: str) -> list:
     """A string column of an Arrow batch as UTF-8 bytes (None for null)."""
     import pyarrow as pa

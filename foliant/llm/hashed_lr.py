@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import sliced
+
 #: feature function: text bytes -> (bucket indexes, values), indexes distinct
 Features = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
 ROW = "k long, y int, idx binary, val binary"
@@ -105,7 +107,7 @@ def feature_rows(df: DataFrame, features: Callable[[], Features]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = features()
-        for b in batches:
+        for b in sliced(batches):
             out = [f(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("k"), b.column("y"), pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())],

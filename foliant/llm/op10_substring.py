@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, hash_cache, stored, table, texts, window_hashes, word_hashes
+from foliant.llm.common import discard, hash_cache, sliced, stored, table, texts, window_hashes, word_hashes
 
 N, Q = 35, 8
 
@@ -51,7 +51,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = hash_cache()
-        for b in batches:
+        for b in sliced(batches):
             out, keys, counts = [], [], []
             for key, t in zip(b.column("_key").to_pylist(), texts(b, "text"), strict=True):
                 a, g = anchors(word_hashes((t or b"").split(), cache))
@@ -72,7 +72,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = hash_cache()
-        for b in batches:
+        for b in sliced(batches):
             out, keys, starts = [], [], []
             for key, t, known in zip(b.column("_key").to_pylist(), texts(b, "text"), b.column("anchors"), strict=True):
                 h = word_hashes((t or b"").split(), cache)
@@ -120,7 +120,7 @@ def cleaned(docs: DataFrame, digest: bool = False) -> DataFrame:
     last = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             total, gone, spans, kept = [], [], [], []
             for t, starts in zip(texts(b, "text"), b.column("starts"), strict=True):
                 words = (t or b"").split()

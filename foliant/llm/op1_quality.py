@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import hashed_lr
-from foliant.llm.common import WordCache, crc_bucket, hash_cache, mixed, table, texts, word_hashes, window_hashes
+from foliant.llm.common import crc_bucket, hash_cache, mixed, sliced, table, texts, window_hashes, word_hashes, WordCache
 
 BITS = 20
 MAX_ROWS = 8_000
@@ -68,7 +68,7 @@ def score(docs: DataFrame, model: hashed_lr.Model, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, f = sent.value, WordNgrams()
-        for b in batches:
+        for b in sliced(batches):
             p = [m.probability(*f(t or b"")) for t in texts(b, "text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64())], names=[*keep, "score"])
 

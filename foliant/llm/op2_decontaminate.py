@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, stored, table, texts, window_hashes
+from foliant.llm.common import discard, sliced, stored, table, texts, window_hashes
 
 N = 10
 BLOCK_BYTES = 32 << 20
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES, with_t
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, chained=chained, names=names) -> Iterator[pa.RecordBatch]:
             windows = Windows(sent.value)
-            for b in batches:
+            for b in sliced(batches):
                 old = zip(b.column("runs").to_pylist(), b.column("items").to_pylist(), strict=True) if chained else repeat(([], []))
                 rows = []
                 for t, (r0, i0) in zip(texts(b, "text"), old):
@@ -159,7 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_
     cols, head = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             old = b.column("text").to_pylist()
             runs = b.column("runs").to_pylist()
             new = [cut(t, r) if r else t for t, r in zip(old, runs, strict=True)]

@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import shared_dir, stored, table
+from foliant.llm.common import shared_dir, sliced, stored, table
 
 MIN_REVISIT = 100
 PACKAGE_BYTES = 32 << 20
@@ -205,7 +205,7 @@ def write_packages(pages: DataFrame, folder: str, limit: int = PACKAGE_BYTES) ->
                 f.write(data)
             return pa.RecordBatch.from_pydict({"path": [path], "bytes": [len(data)], "records": [len(held)]})
 
-        for b in batches:
+        for b in sliced(batches):
             for k, url, payload, digest, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
                 member = record(k, url, payload, digest, first, first is not None and k != first)
                 held.append((url or "", member))
@@ -232,7 +232,7 @@ def read_packages(packages: DataFrame, folder: str, payload: bool = True) -> Dat
         def batch(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in names], names=names)
 
-        for b in batches:
+        for b in sliced(batches):
             for path, size in zip(b.column("path").to_pylist(), b.column("bytes").to_pylist(), strict=True):
                 with fs.open_input_file(path) as f:
                     rows, held = [], 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import hashed_lr
-from foliant.llm.common import MIX, mixed, table, texts, window_hashes, word_hashes
+from foliant.llm.common import MIX, mixed, sliced, table, texts, window_hashes, word_hashes
 from foliant.llm.op1_quality import WordNgrams
 
 BITS = 20
@@ -88,7 +88,7 @@ def judge(docs: DataFrame, model: hashed_lr.Model, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, f = sent.value, WordCharNgrams()
-        for b in batches:
+        for b in sliced(batches):
             rows, ps = [], []
             for t in texts(b, "text"):
                 t = t or b""

@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm.common import WordCache, table
+from foliant.llm.common import sliced, table, WordCache
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The byte-level pre-tokenizer's pattern, with white space written as the Unicode property.
@@ -55,7 +55,7 @@ class Automaton:
         self.right: dict[int, int] = {}
         self.born: dict[int, int] = {}
         self.gone: dict[tuple[int, int], int] = {}  # gadgets: (label into the state, label taken away) -> time
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         for k, m in enumerate(spec["model"]["merges"]):
             u, v = m.split(" ") if isinstance(m, str) else m
             self.gadget(k, vocab[u], vocab[v], vocab[u + v])
@@ -89,11 +89,11 @@ class Automaton:
             t = self.left[t]
 
     def step(self, a: int, t: int) -> bool:
-        ok = self.known.get((a, t))
+        ok = self.known.get(a << 20 | t)
         if ok is None:
             ok = self.follows(a, t)
-            if len(self.known) < 1_000_000:
-                self.known[a, t] = ok
+            if len(self.known) < 200_000:
+                self.known[a << 20 | t] = ok
         return ok
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
@@ -137,6 +137,7 @@ class Codec:
         """Free what a task has remembered; its process may live on."""
         self.words.clear()
         self.chunks.clear()
+        self.machine.known.clear()
 
     def segment(self, s: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(s))))
@@ -195,7 +196,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in sliced(batches):
             got = [c.encode(t or "") for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int32()))], names=[*names, ids])
         c.forget()
@@ -210,8 +211,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            got = [None if i is None else c.decode(i) for i in b.column(ids).to_pylist()]
+        for b in sliced(batches):
+            got = [c.decode(i.values.to_numpy().tolist()) if i.is_valid else None for i in b.column(ids)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*names, text])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -223,7 +224,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in sliced(batches):
             n, enc, dec = [], [], []
             for t in b.column("text").to_pylist():
                 ids = c.encode(t or "")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import hashed_lr
-from foliant.llm.common import WordCache, crc_bucket, table
+from foliant.llm.common import crc_bucket, sliced, table, WordCache
 
 BITS = 20
 MAX_ROWS = 12_000
@@ -71,7 +71,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             held.clear()
             size = 0
 
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(text).to_pylist():
                 if t:
                     held.append(symbols(t))
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: hashed_lr.Model, chars: np.ndarray) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, c = sent.value
         f = ToxicFeatures(c)
-        for b in batches:
+        for b in sliced(batches):
             p = [m.probability(*f(t or b"")) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
 

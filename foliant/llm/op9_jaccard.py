@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, hash_cache, mixed, stored, table, texts, window_hashes, word_hashes
+from foliant.llm.common import discard, hash_cache, mixed, sliced, stored, table, texts, window_hashes, word_hashes
 from foliant.llm.graph import components
 from foliant.llm.partenum import signatures
 
@@ -77,7 +77,7 @@ def described(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = hash_cache()
-        for b in batches:
+        for b in sliced(batches):
             rows = [(len(s), set_key(s), sketch(s)) if len(s) else (0, None, None) for s in (shingles(t or b"", cache) for t in texts(b, "text"))]
             n, key, sk = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
@@ -112,7 +112,7 @@ def signed(docs: DataFrame, buckets: int) -> DataFrame:
             cols = [[int(at[a]) for a, _ in ranges], [planes(sig[a:b], 6) for a, b in ranges], [planes(key[a:b]) for a, b in ranges]]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "sigs", "keys"])
 
-        for b in batches:
+        for b in sliced(batches):
             for t in texts(b, "text"):
                 s = shingles(t or b"", cache)
                 if not len(s):
@@ -142,7 +142,7 @@ def grouped(packed: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes]]] = {}
-        for b in batches:
+        for b in sliced(batches):
             for k, s, x in zip(*(b.column(c).to_pylist() for c in ("bucket", "sigs", "keys")), strict=True):
                 held.setdefault(k, []).append((s, x))
         for k in list(held):
@@ -180,7 +180,7 @@ def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     of = lambda x: info.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             if b.num_rows:
                 bits = distances(b.column("s_a").to_pylist(), b.column("s_b").to_pylist())
                 ok = near_enough(bits, b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
@@ -220,7 +220,7 @@ def apart(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) ->
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
         last, found = None, []
-        for b in batches:  # sorted by sig: a group may go on in the next batch
+        for b in sliced(batches):  # sorted by sig: a group may go on in the next batch
             t = pa.Table.from_batches([b])
             t = t if last is None else pa.concat_tables([last, t])
             sig = t.column("sig").to_numpy()
@@ -253,7 +253,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, info: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = hash_cache()
-        for b in batches:
+        for b in sliced(batches):
             rows = [(set_key(s), planes(s, KEPT)) for s in (shingles(t or b"", cache) for t in texts(b, "text")) if len(s)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["key", "shingles"])
@@ -268,7 +268,7 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
     of = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ok = []
             for x, y in zip(b.column("s_a").to_pylist(), b.column("s_b").to_pylist(), strict=True):
                 x, y = unplanes(x, KEPT), unplanes(y, KEPT)
