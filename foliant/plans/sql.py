@@ -195,7 +195,7 @@ class Plan:
     """Named steps over input tables."""
 
     def __init__(self, dialect: Spark = SPARK):
-        self.d, self.steps = dialect, []
+        self.d, self.steps, self.recursive = dialect, [], False
 
     def add(self, name: str, sql: str) -> str:
         """Add a step; its name gets a number, so that an operator can be used twice."""
@@ -205,7 +205,7 @@ class Plan:
 
     def text(self, result: str, columns: str = "*") -> str:
         chain = ",\n".join(f"{n} AS ({s})" for n, s in self.steps)
-        return f"WITH {chain}\nSELECT {columns} FROM {result}" if self.steps else f"SELECT {columns} FROM {result}"
+        return f"WITH {'RECURSIVE ' if self.recursive else ''}{chain}\nSELECT {columns} FROM {result}" if self.steps else f"SELECT {columns} FROM {result}"
 
     def frame(self, spark: SparkSession, result: str, columns: str = "*", **tables: DataFrame) -> DataFrame:
         sql = self.text(result, columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from foliant.constants import MODES, PAPERS
 from foliant.functions.pixel import luma
-from foliant.operators import counters, cover, ink, lens, neighbour, pigment, recover, reduce, text
+from foliant.operators import counters, cover, ink, kernels, lens, neighbour, pdf, pigment, recover, reduce, text
 from foliant.plans import carriers
 from foliant.plans.sql import Plan, Query
 
@@ -435,3 +435,261 @@ def mesh_rollup(p: Plan):
     src = p.add("docs", """SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN concat('{"enabled":true,"rollup":{"live":', CAST(user_id AS VARCHAR(20)), '},"locked":"1,204"}')
       WHEN event_id % 4 = 1 THEN concat('{"status":"on","live_nodes":', CAST(user_id AS VARCHAR(20)), ',"isolated":-1,"isolated_count":2}') WHEN event_id % 4 = 2 THEN '{"live":5}' ELSE '{"mesh_enabled":"live","mesh_live_nodes":3.7}' END AS doc FROM events""")
     return counters.mesh(p, src), "*"
+
+
+# ---------------------------------------------------------------- revisions
+
+
+@query("orders")
+def versions_first_last(p: Plan):
+    """First and last version of each object."""
+    return pdf.first_last(p, p.add("v", "SELECT o_custkey AS id, o_orderkey AS pos, o_orderstatus AS value FROM orders")), "*"
+
+
+@query("orders")
+def nearest_object(p: Plan):
+    """Nearest place of the same id within some bytes."""
+    w = p.add("w", "SELECT o_custkey AS id, o_orderkey + 7 AS at FROM orders")
+    return pdf.nearest(p, w, p.add("h", "SELECT o_custkey AS id, o_orderkey AS pos FROM orders"), 400), "*"
+
+
+@query("orders")
+def snapshot_diff(p: Plan):
+    """Full outer diff of two revisions' snapshots."""
+    half = p.add("half", f"SELECT {p.d.idiv('max(o_orderkey)', '2')} AS h FROM orders")
+    a, b = (p.add("snap", f"SELECT o_custkey AS id, max(o_orderkey) AS pos FROM orders CROSS JOIN {half} WHERE o_orderkey {op} h GROUP BY o_custkey") for op in ("<=", ">"))
+    return pdf.snapshot_diff(p, a, b), "*"
+
+
+def xref_carrier(p: Plan) -> str:
+    return p.add("xref", "SELECT concat('f', CAST(o_custkey % 50 AS VARCHAR(20))) AS filename, CAST(o_orderkey % 6 AS INT) AS rev, CAST(o_custkey AS INT) AS id, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'f' ELSE 'n' END AS flag, o_orderkey * 40 AS place, CASE WHEN o_orderkey % 17 = 0 THEN 5 END AS objstm, CAST(NULL AS INT) AS slot FROM orders")
+
+
+@query("orders")
+def live_map(p: Plan):
+    """The live entry of each object."""
+    return pdf.live(p, xref_carrier(p)), "*"
+
+
+@query("orders")
+def object_leftovers(p: Plan):
+    """Instances that are not live, by kind."""
+    o = p.add("obj", "SELECT concat('f', CAST(o_custkey % 50 AS VARCHAR(20))) AS filename, CAST(o_custkey AS INT) AS id, CAST(CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS INT) AS gen, o_orderkey * 40 + o_orderkey % 12 AS place, o_orderkey % 2 = 0 AS has_stream, CAST(o_totalprice AS BIGINT) AS stream_bytes, o_orderpriority AS stream_sha256, CASE WHEN o_orderkey % 17 = 0 THEN 5 WHEN o_orderkey % 19 = 0 THEN 6 END AS parent FROM orders")
+    return pdf.leftovers(p, o, xref_carrier(p)), "*"
+
+
+@query("orders")
+def revision_counts(p: Plan):
+    """Added, freed, replaced and live objects after each revision."""
+    return pdf.cumulative(p, xref_carrier(p)), "*"
+
+
+@query("part")
+def page_reach(p: Plan):
+    """What a root reaches, cycles included, with the least depth."""
+    refs = p.add("refs", f"SELECT 1 AS grp, {p.d.idiv('p_partkey', '2')} AS src, p_partkey AS dst FROM part WHERE p_partkey > 1 UNION ALL SELECT 1 AS grp, p_partkey AS src, {p.d.idiv('p_partkey', '4')} AS dst FROM part WHERE p_partkey % 16 = 0")
+    roots = p.add("roots", "SELECT 1 AS grp, p_partkey AS id FROM part WHERE p_partkey = 3")
+    return pdf.reach(p, refs, roots), "*"
+
+
+@query("lineitem")
+def text_under_overlay(p: Plan):
+    """Text runs with the first overlay painted after them."""
+    d = p.add("drawn", "SELECT concat('f', CAST(l_suppkey AS VARCHAR(20))) AS filename, l_orderkey AS id, CAST(0 AS BIGINT) AS place, l_linenumber AS seq, CASE WHEN l_returnflag = 'R' THEN 'overlay' ELSE 'text' END AS kind, CAST(l_linenumber AS BIGINT) * 10 AS pos, l_linestatus AS text FROM lineitem")
+    return pdf.under_overlay(p, d), "*"
+
+
+@query("events")
+def redaction_classes(p: Plan):
+    """Classes by precedence."""
+    f = p.add("facts", "SELECT event_id, event_id % 7 AS under, event_id % 5 = 0 AS old_revision, event_id % 11 = 0 AS deleted, event_id % 3 = 0 AS has_text, event_id % 13 AS path_steps, event_id % 2 AS images FROM events WHERE event_id % 7 < 2")
+    return pdf.redaction_class(p, f), "*"
+
+
+@query("events")
+def unredact_decisions(p: Plan):
+    """Outcome and refusal of every combination of facts."""
+    f = p.add("facts", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'locate' WHEN 1 THEN 'lift' WHEN 2 THEN 'recover' ELSE 'refuse' END AS op, event_id % 3 = 0 AS leftover, event_id % 5 < 3 AS recovered, event_id % 7 < 3 AS opaque, event_id % 11 < 6 AS residual, event_id % 13 = 0 AS flattened FROM events")
+    return pdf.decide(p, f), "*"
+
+
+@query("documents")
+def twin_documents(p: Plan):
+    """Strings of one twin only, and identifiers of both."""
+    a = artifacts(p)
+    src = p.add("s", f"SELECT id, substr(t, 1, 60) AS t FROM {a}")
+    x, y = p.add("x", f"SELECT t FROM {src} WHERE id % 10 < 8"), p.add("y", f"SELECT t FROM {src} WHERE id % 10 > 1 OR id < 0")
+    return pdf.twins(p, x, y), "*"
+
+
+@query("documents")
+def eof_spans(p: Plan):
+    """Revision ends in container texts."""
+    src = p.add("s", "SELECT doc_id AS id, concat(text, ' %%EOF ', lang, ' %%EOF ', source) AS t FROM documents")
+    return pdf.eof_spans(p, src), "*"
+
+
+# ---------------------------------------------------------------- whole images and files (rows of Python kernels: no SQL form)
+
+
+class Kernel:
+    """A query whose core is an array kernel or a byte parser."""
+
+    def __init__(self, run: Callable):
+        self.run, self.name = run, run.__name__
+
+    def __call__(self, spark, sf_dir: str):
+        return self.run(spark, sf_dir)
+
+    def oracle(self) -> None:
+        return None
+
+
+def kernel(run: Callable) -> Callable:
+    ALL[run.__name__] = Kernel(run)
+    return run
+
+
+def images(spark, sf_dir: str):
+    p = Plan()
+    return kernels.packed(p.frame(spark, carriers.paper(p), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+
+
+def full_profile(m: str) -> None:
+    def run(spark, sf_dir: str):
+        return kernels.full_lens(images(spark, sf_dir), m)
+
+    run.__name__ = f"full_lens_{m}"
+    kernel(run)
+
+
+for _m in MODES:
+    full_profile(_m)
+
+
+@kernel
+def full_target_ink(spark, sf_dir: str):
+    """L13 with high-pass."""
+    return kernels.full_target(images(spark, sf_dir), "ink")
+
+
+@kernel
+def ink_strokes(spark, sf_dir: str):
+    """Components and stroke widths."""
+    return kernels.strokes(images(spark, sf_dir))
+
+
+@kernel
+def png_round_trip(spark, sf_dir: str):
+    """Encode, decode, and count the images that come back within a byte's half step."""
+    from pyspark.sql import functions as F
+
+    from foliant.sources import images as files_
+
+    src = images(spark, sf_dir)
+    back = files_.decode_png(kernels.encoded(src), "png").select("image_id", "error", F.col("r").alias("r2"))
+    worst = F.aggregate(F.zip_with("r", "r2", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    return src.join(back, "image_id").select("image_id", "error", (worst <= 0.5 / 255 + 1e-12).alias("same"))
+
+
+@kernel
+def synthetic_receipts(spark, sf_dir: str):
+    """The synthetic page through every lens."""
+    from functools import reduce as fold
+
+    from pyspark.sql import functions as F
+
+    from foliant.sources import images as files_
+
+    page = files_.synthetic_page(spark)
+    parts = [lens.apply_mode(page, m).groupBy("image_id").agg(F.lit(m).alias("lens"), *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in "rgb")) for m in MODES]
+    return fold(lambda a, b: a.unionByName(b), parts)
+
+
+def pdf_files(spark, sf_dir: str):
+    """Two-revision PDF files, one a document: its text, then a revision that paints a box over the page."""
+    import zlib
+
+    import pyarrow as pa
+
+    from foliant.sources import pdf as files_
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                body = (t or "").encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+                z = zlib.compress(b"BT /F1 12 Tf (" + body + b") Tj ET 0 g 10 10 100 20 re f")
+                first = files_.build([(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), (3, b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"), (4, b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(z) + z + b"\nendstream")])
+                at = first.rfind(b"xref\n", 0, first.rfind(b"startxref"))
+                out.append(files_.build([(4, b"<< /Length 21 >>\nstream\n0 g 10 10 100 20 re f\nendstream")], first, at) + b"9 0 obj\n<< /X 4 0 R >>\nendobj\n")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.pdf" for i in b.column("doc_id").to_pylist()]), pa.array(out, pa.binary())], names=["filename", "content"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.mapInArrow(run, "filename string, content binary")
+
+
+def pdf_table(which: str, name: str) -> None:
+    def run(spark, sf_dir: str):
+        from foliant.sources import pdf as files_
+
+        return files_.table(pdf_files(spark, sf_dir), which)
+
+    run.__name__ = name
+    kernel(run)
+
+
+for _t, _n in (("objects", "pdf_objects"), ("xref", "pdf_xref"), ("refs", "pdf_refs"), ("drawn", "pdf_drawn"), ("after", "pdf_after_eof")):
+    pdf_table(_t, _n)
+
+
+@kernel
+def pdf_history(spark, sf_dir: str):
+    """Leftovers of files that were parsed, counted by kind."""
+    from foliant.sources import pdf as files_
+
+    src = pdf_files(spark, sf_dir)
+    p = Plan()
+    left = pdf.leftovers(p, "pdf_objects_in", "pdf_xref_in")
+    return p.frame(spark, left, pdf_objects_in=files_.table(src, "objects"), pdf_xref_in=files_.table(src, "xref"))
+
+
+@kernel
+def artifact_parts(spark, sf_dir: str):
+    """Parts of mail, JSON and gzip files made of documents."""
+    import gzip
+
+    import pyarrow as pa
+
+    from foliant.sources import artifacts as files_
+
+    def run(batches):
+        for b in batches:
+            names, out = [], []
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                raw = (t or "").encode()
+                mail = b"From: a@example.com\nSubject: " + str(i).encode() + b"\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\n\n" + raw
+                names += [f"{i}.eml", f"{i}.json", f"{i}.gz"]
+                out += [mail, b'{"_old": {"n": %d}, "n": 1, "n": 2}' % (i or 0), gzip.compress(mail, mtime=0)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(out, pa.binary())], names=["filename", "content"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return files_.scanned(docs.mapInArrow(run, "filename string, content binary"))
+
+
+@kernel
+def streaming_counters(spark, sf_dir: str):
+    """C03-C05 as a stream: events read as they arrive, exact totals by key."""
+    import uuid
+
+    from foliant.streaming import counters as stream
+
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
+    requests = events.selectExpr("event_type AS kind", "concat('project|', user_id % 7) AS key", "CASE WHEN event_id % 3 = 0 THEN 'curl/8' ELSE 'Mozilla/5.0' END AS ua", "CAST(user_id % 100 AS DOUBLE) AS score", "CAST(NULL AS BOOLEAN) AS verified")
+    name = f"totals_{uuid.uuid4().hex}"
+    where = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp").rstrip("/") + f"/stream-{name}"
+    started = stream.start(requests, name, where)
+    started.processAllAvailable()
+    started.stop()
+    return spark.table(name)
