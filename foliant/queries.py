@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from foliant.constants import MODES, PAPERS
 from foliant.functions.pixel import luma
-from foliant.operators import counters, cover, ink, kernels, lens, neighbour, pdf, pigment, recover, reduce, text
+from foliant.operators import counters, cover, ink, kernels, lens, neighbour, pdf, pigment, recover, reduce, request, text
 from foliant.plans import carriers
 from foliant.plans.sql import Plan, Query
 
@@ -474,7 +474,7 @@ def live_map(p: Plan):
 @query("orders")
 def object_leftovers(p: Plan):
     """Instances that are not live, by kind."""
-    o = p.add("obj", "SELECT concat('f', CAST(o_custkey % 50 AS VARCHAR(20))) AS filename, CAST(o_custkey AS INT) AS id, CAST(CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS INT) AS gen, o_orderkey * 40 + o_orderkey % 12 AS place, o_orderkey % 2 = 0 AS has_stream, CAST(o_totalprice AS BIGINT) AS stream_bytes, o_orderpriority AS stream_sha256, CASE WHEN o_orderkey % 17 = 0 THEN 5 WHEN o_orderkey % 19 = 0 THEN 6 END AS parent FROM orders")
+    o = p.add("obj", "SELECT concat('f', CAST(o_custkey % 50 AS VARCHAR(20))) AS filename, CAST(o_custkey AS INT) AS id, CAST(CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS INT) AS gen, o_orderkey * 40 + o_orderkey % 12 AS place, o_orderkey % 2 = 0 AS has_stream, CAST(floor(o_totalprice) AS BIGINT) AS stream_bytes, o_orderpriority AS stream_sha256, CASE WHEN o_orderkey % 17 = 0 THEN 5 WHEN o_orderkey % 19 = 0 THEN 6 END AS parent FROM orders")
     return pdf.leftovers(p, o, xref_carrier(p)), "*"
 
 
@@ -693,3 +693,41 @@ def streaming_counters(spark, sf_dir: str):
     started.processAllAvailable()
     started.stop()
     return spark.table(name)
+
+
+# ---------------------------------------------------------------- requests in text
+
+
+@query("events")
+def resolve_modes(p: Plan):
+    """Modes, targets, switches and sidecar names from text."""
+    names = ("zero", " Candlelight ", "UV-light", "spectrometer", "nope", "balance", "invisible-ink-lemon")
+    pick = lambda words, by: "CASE " + by + " " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+    src = p.add("req", f"SELECT event_id, {pick(names, 'event_id % 8')} AS name, {pick(('page', 'Folio ', 'ink', 'x'), 'event_id % 5')} AS target, {pick(('off', 'YES', 'maybe', ' 0 ', 'no-inject'), 'event_id % 6')} AS inject, {pick(('a.png', 'b.JPEG', 'c.tar.gz', 'd'), 'event_id % 4')} AS file FROM events")
+    m = request.modes(p, src)
+    return p.add("all", f"SELECT event_id, mode, error, {request.target_of('target')} AS target, {request.inject_of('inject')} AS inject, {request.sidecar_name(p.d, 'file')} AS sidecar FROM {m}"), "*"
+
+
+@query("events")
+def normalize_lenses(p: Plan):
+    """Ordered distinct lenses of a request."""
+    texts = ("tazel+vyrn,tazel", "", "zero", " UV , candle+zen", "zero+nope", "balance,balance")
+    arms = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts))
+    return request.lenses(p, p.add("req", f"SELECT event_id AS id, CASE event_id % 7 {arms} END AS text, event_id % 2 = 0 AS inject FROM events")), "*"
+
+
+@query("lineitem")
+def resize_nearest(p: Plan):
+    """Nearest-neighbour reduction to 12 pixels."""
+    return request.resized(p, lens.clean(p, carriers.pixels(p)), 12), f"{lens.KEYS}, {R6('r', 'g', 'b')}"
+
+
+@query("lineitem")
+def paint_shift(p: Plan):
+    """Tint of every mode's paint over each image's mean luminance."""
+    from foliant.functions.pixel import clamp
+
+    l = p.add("l", f"SELECT image_id, avg({luma()}) AS l FROM {lens.clean(p, carriers.pixels(p))} GROUP BY image_id")
+    t = request.paints(p)
+    cols = ", ".join(f"round({clamp(f'l * (0.72e0 + 0.28e0 * {c} * 1.6e0)')}, 6) AS {c}" for c in "rgb")
+    return p.add("tints", f"SELECT image_id, mode, {cols} FROM {l} CROSS JOIN {t}"), "*"
