@@ -6,12 +6,14 @@ executor of a cluster share, so a lost executor costs a reread and never a resul
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,15 +125,24 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def released() -> None:
+    """Give memory that this worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def sliced(batches, rows: int = 1_000):
     """Arrow batches cut into short ones, so that few Python objects live at a time."""
+    released()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    released()
 
 
 def texts(batch, name: str) -> list:
     """A string column of an Arrow batch as UTF-8 bytes (None for null)."""
-    import pyarrow as pa
-
     return batch.column(name).cast(pa.binary()).to_pylist()

@@ -27,7 +27,8 @@ from foliant.llm.graph import components
 from foliant.llm.partenum import signatures
 
 N, PERCENT = 5, 80
-BUCKET_ROWS = 1_000_000  # signatures that one task groups, 14 bytes each
+BUCKET_ROWS = 500_000  # signatures that one task groups, 14 bytes each
+CACHED = 100_000  # words whose hashes a task remembers
 SKETCH, SKETCH_MOST = 1024, 1 << 16  # bits; twice to four times the set's size, within these bounds
 KEPT = 6  # bytes of a shingle's hash that verification compares
 KEYS_SENT = 4_000_000  # 64-bit keys that may be broadcast; beyond, a join picks the sets
@@ -76,7 +77,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key and sketch (both null for an empty set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = hash_cache()
+        cache = hash_cache(CACHED)
         for b in sliced(batches):
             rows = [(len(s), set_key(s), sketch(s)) if len(s) else (0, None, None) for s in (shingles(t or b"", cache) for t in texts(b, "text"))]
             n, key, sk = zip(*rows, strict=True) if rows else ((), (), ())
@@ -100,7 +101,7 @@ def signed(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed rows (bucket, sigs, keys); a partition signs each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, held, size = hash_cache(), set(), [], 0
+        cache, seen, held, size = hash_cache(CACHED), set(), [], 0
 
         def flush() -> pa.RecordBatch:
             sig, key = np.concatenate([s for s, _ in held]), np.concatenate([np.full(len(s), k, np.int64) for s, k in held]).view(np.uint64)
@@ -252,7 +253,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, info: DataFrame) -> DataFrame:
     named = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = hash_cache()
+        cache = hash_cache(CACHED)
         for b in sliced(batches):
             rows = [(set_key(s), planes(s, KEPT)) for s in (shingles(t or b"", cache) for t in texts(b, "text")) if len(s)]
             if rows:
