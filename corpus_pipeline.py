@@ -40,7 +40,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(op6_bpe.VOCABULARY)
-    df = op6_bpe.decode(op6_bpe.encode(docs, path), path)
+    df = op6_bpe.tokenized(docs, path)
     return df.select(*(F.col("decoded").alias("text") if c == "text" else c for c in docs.columns), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -137,7 +137,7 @@ def train(
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
-        for b in batches:
+        for b in sliced(batches, 200):
             for k, y, i, v in zip(*(b.column(c).to_pylist() for c in ("k", "y", "idx", "val")), strict=True):
                 got.append((k, float(y > 0), np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)))
         got.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))

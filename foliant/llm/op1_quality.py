@@ -22,6 +22,7 @@ from foliant.llm.common import crc_bucket, hash_cache, mixed, sliced, table, tex
 
 BITS = 20
 MAX_ROWS = 8_000
+CACHED = 120_000  # words that a task remembers
 THRESHOLD = 0.7
 CLASS = bytes(
     97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)
@@ -38,7 +39,7 @@ class WordNgrams:
 
     def __init__(self, bits: int = BITS):
         self.mask = np.uint64((1 << bits) - 1)
-        self.hashes, self.shapes = hash_cache(), WordCache(shape)
+        self.hashes, self.shapes = hash_cache(CACHED), WordCache(shape, CACHED)
 
     def buckets(self, words: list[bytes], h: np.ndarray | None = None) -> np.ndarray:
         """``h``: the words' hashes, if they are known already."""

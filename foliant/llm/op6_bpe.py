@@ -92,7 +92,7 @@ class Automaton:
         ok = self.known.get(a << 20 | t)
         if ok is None:
             ok = self.follows(a, t)
-            if len(self.known) < 200_000:
+            if len(self.known) < 100_000:
                 self.known[a << 20 | t] = ok
         return ok
 
@@ -127,18 +127,12 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             self.machine = Automaton(json.load(f))
         m = self.machine
-        self.words = WordCache(lambda w: m.encode_word(w.encode()), 200_000)
-        self.chunks = WordCache(self._chunk, 200_000)
+        self.words = WordCache(lambda w: m.encode_word(w.encode()), 120_000)
+        self.chunks = WordCache(self._chunk, 120_000)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(m.special, key=len, reverse=True)) + ")") if m.special else None
         self.label = m.bytes
         self.decimal = {i: str(i) for i in m.bytes}
 
-    def forget(self) -> None:
-        """Free what a task has remembered; its process may live on."""
-        self.words.clear()
-        self.chunks.clear()
-        self.machine.known.clear()
-
     def segment(self, s: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(s))))
 
@@ -180,14 +174,9 @@ class Codec:
         return ",".join(map(self.decimal.__getitem__, ids))
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """One codec for each vocabulary and Python process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """A codec for one task: compiled in a fraction of a second, and gone with the task."""
+    return Codec(path)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -199,8 +188,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         for b in sliced(batches):
             got = [c.encode(t or "") for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int32()))], names=[*names, ids])
-        c.forget()
-
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{head}, `{ids}` array<int>")
 
@@ -219,6 +206,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.mapInArrow(run, f"{head}, `{text}` string")
 
 
+def tokenized(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with token ids and the text that they decode to, in one pass."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in sliced(batches):
+            got = [c.encode(t or "") for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int32())), pa.array([c.decode(i) for i in got], pa.string())], names=[*names, ids, decoded])
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{head}, `{ids}` array<int>, `{decoded}` string")
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text, without moving either."""
 
@@ -232,8 +233,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 enc.append(hashlib.sha256(c.joined(ids).encode()).hexdigest())
                 dec.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        c.forget()
-
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -140,7 +140,7 @@ def viterbi(token: str, model: np.ndarray) -> str:
 
 
 class Restorer:
-    def __init__(self, model: np.ndarray, cap: int = 200_000):
+    def __init__(self, model: np.ndarray, cap: int = 100_000):
         self.model = model
         self.tokens = WordCache(self._token, cap)
 
@@ -167,7 +167,7 @@ class ToxicFeatures:
     def __init__(self, model: np.ndarray):
         self.restorer = Restorer(model)
         self.mask = (1 << BITS) - 1
-        self.cache = WordCache(self._word, 300_000)
+        self.cache = WordCache(self._word, 150_000)
 
     def _word(self, token: str) -> tuple[int, ...]:
         word = self.restorer._token(token).strip(EDGES + "!")
