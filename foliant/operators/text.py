@@ -5,6 +5,9 @@ Relations of texts are (id, t). Hits are rows (id, kind, preview, pos, state): p
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from foliant.plans.sql import Plan, as_frame
 
 PREVIEW = 240
@@ -38,6 +41,20 @@ MARKUP = (
 )
 
 
+def decoded(files: DataFrame) -> DataFrame:
+    """``files`` (.., content) with text and encoding: by byte-order mark, else UTF-8 if valid, else Latin-1."""
+    head = F.hex(F.substring("content", 1, 4))
+    marks = (("FFFE0000", 0, "UTF-32", "utf-32-le"), ("0000FEFF", 0, "UTF-32", "utf-32-be"), ("FFFE", 2, "UTF-16LE", "utf-16-le"), ("FEFF", 2, "UTF-16BE", "utf-16-be"))
+    rest = lambda n: F.expr(f"substring(content, {n + 1})")
+    utf8 = F.col("content").cast("string")
+    text = F.when(F.startswith(head, F.lit("EFBBBF")), F.make_valid_utf8(rest(3).cast("string"))).when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
+    name = F.when(F.startswith(head, F.lit("EFBBBF")), "utf-8-bom").when(F.is_valid_utf8(utf8), "utf-8").otherwise("latin-1")
+    for mark, skip, charset, label in reversed(marks):
+        on = F.startswith(head, F.lit(mark))
+        text, name = F.when(on, F.decode(rest(skip), charset)).otherwise(text), F.when(on, label).otherwise(name)
+    return files.withColumn("text", text).withColumn("encoding", F.when(F.col("content").isNotNull(), name))
+
+
 def printable(d, x: str, limit: int = PREVIEW) -> str:
     """Printable ASCII, newlines and tabs; blanks run together, trimmed, cut with an ellipsis."""
     s = d.sub(d.sub(x, r"[^\x20-\x7E\n\t]", " "), r"[ \t]+", " ")

@@ -8,6 +8,7 @@ results are cross-checked. What the two dialects spell differently lives in the
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -203,15 +204,21 @@ class Plan:
         self.steps.append((own, sql))
         return own
 
-    def text(self, result: str, columns: str = "*") -> str:
-        chain = ",\n".join(f"{n} AS ({s})" for n, s in self.steps)
-        return f"WITH {'RECURSIVE ' if self.recursive else ''}{chain}\nSELECT {columns} FROM {result}" if self.steps else f"SELECT {columns} FROM {result}"
+    def text(self, result: str, columns: str = "*", inputs: tuple[tuple[str, str], ...] = ()) -> str:
+        steps = [*inputs, *self.steps]
+        chain = ",\n".join(f"{n} AS ({s})" for n, s in steps)
+        return f"WITH {'RECURSIVE ' if self.recursive else ''}{chain}\nSELECT {columns} FROM {result}" if steps else f"SELECT {columns} FROM {result}"
 
     def frame(self, spark: SparkSession, result: str, columns: str = "*", **tables: DataFrame) -> DataFrame:
-        sql = self.text(result, columns)
-        for name, df in tables.items():  # the views' names are bound when the text is analysed
-            df.createOrReplaceTempView(name)
-        return spark.sql(sql)
+        """The result over DataFrames that the steps name. The session's own views stay as they are."""
+        views = {name: f"foliant_{uuid.uuid4().hex}" for name in tables}
+        for name, df in tables.items():
+            df.createOrReplaceTempView(views[name])
+        try:
+            return spark.sql(self.text(result, columns, tuple((n, f"SELECT * FROM {v}") for n, v in views.items())))
+        finally:
+            for v in views.values():  # the text is analysed by now
+                spark.catalog.dropTempView(v)
 
 
 def as_frame(build: Callable) -> Callable:
@@ -220,8 +227,7 @@ def as_frame(build: Callable) -> Callable:
     @functools.wraps(build)
     def on(df: DataFrame, *args, **kwargs) -> DataFrame:
         plan = Plan(SPARK)
-        name = f"src_{id(df)}"
-        return plan.frame(df.sparkSession, build(plan, name, *args, **kwargs), **{name: df})
+        return plan.frame(df.sparkSession, build(plan, "src", *args, **kwargs), src=df)
 
     return on
 

@@ -29,6 +29,18 @@ def test_secrets_are_cited_and_suppressed(spark):
     assert "hunter2" not in out[0] and out[1] == "[private-key-suppressed]" and out[2] == "a cookie is nice"
 
 
+def test_charsets(spark):
+    cases = [("é漢".encode("utf-16-le"), b"\xff\xfe", "utf-16-le"), ("é漢".encode("utf-16-be"), b"\xfe\xff", "utf-16-be"), ("é漢".encode("utf-32-le"), b"\xff\xfe\0\0", "utf-32-le"), ("é漢".encode(), b"\xef\xbb\xbf", "utf-8-bom"), ("é漢".encode(), b"", "utf-8"), ("é".encode("latin-1"), b"", "latin-1")]
+    d = spark.createDataFrame([(i, bytearray(m + b)) for i, (b, m, _) in enumerate(cases)] + [(9, None)], "id int, content binary")
+    got = {r.id: (r.text, r.encoding) for r in text.decoded(d).collect()}
+    assert [got[i] for i in range(6)] == [("é漢", c[2]) for c in cases[:5]] + [("é", "latin-1")] and got[9] == (None, None)
+
+
+def test_views_of_the_session_stay(spark):
+    spark.range(3).createOrReplaceTempView("src")
+    assert text.identifier_hits(texts(spark, "AB123456")).count() == 2 and spark.table("src").count() == 3
+
+
 def test_identifiers_in_order_and_capped(spark):
     d = texts(spark, "AB123456 D:20200101 2020-01-02 EFTA-123456", " ".join(f"2020-01-{i:02d}" for i in range(1, 60)))
     got = text.identifier_hits(d).collect()
