@@ -16,8 +16,7 @@ from foliant.llm.common import stored, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule and that the calibrated classifier keeps."""
-    model = op4_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return op4_rules.judge(docs, model, tuple(docs.columns)).where("kept").select(*docs.columns)
+    return op4_rules.clean(docs, op4_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +35,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, and the text that the ids decode to."""
+    """The documents with their token ids, and the text that the ids decode to.
+
+    Columns of documents that are called ids, decoded or n_tokens get the ending _before.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path(op6_bpe.VOCABULARY)
+    own = {c: f"{c}_before" for c in docs.columns if c.lower() in ("ids", "decoded", "n_tokens")}
+    docs = docs.withColumnsRenamed(own)
     df = op6_bpe.tokenized(docs, path)
     return df.select(*(F.col("decoded").alias("text") if c == "text" else c for c in docs.columns), F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -75,6 +75,12 @@ def discard(*dfs: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def aside(docs: DataFrame, taken: tuple[str, ...]):
+    """``docs`` with other names for columns called like those that an operator adds, and the way back."""
+    names = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    return docs.withColumnsRenamed(names), lambda df: df.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def crc_bucket(col: str, n: int) -> Column:
     """crc32(id as text) mod n, the fold of the contracts; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

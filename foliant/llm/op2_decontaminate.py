@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, sliced, stored, table, texts, window_hashes
+from foliant.llm.common import aside, discard, sliced, stored, table, texts, window_hashes
 
 N = 10
 BLOCK_BYTES = 32 << 20
@@ -155,6 +155,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_
 
     n_chars, if there is such a column, follows the text that is left.
     """
+    docs, back = aside(docs, ("n_words", "n_hit", "runs", "items"))
     scanned = scan(docs, benchmark).where(F.col("n_hit") <= F.col("n_words") * max_share)
     cols, head = docs.columns, docs.schema
 
@@ -169,7 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_
                 arrays[cols.index("n_chars")] = pa.array(kept, b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(arrays, names=cols)
 
-    return scanned.mapInArrow(run, head)
+    return back(scanned.mapInArrow(run, head))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import hashed_lr
-from foliant.llm.common import MIX, mixed, sliced, table, texts, window_hashes, word_hashes
+from foliant.llm.common import aside, MIX, mixed, sliced, table, texts, window_hashes, word_hashes
 from foliant.llm.op1_quality import WordNgrams
 
 BITS = 20
@@ -111,3 +111,9 @@ def judge(docs: DataFrame, model: hashed_lr.Model, keep: tuple[str, ...] = ("doc
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def clean(docs: DataFrame, model: hashed_lr.Model) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns."""
+    docs, back = aside(docs, (*COUNTS, "base_failed", "probability", "kept"))
+    return back(judge(docs, model, tuple(docs.columns)).where("kept").select(*docs.columns))

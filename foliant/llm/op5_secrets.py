@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, stored, table
+from foliant.llm.common import aside, discard, stored, table
 
 #: Candidate documents that may be broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -202,6 +202,7 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """``docs`` with every span, or run of overlapping spans, replaced by ``mark``; n_chars follows the text."""
+    docs, back = aside(docs, ("_text", "_hash", "_id", "_h", "_kinds", "_spans", "_clean"))
     found = scan(docs)
 
     def add(acc: Column, s: Column) -> Column:
@@ -219,7 +220,7 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
         F.col("_clean").alias("text") if c == "text" else F.when(hit, F.length("_clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
         for c in docs.columns
     ]
-    return out.select(*kept)
+    return back(out.select(*kept))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, hash_cache, mixed, sliced, stored, table, texts, window_hashes, word_hashes
+from foliant.llm.common import aside, discard, hash_cache, mixed, sliced, stored, table, texts, window_hashes, word_hashes
 from foliant.llm.graph import components
 from foliant.llm.partenum import signatures
 
@@ -325,12 +325,13 @@ def join(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: that whose doc_id names it; repeated rows stay once."""
+    docs, back = aside(docs, ("copies", "_id"))
     kept = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "n_shingles", "key").agg(F.count("*").alias("copies"))
     single = kept.groupBy("doc_id").agg(F.sum("copies").alias("copies"))
     once = docs.join(single.select(F.col("doc_id").alias("_id"), "copies"), F.col("doc_id").eqNullSafe(F.col("_id")), "inner").drop("_id")
     # an id that comes once names its row; rows that share an id stay once for each text
     several = once.where("copies > 1").drop("copies").dropDuplicates(["doc_id", "text"])
-    return once.where("copies = 1").drop("copies").unionByName(several)
+    return back(once.where("copies = 1").drop("copies").unionByName(several))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -473,6 +473,8 @@ def test_pipeline_stages(spark, tmp_path):
     d = pd.DataFrame({"doc_id": range(60), "text": texts, "lang": "en", "source": "s", "n_chars": [len(t) for t in texts]})
     d.loc[60] = [60, None, None, None, 0]
     d["n_chars"] = d.n_chars.astype("int64")
+    for c in ("kept", "n_words", "runs", "Items", "copies", "_id", "_text", "_spans", "ids", "probability", "key", "shingles"):
+        d[c] = "own"  # names that operators use too
     d["doc_id"] = d.doc_id.astype("int64")
     d.to_parquet(tmp_path / "documents.parquet")
     pd.DataFrame({"doc_id": np.arange(60), "quality": np.ones(60, np.int32), "toxic": np.zeros(60, np.int32)}).to_parquet(tmp_path / "labels.parquet")
@@ -481,4 +483,4 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
     assert set(range(60)) - set(out.index) == {6, 7} and 60 not in out.index
     assert "bench" not in out.text[3] and "abcdefghijkl" not in out.text[4] and out.text[8] == texts[8]
-    assert (out.n_tokens == out.ids.map(len)).all()
+    assert (out.n_tokens == out.ids.map(len)).all() and set(out.kept) == set(out["Items"]) == set(out.ids_before) == set(out._text) == {"own"}
