@@ -101,20 +101,26 @@ class Automaton:
         whole = self.arc.get(word)
         if whole is not None:
             return (whole,)
-        arc, n, out, dead, i = self.arc, len(word), [], set(), 0
-        size = min(n, self.reach.get(word[:3], 2))
+        arc, reach, known, n, out, dead, i, last = self.arc.get, self.reach.get, self.known.get, len(word), [], set(), 0, -1
+        size = min(n, reach(word[:3], 2))
         while i < n:
             while size:
-                t = arc.get(word[i : i + size])
-                if t is not None and (not out or self.step(out[-1], t)) and (i + size, t) not in dead:
-                    break
+                t = arc(word[i : i + size])
+                if t is not None:
+                    ok = True if last < 0 else known(last << 20 | t)
+                    if ok is None:
+                        ok = self.step(last, t)
+                    if ok and not (dead and (i + size, t) in dead):
+                        break
                 size -= 1
             if size:
                 out.append(t)
+                last = t
                 i += size
-                size = min(n - i, self.reach.get(word[i : i + 3], 2))
+                size = min(n - i, reach(word[i : i + 3], 2))
             else:  # a dead end: the last label cannot be right here
                 t = out.pop()
+                last = out[-1] if out else -1
                 dead.add((i, t))
                 size = len(self.bytes[t])
                 i -= size
@@ -127,8 +133,8 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             self.machine = Automaton(json.load(f))
         m = self.machine
-        self.words = WordCache(lambda w: m.encode_word(w.encode()), 120_000)
-        self.chunks = WordCache(self._chunk, 120_000)
+        self.words = WordCache(lambda w: m.encode_word(w.encode()), 150_000)
+        self.chunks = WordCache(self._chunk, 150_000)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(m.special, key=len, reverse=True)) + ")") if m.special else None
         self.label = m.bytes
         self.decimal = {i: str(i) for i in m.bytes}
