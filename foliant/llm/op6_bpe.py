@@ -60,10 +60,12 @@ class Automaton:
             u, v = m.split(" ") if isinstance(m, str) else m
             self.gadget(k, vocab[u], vocab[v], vocab[u + v])
         self.known.clear()  # answers of earlier times
-        #: the longest label that begins with these (up to three) bytes
-        self.reach: dict[bytes, int] = {}
+        #: the longest label that begins with these three bytes, four, and six
+        self.reach: tuple[dict[bytes, int], ...] = ({}, {}, {})
         for label in self.arc:
-            self.reach[label[:3]] = max(self.reach.get(label[:3], 0), len(label))
+            for table, n in zip(self.reach, (3, 4, 6), strict=True):
+                if len(label) >= n:
+                    table[label[:n]] = max(table.get(label[:n], 0), len(label))
 
     def gadget(self, k: int, u: int, v: int, uv: int) -> None:
         if self.follows(u, v):  # else no word keeps u and v side by side, and nothing changes
@@ -101,9 +103,18 @@ class Automaton:
         whole = self.arc.get(word)
         if whole is not None:
             return (whole,)
-        arc, reach, known, n, out, dead, i, last = self.arc.get, self.reach.get, self.known.get, len(word), [], set(), 0, -1
-        size = min(n, reach(word[:3], 2))
+        arc, known, n, out, dead, i, last = self.arc.get, self.known.get, len(word), [], set(), 0, -1
+        three, four, six = (t.get for t in self.reach)
+        size = -1
         while i < n:
+            if size < 0:  # how long a label can be here
+                size = three(word[i : i + 3], 2)
+                if size > 3:
+                    size = four(word[i : i + 4], 3)
+                    if size > 5:
+                        size = six(word[i : i + 6], 5)
+                if size > n - i:
+                    size = n - i
             while size:
                 t = arc(word[i : i + size])
                 if t is not None:
@@ -117,7 +128,7 @@ class Automaton:
                 out.append(t)
                 last = t
                 i += size
-                size = min(n - i, reach(word[i : i + 3], 2))
+                size = -1
             else:  # a dead end: the last label cannot be right here
                 t = out.pop()
                 last = out[-1] if out else -1
@@ -133,8 +144,9 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             self.machine = Automaton(json.load(f))
         m = self.machine
-        self.words = WordCache(lambda w: m.encode_word(w.encode()), 150_000)
-        self.chunks = WordCache(self._chunk, 150_000)
+        self.words = WordCache(lambda w: m.encode_word(w.encode()), 50_000)
+        self.chunks = WordCache(self._chunk, 250_000)
+        self.marks = {c: m.encode_word(c.encode()) for c in ",.;:!?"}
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(m.special, key=len, reverse=True)) + ")") if m.special else None
         self.label = m.bytes
         self.decimal = {i: str(i) for i in m.bytes}
@@ -143,8 +155,13 @@ class Codec:
         return tuple(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(s))))
 
     def _chunk(self, s: str) -> tuple[int, ...]:
+        if s.isalpha():  # letters alone are one word of the pattern
+            return self.machine.encode_word((" " + s).encode())
         if not s or SPACE.match(s):
             raise LookupError(s)
+        mark = self.marks.get(s[-1])
+        if mark and s[:-1].isalpha():  # one such mark behind letters is a word of its own
+            return (self.chunks.get(s[:-1]) or self.machine.encode_word((" " + s[:-1]).encode())) + mark
         return self.segment(" " + s)
 
     def _plain(self, text: str) -> list[int]:
@@ -180,9 +197,16 @@ class Codec:
         return ",".join(map(self.decimal.__getitem__, ids))
 
 
-def codec(path: str) -> Codec:
-    """A codec for one task: compiled in a fraction of a second, and gone with the task."""
-    return Codec(path)
+_kept: dict[str, Codec] = {}
+
+
+def codec(path: str, keep: bool = False) -> Codec:
+    """A codec for one task; with ``keep`` it and what it has remembered serve the process's later tasks too."""
+    if not keep:
+        return Codec(path)
+    if path not in _kept:
+        _kept[path] = Codec(path)
+    return _kept[path]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -230,7 +254,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text, without moving either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, keep=True)
         for b in sliced(batches):
             n, enc, dec = [], [], []
             for t in b.column("text").to_pylist():
