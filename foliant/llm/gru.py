@@ -201,17 +201,14 @@ def windows(docs: list[np.ndarray], start: int):
         yield x[cut].T, keep[cut].T, y[cut].T, real.T, owner[cut].T
 
 
-def trained(model: Gru, docs: list[np.ndarray], start: int, opt: Adagrad, every: int) -> int:
-    """One pass; each ``every``-th window takes a step, all carry the state. Returns the tokens of those steps."""
+def trained(model: Gru, docs: list[np.ndarray], start: int, opt: Adagrad) -> int:
+    """One pass; every window takes a step and carries the state. Returns the tokens of the steps."""
     h, done = None, 0
-    for k, (x, keep, y, real, _) in enumerate(windows(docs, start)):
+    for x, keep, y, real, _ in windows(docs, start):
         h = np.zeros((x.shape[1], model.hidden), f32) if h is None else h[: x.shape[1]]
-        if k % every == 0:
-            g, h = model.gradients(x, keep, h, y, real)
-            opt.apply(g)
-            done += int(real.sum())
-        else:
-            h = model.states(x, keep, h)[-1]
+        g, h = model.gradients(x, keep, h, y, real)
+        opt.apply(g)
+        done += int(real.sum())
     return done
 
 

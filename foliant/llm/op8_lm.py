@@ -4,8 +4,8 @@ Tokens are words with A-Z lower-cased, then one end. Counts cover every training
 knows the VOCABULARY most frequent tokens; every other word is one of ENDINGS classes by its last two bytes,
 times the word's smoothed share of its class, so that the score is a probability over all words, seen or not.
 Training: a first pass on a bounded seed (SEED_DOCS, in one task) leaves the symmetric start; then every
-partition of the training documents carries the state through all its tokens and takes a gradient step on one
-window in EVERY, and the partitions' weights are averaged by their numbers of tokens, in a tree of tasks.
+partition of the training documents carries the state through all its tokens and takes a gradient step on every
+window, and the partitions' weights are averaged by their numbers of tokens, in a tree of tasks.
 
 Scoring is one pass over the texts with the FREQUENT most frequent words' counts broadcast (a fixed number);
 the counts of rarer words are joined by word. Null counts as empty (an end alone). A row is named by a hash of
@@ -30,7 +30,7 @@ from foliant.llm.gru import Adagrad, Gru, log_likelihoods, trained
 
 VOCABULARY, ENDINGS, HIDDEN = 2_000, 64, 16
 FREQUENT = 200_000
-SEED_DOCS, SEED_RATE, RATE, EVERY = 2_000, 0.1, 0.05, 10
+SEED_DOCS, SEED_RATE, RATE = 2_000, 0.1, 0.05
 HELD_TOKENS = 1_000_000  # tokens of documents that are packed into lanes together
 SLICES, FAN_IN = 8, 64
 ALPHA = 0.1
@@ -134,7 +134,7 @@ def lexicon(vocab: DataFrame, frequent: int = FREQUENT) -> tuple[Lexicon, DataFr
     return Lexicon(top, sums.n or 0, sums.v or 0, {r.e: (r.n, r.v) for r in ends}), rest
 
 
-def _fit(batches, lex: Lexicon, model: Gru, rate: float, every: int) -> tuple[np.ndarray, int]:
+def _fit(batches, lex: Lexicon, model: Gru, rate: float) -> tuple[np.ndarray, int]:
     opt, held, size, done = Adagrad(model, rate), [], 0, 0
     for b in batches:
         for t in texts(b, "text"):
@@ -142,10 +142,10 @@ def _fit(batches, lex: Lexicon, model: Gru, rate: float, every: int) -> tuple[np
             held.append(ids)
             size += len(ids)
             if size >= HELD_TOKENS:
-                done += trained(model, held, lex.start, opt, every)
+                done += trained(model, held, lex.start, opt)
                 held, size = [], 0
     if held:
-        done += trained(model, held, lex.start, opt, every)
+        done += trained(model, held, lex.start, opt)
     return model.vector(), done
 
 
@@ -170,20 +170,20 @@ def _averaged(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(bytes(r.vector), np.float64) / r.weight for r in rows])
 
 
-def fit(docs: DataFrame, lex: Lexicon, seed_docs: int = SEED_DOCS, every: int = EVERY) -> Gru:
+def fit(docs: DataFrame, lex: Lexicon, seed_docs: int = SEED_DOCS) -> Gru:
     """The recurrent model, trained on all ``docs`` (doc_id, text)."""
     sc = docs.sparkSession.sparkContext
     model = Gru.new(lex.counts, HIDDEN)
     lex_sent = sc.broadcast(lex)
 
-    def spread(start: Gru, rate: float, step: int):
+    def spread(start: Gru, rate: float):
         sent = sc.broadcast(start)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             m = sent.value
-            v, n = _fit(batches, lex_sent.value, m.with_vector(m.vector()), rate, step)
+            v, n = _fit(batches, lex_sent.value, m.with_vector(m.vector()), rate)
             if n:
                 cuts = np.array_split(v.astype(np.float64) * n, SLICES)
                 k = TaskContext.get().partitionId()
@@ -198,10 +198,10 @@ def fit(docs: DataFrame, lex: Lexicon, seed_docs: int = SEED_DOCS, every: int =
     ends = int(lex.counts[lex.start])  # one for each training document
     share = 1_000_000 if ends <= seed_docs else seed_docs * 1_000_000 // ends
     seed = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("text")
-    v = _averaged(seed.repartition(1).mapInArrow(spread(model, SEED_RATE, 1), out))
+    v = _averaged(seed.repartition(1).mapInArrow(spread(model, SEED_RATE), out))
     if v is not None:
         model = model.with_vector(v)
-    parts = stored(docs.select("text").mapInArrow(spread(model, RATE, every), out), "weights")
+    parts = stored(docs.select("text").mapInArrow(spread(model, RATE), out), "weights")
     v = _averaged(parts)
     discard(parts)
     return model if v is None else model.with_vector(v)

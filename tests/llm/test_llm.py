@@ -340,6 +340,22 @@ def test_lm_base_score_and_gain(spark, docs, empty):
     assert op8_lm.score(docs, lex, rest, op8_lm.fit(empty, lex)).count() == len(data)
 
 
+def test_lm_steps_on_every_token(spark, monkeypatch):
+    """The weights of the partitions, in tokens that took a gradient step, sum to the training tokens."""
+    rng = random.Random(8)
+    t = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 50)}" for _ in range(n)), None, None, None, None) for i, n in enumerate((700, 40, 0, 333, 90))], SCHEMA)
+    lex, _ = op8_lm.lexicon(op8_lm.stored(op8_lm.word_counts(t), "words"))
+    seen, averaged = [], op8_lm._averaged
+
+    def summed(parts):
+        seen.append(sum(r.weight for r in parts.where("slice = 0").collect()))
+        return averaged(parts)
+
+    monkeypatch.setattr(op8_lm, "_averaged", summed)
+    op8_lm.fit(t, lex)
+    assert seen == [lex.total, lex.total]  # seed pass, then all documents
+
+
 def test_gru_gradients_and_state():
     rng = np.random.default_rng(0)
     m = Gru.new(rng.random(100) * 50, 6)
