@@ -44,3 +44,9 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n, q in ALL.items() if not q.oracle()])
 def test_kernels_give_rows(spark, name):
     assert ALL[name](spark, str(DATA)).count() > 0
+
+
+def test_redaction_classes_take_every_event(spark):
+    got = ALL["redaction_classes"](spark, str(DATA)).collect()
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").collect())
+    assert {r.under for r in got} == set(range(7))
