@@ -517,8 +517,7 @@ def unredact_decisions(p: Plan):
 def twin_documents(p: Plan):
     """Strings of one twin only, and identifiers of both."""
     a = artifacts(p)
-    src = p.add("s", f"SELECT id, substr(t, 1, 60) AS t FROM {a}")
-    x, y = p.add("x", f"SELECT t FROM {src} WHERE id % 10 < 8"), p.add("y", f"SELECT t FROM {src} WHERE id % 10 > 1 OR id < 0")
+    x, y = p.add("x", f"SELECT t FROM {a} WHERE id % 10 < 8"), p.add("y", f"SELECT t FROM {a} WHERE id % 10 > 1 OR id < 0")
     return pdf.twins(p, x, y), "*"
 
 

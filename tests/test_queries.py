@@ -50,3 +50,17 @@ def test_redaction_classes_take_every_event(spark):
     got = ALL["redaction_classes"](spark, str(DATA)).collect()
     assert sorted(r.event_id for r in got) == sorted(r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").collect())
     assert {r.under for r in got} == set(range(7))
+
+
+def documents(spark, folder, rows):
+    """A folder with documents (doc_id, text, lang, source, n_chars) of (doc_id, text, source)."""
+    data = [(i, t, "en", source, len(t)) for i, t, source in rows]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_twins_compare_whole_texts(spark, tmp_path):
+    long = "same opening " * 8
+    first, second = long + "one 2020-01-02", long + "two 2020-01-02"
+    got = {(r.side, r.value) for r in ALL["twin_documents"](spark, documents(spark, tmp_path, [(10, first, "s"), (18, second, "s")])).collect()}
+    assert {("only_in_first", first), ("only_in_second", second), ("shared:iso-date", "2020-01-02")} <= got
