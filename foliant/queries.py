@@ -342,15 +342,15 @@ def detect_kinds(p: Plan):
 @query("documents")
 def recovered_dedup(p: Plan):
     """The first of equal items."""
-    items = p.add("items", "SELECT source AS file, doc_id AS seq, lang AS kind, 'text' AS path, substr(text, 1, 40) AS preview, CAST(NULL AS BIGINT) AS pos FROM documents")
+    items = p.add("items", "SELECT source AS file, doc_id AS seq, lang AS kind, 'text' AS path, text AS preview, CAST(NULL AS BIGINT) AS pos FROM documents")
     return recover.dedup(p, items), "*"
 
 
 @query("documents")
 def revision_diff(p: Plan):
     """Previews only in one of two revisions."""
-    a = p.add("old", "SELECT substr(text, 1, 40) AS preview FROM documents WHERE doc_id % 10 < 8")
-    b = p.add("new", "SELECT substr(text, 1, 40) AS preview FROM documents WHERE doc_id % 10 > 1")
+    a = p.add("old", "SELECT text AS preview FROM documents WHERE doc_id % 10 < 8")
+    b = p.add("new", "SELECT text AS preview FROM documents WHERE doc_id % 10 > 1")
     return recover.revision_diff(p, a, b), "*"
 
 
@@ -376,7 +376,7 @@ def provenance_rows(p: Plan):
 @query("documents")
 def query_filter(p: Plan):
     """V40."""
-    items = p.add("items", "SELECT doc_id AS seq, substr(text, 1, 80) AS preview, source AS path FROM documents")
+    items = p.add("items", "SELECT doc_id AS seq, text AS preview, source AS path FROM documents")
     return recover.found(p, items, "SRC1"), "*"
 
 

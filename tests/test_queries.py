@@ -64,3 +64,11 @@ def test_twins_compare_whole_texts(spark, tmp_path):
     first, second = long + "one 2020-01-02", long + "two 2020-01-02"
     got = {(r.side, r.value) for r in ALL["twin_documents"](spark, documents(spark, tmp_path, [(10, first, "s"), (18, second, "s")])).collect()}
     assert {("only_in_first", first), ("only_in_second", second), ("shared:iso-date", "2020-01-02")} <= got
+
+
+def test_items_are_whole_texts(spark, tmp_path):
+    long = "same opening " * 20
+    d = documents(spark, tmp_path, [(10, long + "one", "s"), (18, long + "two", "s"), (28, long + "two", "s"), (34, long + "src1", "s")])
+    assert {r.seq for r in ALL["recovered_dedup"](spark, d).collect()} == {10, 18, 34}
+    assert {(r.side, r.preview) for r in ALL["revision_diff"](spark, d).collect()} == {("removed", long + "one"), ("added", long + "two")}
+    assert [r.seq for r in ALL["query_filter"](spark, d).collect()] == [34]
