@@ -292,9 +292,8 @@ def yaml_hits(p: Plan):
 
 @query("documents")
 def rtf_hits(p: Plan):
-    """V17, over the literals (plain prose has no rich text)."""
-    a = artifacts(p)
-    return text.rtf(p, p.add("lits", f"SELECT * FROM {a} WHERE id < 0")), "*"
+    """V17."""
+    return text.rtf(p, artifacts(p)), "*"
 
 
 @query("documents")

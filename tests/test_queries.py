@@ -72,3 +72,8 @@ def test_items_are_whole_texts(spark, tmp_path):
     assert {r.seq for r in ALL["recovered_dedup"](spark, d).collect()} == {10, 18, 34}
     assert {(r.side, r.preview) for r in ALL["revision_diff"](spark, d).collect()} == {("removed", long + "one"), ("added", long + "two")}
     assert [r.seq for r in ALL["query_filter"](spark, d).collect()] == [34]
+
+
+def test_rtf_hits_scan_documents(spark, tmp_path):
+    got = ALL["rtf_hits"](spark, documents(spark, tmp_path, [(1, "Plain words, {\\v under cover\\v0 seen", "s")])).collect()
+    assert {(r.kind, r.preview) for r in got if r.id == 1} == {("rtf-text", "Plain words"), ("rtf-text", "under cover"), ("rtf-text", "seen"), ("rtf-hidden", "under cover")}
