@@ -1,8 +1,9 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Suspicious tokens (digits or symbols among letters, letters three times in a row, single letters set apart)
-become lattices of readings: leetspeak symbols as letters, separators dropped, repetitions shortened. The
-Viterbi path under a character trigram model, smoothed by its bigrams, is the restored token. The character
+Suspicious tokens (digits or symbols among letters, letters three times in a row, three or more single
+letters set apart) become lattices of readings: leetspeak symbols as letters, separators dropped, repetitions
+shortened. The Viterbi path under a character trigram model, smoothed by its bigrams, is the restored token,
+however long it is: readings are linked back, so the time is in proportion to the length. The character
 model is counted over all texts of the input; its size is that of the alphabet cubed. Words, and word
 beginnings, of the restored text are hashed for a logistic regression trained with FTRL on at most MAX_ROWS
 labelled rows and applied to every whole text. Null and empty texts score the bias alone; repeated rows
@@ -34,9 +35,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 APART = "._-*~"
 COST_LEET, COST_PLAIN, COST_DROP, COST_KEEP, COST_ONE, COST_TWO, COST_SINGLE = 0.7, 4.0, 0.3, 4.0, 0.5, 0.9, 2.5
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(]+[^\W\d_]|^[0-9@$!|+(]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+(]$|([^\W\d_])\1\1|(?:[^\W_][._*~-]){2}[^\W_]")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){3,}[^\W_](?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
 EDGES = "\"'.,;:?()[]{}<>#%&*/\\=~_-^`"
-LONGEST = 48
 
 
 def symbol_table() -> np.ndarray:
@@ -122,7 +122,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(token: str, model: np.ndarray) -> str:
     """The cheapest reading of the token's lattice; ties go to the first in order of readings."""
-    best = {(0, 0): (0.0, "")}
+    best: dict = {(0, 0): (0.0, None)}  # last two symbols -> cost, and readings linked from the last to the first
     for readings in lattice(token):
         following: dict = {}
         for (a, b), (cost, done) in best.items():
@@ -134,9 +134,20 @@ def viterbi(token: str, model: np.ndarray) -> str:
                     x, y = y, k
                 old = following.get((x, y))
                 if old is None or total < old[0]:
-                    following[x, y] = (total, done + reading)
+                    following[x, y] = (total, (done, reading))
         best = following
-    return min((cost + float(model[a, b, 0]), done) for (a, b), (cost, done) in best.items())[1]
+    ends = [(cost + float(model[a, b, 0]), done) for (a, b), (cost, done) in best.items()]
+    least = min(cost for cost, _ in ends)
+    return min(read(done) for cost, done in ends if cost == least)
+
+
+def read(done: tuple | None) -> str:
+    """The text of linked readings."""
+    parts = []
+    while done is not None:
+        done, reading = done
+        parts.append(reading)
+    return "".join(reversed(parts))
 
 
 class Restorer:
@@ -146,18 +157,18 @@ class Restorer:
 
     def _token(self, token: str) -> str:
         core = token.strip(EDGES)
-        if not core or len(core) > LONGEST or not SUSPECT.search(core):
+        if not core or not SUSPECT.search(core):
             return token
         return token.replace(core, viterbi(core, self.model), 1)
 
     def spaced(self, text: str) -> list[str]:
         """Words read from single letters that stand apart."""
-        return [w for m in SPACED.finditer(text) if len(m[0]) <= 2 * LONGEST for w in viterbi(m[0], self.model).split(" ")] if SPACED.search(text) else []
+        return [w for m in SPACED.finditer(text) for w in viterbi(m[0], self.model).split(" ")]
 
     def restore(self, text: str) -> str:
         """The whole text, lower-cased, with every suspicious token restored."""
         low = text.lower()
-        joined = SPACED.sub(lambda m: viterbi(m[0], self.model) if len(m[0]) <= 2 * LONGEST else m[0], low)
+        joined = SPACED.sub(lambda m: viterbi(m[0], self.model), low)
         return "".join(map(self.tokens.__getitem__, re.split(r"(\s+)", joined)))
 
 

@@ -133,6 +133,20 @@ def test_deobfuscation_and_toxicity(spark, docs, empty, labels):
     assert op7_toxicity.score(empty, op7_toxicity.fit(empty, spark.createDataFrame([], LABELS), op7_toxicity.char_model(empty)), chars).count() == 0
 
 
+def test_deobfuscation_has_no_longest(spark):
+    rng = random.Random(2)
+    bad = ["idiot", "moron", "scum", "bad"]
+    texts = [prose(rng, 40) + " " + " ".join(rng.choices(bad, k=4)) for _ in range(300)]
+    chars = op7_toxicity.char_model(spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)], SCHEMA))
+    restorer = op7_toxicity.Restorer(chars)
+    assert restorer.restore("the b a d and") == "the bad and" and restorer.spaced("the b a d and") == ["bad"]
+    token, run = "-".join(["1d1ot"] * 12), " ".join("idiot" * 12)  # 71 and 119 characters
+    assert restorer.restore(token) == "idiot" * 12
+    assert restorer.restore(run).replace(" ", "") == "idiot" * 12 and len(restorer.restore(run)) < 80
+    assert "".join(restorer.spaced(run)) == "idiot" * 12
+    assert len(op7_toxicity.viterbi(" ".join("idiot" * 20_000), chars)) >= 100_000
+
+
 # ---------------------------------------------------------------- 2
 
 
