@@ -1,13 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv factors: every document against all reference blocks, itself included.
+"""Substring dedup by counting hashed windows over all documents: what a relative Lempel-Ziv parse was to find.
 
-The reference is the whole corpus, its blocks the shuffle partitions of two hashed indexes. The first one
-holds anchors: each window of N words has the smallest of its Q-gram hashes as anchor, and equal windows have
-equal anchors; an anchor that occurs once in all blocks rules its windows out. The second one holds the windows
-of the other anchors. A document's factors are then parsed from what the indexes answer for its window starts:
-a factor opens at the first start whose words begin elsewhere too, and is extended greedily for as long as the
-next window does; at a factor's end every start within N words of it has been looked up, so a repeat that begins
-inside a factor and runs over its boundary opens the next one. Factors of N words and more are duplicate spans.
-Matching blocks by shuffled hashes, and not document by block, keeps the work in proportion to the input.
+Nothing is parsed: no match is located in a reference text or extended there. Two hashed indexes, dealt by
+shuffle, span the whole corpus. The first one holds anchors: each window of N words has the smallest of its
+Q-gram hashes as anchor, and equal windows have equal anchors; an anchor that occurs once rules its windows
+out. The second one counts the windows of the other anchors. Consecutive starts of windows that occur elsewhere
+are merged into one span; neighbouring windows may occur in different documents, so a span may be longer than
+any repeated passage. The words that spans cover are the duplicates. The work is in proportion to the input.
 
 Hashes have 64 bits (a row is named by one of its id and text). Every occurrence counts: the same document
 twice, or twice in one document. Texts under N words, empty and null texts lose nothing; repeated rows are
@@ -88,11 +86,11 @@ def window_rows(docs: DataFrame) -> DataFrame:
 
 
 def factors(starts: np.ndarray, n: int = N) -> np.ndarray:
-    """Word spans (start, end) parsed greedily from the starts of windows that occur elsewhere."""
+    """Word spans (start, end) merged from the starts of windows that occur elsewhere; not Lempel-Ziv factors."""
     if not len(starts):
         return np.empty((0, 2), np.int64)
     s = np.unique(starts).astype(np.int64)
-    opens = np.concatenate([[True], np.diff(s) > 1])  # a gap ends a factor; the next may open inside it
+    opens = np.concatenate([[True], np.diff(s) > 1])  # a gap ends a span; the next may open inside it
     closes = np.concatenate([opens[1:], [True]])
     return np.stack([s[opens], s[closes] + n], 1)
 
