@@ -6,7 +6,8 @@ a signature (partenum.py) are candidates. They are not paired off: first each cl
 smallest one of each signature, which finds nearly all links; then, where a signature's classes are still in
 several components, those of different components are compared, exactly, by size and by a parity sketch
 whose distance never exceeds the sets' difference. What these bounds leave is verified on the sets.
-So no link between different texts is lost, and candidates that are connected already cost nothing.
+So no component between different texts is lost, and candidates that are connected already cost nothing.
+The links themselves, all of them, are the output of links().
 
 Null and wordless texts have empty sets and are linked with nothing; repeated rows and equal ids share a
 class; a null doc_id never names a component unless all its members are null. An empty table gives no rows.
@@ -289,15 +290,37 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return tagged.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select(pairs.columns)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key and component_id of every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
+def grouped_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Described rows, classes, the signatures that classes share, and the number of buckets."""
     rows = stored(described(docs), "sets")
     info = rows.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     info = stored(info, "classes")
     total = info.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // (2 * BUCKET_ROWS)))  # about one signature for two shingles
-    shared = stored(grouped(signed(docs, buckets), buckets), "shared")
+    return rows, info, stored(grouped(signed(docs, buckets), buckets), "shared"), buckets
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b, doc_a, doc_b): every pair of similar classes, by key (a < b), each with the least doc_id of the class.
+
+    All pairs that share a signature are tried, connected or not, and verified on the sets: a signature of g
+    classes gives g(g - 1)/2 candidates, as the links themselves may. Rows of one class have equal sets.
+    """
+    docs = docs.select("doc_id", "text")
+    _, info, shared, _ = grouped_classes(docs)
+    others = shared.where("sig is not null").select("sig", "b")  # a is the smallest of each
+    across = others.withColumnRenamed("b", "a").join(others, "sig").where("a < b").select("a", "b")
+    pairs = stored(plausible(shared.select("a", "b").union(across).distinct(), info), "pairs")
+    discard(shared)
+    of = lambda x: info.select(F.col("key").alias(x), F.col("least").alias(f"doc_{x}"))
+    found = verified(docs, pairs, info).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    return found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "doc_a", "doc_b")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, key and component_id of every row of ``docs``."""
+    docs = docs.select("doc_id", "text")
+    rows, info, shared, buckets = grouped_classes(docs)
     pairs = stored(plausible(shared.select("a", "b").distinct(), info), "pairs")
     # first the nearest candidate of each class, then what these links have left in different components
     best = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")

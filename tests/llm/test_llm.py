@@ -443,6 +443,21 @@ def test_jaccard_join(spark, docs, empty):
     assert op9_jaccard.deduplicate(docs).groupBy("doc_id", "text").count().where("count > 1").count() == 0
 
 
+def test_jaccard_links_are_all_pairs(spark, empty):
+    rng = random.Random(10)
+    base = [f"w{rng.randint(0, 99)}" for _ in range(40)]
+    data = [(i, " ".join(base[:k] + [f"x{rng.randint(0, 9)}"] + base[k + 1 :]), None, None, None, None) for i, k in ((i, rng.randrange(6)) for i in range(80))]
+    data.append((80, "two words", None, None, None, None))
+    least: dict = {}
+    for i, t, *_ in reversed(data):
+        w = t.split()
+        least[frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)])] = i
+    want = {frozenset((i, j)) for x, i in least.items() for y, j in least.items() if i != j and 100 * len(x & y) >= 80 * len(x | y)}
+    got = op9_jaccard.links(spark.createDataFrame(data, SCHEMA)).collect()
+    assert len(want) > len(least) and len(got) == len(want) and {frozenset((r.doc_a, r.doc_b)) for r in got} == want
+    assert op9_jaccard.links(empty).count() == 0
+
+
 def test_partenum_loses_no_pair():
     rng = np.random.default_rng(4)
     missed = 0
