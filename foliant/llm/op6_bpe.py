@@ -4,19 +4,23 @@ The automaton reads token labels; a label sequence is accepted if and only if it
 of its bytes. It starts as one state with a loop for each byte. Merge k of (u, v) adds one gadget: all arcs
 labelled u lead to the same state s (so it was for bytes, and each gadget keeps it so), a copy of s without
 the arc v takes over those arcs, and each state that had the arc u gets an arc uv to where v led from s.
-States are stored as (state copied, label taken away, time), so the table stays linear in the merges;
-whether an arc exists is looked up through these and remembered. A text is split by the pattern of the
-byte-level pre-tokenizer; each word is then encoded by following arcs whose labels spell it, longest first,
-with a step back out of dead ends. The path is unique, as the automaton accepts one label sequence for each
-word. Decoding emits the labels' bytes. Strings of special tokens in a text become those tokens, as in the
-tokenizers library. Null counts as empty: no tokens. Each row is encoded by itself; repeated rows and other
-columns change nothing.
+States keep their rows of the transition table as ranges of labels, shared by all labels that lead to them.
+
+A text is split by the pattern of the byte-level pre-tokenizer. A word is read byte by byte by a second table,
+which tells the labels that end at each byte; exactly one of them is an arc from the state where it begins, as
+the automaton accepts one label sequence for each string. So each byte has one state and one arc, nothing is
+tried twice, and the labels are emitted from the last byte backwards. Decoding emits the labels' bytes.
+
+Strings of special tokens in a text become those tokens, as in the tokenizers library. Null counts as empty: no
+tokens. Each row is encoded by itself; repeated rows and other columns change nothing. The time is in proportion
+to the text's length, however long it is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,6 +46,14 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
+    """The states' rows, the labels' targets, and the byte automaton that finds which labels end at a byte.
+
+    A label's number is its place in a tree whose edges lead from u to uv, children that came later first. What a
+    state lacks because the arc v was taken away at time k is then one range of numbers: v, and all that grew on v
+    at k or later; what grew on v before k had its arc already and keeps it. So a row is a sorted list of the ends
+    of such ranges, and a label is missing if an odd number of ends is at or below its number.
+    """
+
     def __init__(self, spec: dict):
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
@@ -50,102 +62,149 @@ class Automaton:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
-        self.arc: dict[bytes, int] = {spell(s): i for s, i in vocab.items() if len(s) == 1}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.born: dict[int, int] = {}
-        self.gone: dict[tuple[int, int], int] = {}  # gadgets: (label into the state, label taken away) -> time
-        self.known: dict[int, bool] = {}
-        for k, m in enumerate(spec["model"]["merges"]):
+        single = [i for s, i in vocab.items() if len(s) == 1]
+        merges = []
+        for m in spec["model"]["merges"]:
             u, v = m.split(" ") if isinstance(m, str) else m
-            self.gadget(k, vocab[u], vocab[v], vocab[u + v])
-        self.known.clear()  # answers of earlier times
-        #: the longest label that begins with these three bytes, four, and six
-        self.reach: tuple[dict[bytes, int], ...] = ({}, {}, {})
-        for label in self.arc:
-            for table, n in zip(self.reach, (3, 4, 6), strict=True):
-                if len(label) >= n:
-                    table[label[:n]] = max(table.get(label[:n], 0), len(label))
-
-    def gadget(self, k: int, u: int, v: int, uv: int) -> None:
-        if self.follows(u, v):  # else no word keeps u and v side by side, and nothing changes
-            self.gone[u, v] = k
-            self.left[uv], self.right[uv], self.born[uv] = u, v, k
-            self.arc[self.bytes[uv]] = uv
-
-    def follows(self, a: int, t: int) -> bool:
-        """Whether the state that arcs labelled ``a`` lead to has an arc ``t``."""
-        until = len(self.gone) + 1_000_000_000
-        while True:
-            # t was taken from the state by a gadget on a, or earlier from the state that it was copied from
-            x, before = a, until
-            while True:
-                if self.gone.get((x, t), before) < before:
-                    return False
-                if x not in self.born:
-                    break
-                before, x = min(before, self.born[x]), self.right[x]
-            if t not in self.born:
-                return True
-            until = min(until, self.born[t] + 1)  # the arc t came with its gadget, where the arc of its left part was
-            t = self.left[t]
-
-    def step(self, a: int, t: int) -> bool:
-        ok = self.known.get(a << 20 | t)
-        if ok is None:
-            ok = self.follows(a, t)
-            if len(self.known) < 100_000:
-                self.known[a << 20 | t] = ok
-        return ok
+            merges.append((vocab[u], vocab[v], vocab[u + v]))
+        if len({uv for _, _, uv in merges}) < len(merges):
+            raise ValueError("two merges make one token")
+        self._number(single, merges)
+        self._compile(single, merges)
+        self._match()
+
+    def _number(self, single: list[int], merges: list[tuple[int, int, int]]) -> None:
+        grown: dict[int, list[tuple[int, int]]] = {}  # label -> (time, label) of those that begin with it
+        for k, (u, _, uv) in enumerate(merges):
+            grown.setdefault(u, []).append((k, uv))
+        self.ids: list[int] = []
+        self.number: dict[int, int] = {}
+        after: dict[int, int] = {}  # the first number beyond a label's subtree
+        todo = [(i, False) for i in reversed(single)]
+        while todo:
+            i, done = todo.pop()
+            if done:
+                after[i] = len(self.ids)
+                continue
+            self.number[i] = len(self.ids)
+            self.ids.append(i)
+            todo.append((i, True))
+            todo += [(c, False) for _, c in grown.get(i, ())]  # the last one comes off first
+        #: where the range of a label that is taken away at some time ends: birth times and numbers, both rising in time
+        self._cut = {i: ([k for k, _ in g], [after[c] for _, c in g]) for i, g in grown.items()}
+
+    def _compile(self, single: list[int], merges: list[tuple[int, int, int]]) -> None:
+        """One gadget a merge, in order: a copy of the state behind u without the arc v; arcs uv to where v led."""
+        start: list[int] = []
+        number, born = self.number, bytearray(len(self.ids))
+        target: list[list[int] | None] = [None] * len(self.ids)
+        for i in single:
+            target[number[i]] = start
+            born[number[i]] = 1
+        users = {id(start): len(single) + 1}  # labels that lead to a state; the start state is never changed
+        for k, (u, v, uv) in enumerate(merges):
+            nu, nv = number.get(u, -1), number.get(v, -1)
+            if nu < 0 or nv < 0 or not born[nu] or not born[nv]:
+                continue  # no word ever shows such a label
+            row = target[nu]
+            if bisect_right(row, nv) & 1:
+                continue  # the labels never stand side by side
+            led = target[nv]
+            if u == v or users[id(row)] > 1:
+                users[id(row)] -= 1
+                row = row.copy()
+                users[id(row)] = 1
+                target[nu] = row
+            times, ends = self._cut.get(v, ((), ()))
+            old = bisect_left(times, k)  # children of v that are older than this gadget
+            stop = self._first_old(v, old, ends)
+            at = bisect_right(row, nv)
+            row[at:at] = (nv, stop)
+            users[id(led)] += 1
+            target[number[uv]] = led
+            born[number[uv]] = 1
+        self.start, self.target, self.born = start, target, born
+        del self._cut
+
+    def _first_old(self, v: int, old: int, ends) -> int:
+        """The number behind v's subtrees of labels that came at the gadget's time or later."""
+        return ends[old] if old < len(ends) else self.number[v] + 1
+
+    def _match(self) -> None:
+        """Aho-Corasick over the labels' bytes: for each state of bytes read, the labels that end there, longest first."""
+        self.goto: dict[int, int] = {}
+        self.ends: list[tuple] = [()]
+        fail = [0]
+        for n, i in enumerate(self.ids):
+            if not self.born[n]:
+                continue
+            node = 0
+            for b in self.bytes[i]:
+                key = node << 8 | b
+                node = self.goto.get(key, 0)
+                if not node:
+                    node = self.goto[key] = len(self.ends)
+                    self.ends.append(())
+                    fail.append(0)
+            self.ends[node] = ((n, len(self.bytes[i])),)
+        kids: dict[int, list[tuple[int, int]]] = {}
+        for key, node in self.goto.items():
+            kids.setdefault(key >> 8, []).append((key & 255, node))
+        level = [0]
+        while level:
+            below = []
+            for node in level:
+                for b, c in kids.get(node, ()):
+                    if node:
+                        f = fail[node]
+                        while f and f << 8 | b not in self.goto:
+                            f = fail[f]
+                        fail[c] = self.goto.get(f << 8 | b, 0)
+                    self.ends[c] += self.ends[fail[c]]
+                    below.append(c)
+            level = below
+        self.fail = fail
+        self.moves: dict[int, int] = {}  # transitions by way of shorter suffixes, as they are met
+
+    def move(self, node: int, b: int) -> int:
+        key = node << 8 | b
+        to = self.goto.get(key)
+        if to is None:
+            f = node
+            while f and to is None:
+                f = self.fail[f]
+                to = self.goto.get(f << 8 | b)
+            to = to or 0
+            if len(self.moves) < 500_000:
+                self.moves[key] = to
+        return to
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The labels on the accepted path that spells ``word``."""
-        whole = self.arc.get(word)
-        if whole is not None:
-            return (whole,)
-        arc, known, n, out, dead, i, last = self.arc.get, self.known.get, len(word), [], set(), 0, -1
-        three, four, six = (t.get for t in self.reach)
-        size = -1
-        while i < n:
-            if size < 0:  # how long a label can be here
-                size = three(word[i : i + 3], 2)
-                if size > 3:
-                    size = four(word[i : i + 4], 3)
-                    if size > 5:
-                        size = six(word[i : i + 6], 5)
-                if size > n - i:
-                    size = n - i
-            while size:
-                t = arc(word[i : i + size])
-                if t is not None:
-                    ok = True if last < 0 else known(last << 20 | t)
-                    if ok is None:
-                        ok = self.step(last, t)
-                    if ok and not (dead and (i + size, t) in dead):
-                        break
-                size -= 1
-            if size:
-                out.append(t)
-                last = t
-                i += size
-                size = -1
-            else:  # a dead end: the last label cannot be right here
-                t = out.pop()
-                last = out[-1] if out else -1
-                dead.add((i, t))
-                size = len(self.bytes[t])
-                i -= size
-                size -= 1
-        return tuple(out)
+        """The labels on the path that spells ``word``: byte by byte, the one label whose arc ends there."""
+        rows, came, node, j = [self.start], [], 0, 0
+        goto, moves, ends, target = self.goto.get, self.moves.get, self.ends, self.target
+        for b in word:
+            j += 1
+            key = node << 8 | b
+            node = goto(key) or moves(key) or self.move(node, b)
+            for arc in ends[node]:
+                if not bisect_right(rows[j - arc[1]], arc[0]) & 1:
+                    break
+            came.append(arc)
+            rows.append(target[arc[0]])
+        out = []
+        while j:
+            n, size = came[j - 1]
+            out.append(self.ids[n])
+            j -= size
+        return tuple(reversed(out))
 
 
 class Codec:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            self.machine = Automaton(json.load(f))
-        m = self.machine
-        self.words = WordCache(lambda w: m.encode_word(w.encode()), 50_000)
-        self.chunks = WordCache(self._chunk, 250_000)
+    def __init__(self, machine: Automaton, remembered: int = 80_000):
+        self.machine = m = machine
+        self.words = WordCache(lambda w: m.encode_word(w.encode()), remembered // 4)
+        self.chunks = WordCache(self._chunk, remembered)
         self.marks = {c: m.encode_word(c.encode()) for c in ",.;:!?"}
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(m.special, key=len, reverse=True)) + ")") if m.special else None
         self.label = m.bytes
@@ -197,15 +256,19 @@ class Codec:
         return ",".join(map(self.decimal.__getitem__, ids))
 
 
+_machines: dict[str, Automaton] = {}
 _kept: dict[str, Codec] = {}
 
 
 def codec(path: str, keep: bool = False) -> Codec:
-    """A codec for one task; with ``keep`` it and what it has remembered serve the process's later tasks too."""
+    """A codec; a process compiles the automaton once. With ``keep`` what it remembers of words serves later tasks too."""
+    if path not in _machines:
+        with open(path, encoding="utf-8") as f:
+            _machines[path] = Automaton(json.load(f))
     if not keep:
-        return Codec(path)
+        return Codec(_machines[path])
     if path not in _kept:
-        _kept[path] = Codec(path)
+        _kept[path] = Codec(_machines[path], 250_000)
     return _kept[path]
 
 

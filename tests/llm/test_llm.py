@@ -292,7 +292,7 @@ def bpe():
 
 def test_bpe_equals_the_library(spark, docs, empty, bpe):
     lib, path = bpe
-    c = op6_bpe.Codec(path)
+    c = op6_bpe.codec(path)
     rng = random.Random(3)
     bits = [*"abetnis '\n\t\r\x0b\x1c\x85  ​09!?,é漢🙂́", "<|endoftext|>", "'re", " the", "aaaa", "    ", "\n\n"]
     for _ in range(3000):
@@ -331,6 +331,39 @@ def test_automaton_accepts_only_what_merges_make():
             assert m.encode_word(word.encode()) == merge(word), word
 
 
+def test_rows_equal_a_table_built_arc_by_arc():
+    """The ranges of labels against states that hold their arcs one by one, gadget after gadget."""
+    letters = {b: c for c, b in op6_bpe.byte_letters().items()}
+    rng = random.Random(12)
+    for _ in range(20):
+        vocab = {c: i for i, c in enumerate(letters.values())}
+        known, merges = [letters[c] for c in b"abc"], []
+        while len(merges) < 25:
+            u, v = rng.choice(known), rng.choice(known)
+            if u + v not in vocab:
+                vocab[u + v] = len(vocab)
+                merges.append((u, v))
+                known.append(u + v)
+        m = op6_bpe.Automaton({"model": {"vocab": vocab, "merges": [f"{u} {v}" for u, v in merges]}, "added_tokens": []})
+        states = [{letters[c]: 0 for c in b"abc"}]  # label -> state
+        behind = dict(states[0])
+        for u, v in merges:
+            s = behind.get(u)
+            if s is None or v not in states[s]:
+                continue
+            led = states[s][v]
+            states.append({t: x for t, x in states[s].items() if t != v})
+            behind[u], behind[u + v] = len(states) - 1, led
+            for arcs in states:
+                if u in arcs:
+                    arcs[u], arcs[u + v] = len(states) - 1, led
+        for u, s in behind.items():
+            row = m.target[m.number[vocab[u]]]
+            for t in known:
+                missing = not m.born[m.number[vocab[t]]] or bool(op6_bpe.bisect_right(row, m.number[vocab[t]]) & 1)
+                assert (t not in states[s]) == missing, (merges, u, t)
+
+
 # ---------------------------------------------------------------- 8
 
 
