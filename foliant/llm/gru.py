@@ -1,20 +1,23 @@
 """A small gated recurrent language model in numpy, with a class-factored softmax.
 
 Token ids are ranks by frequency; CLASS consecutive ids make a class, and P(token) = P(class) P(token | class).
-Documents are packed into lanes that step side by side; a lane's state is carried from window to window and
-set to zero where a document begins, so a document's log-likelihood covers it from its first to its last token.
-Training is truncated backpropagation within windows, with Adagrad steps.
+Documents flow through lanes that step side by side: a lane takes the next document when it has ended one, so
+what is held is one document a lane, however many and however long they are. A lane's state is carried from window
+to window and set to zero where a document begins, so a document's log-likelihood covers it from its first to its
+last token. Training is truncated backpropagation within windows, with Adagrad steps.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 CLASS = 48
 WINDOW = 32
 LANES = 256
+HELD_TOKENS = 1_000_000  # tokens of documents that wait for a lane; the longest goes first
 f32 = np.float32
 
 
@@ -57,32 +60,38 @@ class Gru:
 
     def states(self, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray, tape: list | None = None) -> np.ndarray:
         """States [T, B, H] after each input; ``keep`` is 0 where a document begins."""
-        n, uzr, un = self.hidden, self.p["uzr"], self.p["un"]
-        a = self.p["x"][inputs]
-        out = np.empty((len(inputs), len(h), n), f32)
-        for t in range(len(inputs)):
-            h = h * keep[t][:, None]
-            g = h @ uzr
-            g += a[t, :, : 2 * n]
+        n, un = self.hidden, self.p["un"]
+        steps, lanes = inputs.shape
+        gates = np.stack([self.p["uzr"][:, :n], self.p["uzr"][:, n:]])
+        a = np.ascontiguousarray(self.p["x"][inputs].reshape(steps, lanes, 3, n).transpose(2, 0, 1, 3))
+        out, whole = np.empty((steps, lanes, n), h.dtype), keep.all(1)
+        for t in range(steps):
+            if not whole[t]:
+                h = h * keep[t][:, None]
+            g = h @ gates
+            g += a[:2, t]
             np.negative(g, g)
             np.exp(g, g)
             g += 1
             np.reciprocal(g, g)
-            z, r = g[:, :n], g[:, n:]
-            rh = r * h
+            rh = g[1] * h
             new = rh @ un
-            new += a[t, :, 2 * n :]
+            new += a[2, t]
             np.tanh(new, new)
             if tape is not None:
                 tape.append((h, g, rh, new))
-            h = h + z * (new - h)
-            out[t] = h
+            after = out[t]
+            np.subtract(new, h, after)
+            after *= g[0]
+            after += h
+            h = after
         return out
 
     def output(self, h: np.ndarray, ids: np.ndarray, grad: bool = False):
         """Natural log P(id) for rows of states; with ``grad`` also the gradients of the mean loss."""
         p, n = self.p, len(ids)
-        cls, within = ids // CLASS, ids % CLASS
+        order = np.argsort(ids, kind="stable")  # by class: rows of one class lie together
+        h, cls, within = h[order], ids[order] // CLASS, ids[order] % CLASS
         rows = np.arange(n)
         lc = h @ p["wc"]  # states are within -1..1 and log shares below 0: no exponential overflows
         lc += p["bc"]
@@ -90,31 +99,30 @@ class Gru:
         np.exp(lc, lc)
         s = lc.sum(1)
         logp = at - np.log(s)
-        order = np.argsort(cls, kind="stable")
-        starts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        starts = np.searchsorted(cls, np.arange(self.classes + 1))
         if grad:
-            lc /= s[:, None]
-            lc[rows, cls] -= 1
-            lc /= n
-            g = {"wc": h.T @ lc, "bc": lc.sum(0), "wo": {}, "bo": {}}
+            lc *= (1 / (s * n))[:, None]
+            lc[rows, cls] -= 1 / n
+            g = {"wc": h.T @ lc, "bc": lc.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
             dh = lc @ p["wc"].T
         for c in np.flatnonzero(np.diff(starts)):
-            i = order[starts[c] : starts[c + 1]]
-            hi = h[i]
-            lo = hi @ p["wo"][c]
+            i = slice(starts[c], starts[c + 1])
+            lo = h[i] @ p["wo"][c]
             lo += p["bo"][c]
-            k = np.arange(len(i))
+            k = rows[: len(lo)]
             at = lo[k, within[i]]
             np.exp(lo, lo)
             s = lo.sum(1)
             logp[i] += at - np.log(s)
             if grad:
-                lo /= s[:, None]
-                lo[k, within[i]] -= 1
-                lo /= n
-                g["wo"][c], g["bo"][c] = hi.T @ lo, lo.sum(0)
+                lo *= (1 / (s * n))[:, None]
+                lo[k, within[i]] -= 1 / n
+                np.matmul(h[i].T, lo, g["wo"][c])
+                g["bo"][c] = lo.sum(0)
                 dh[i] += lo @ p["wo"][c].T
-        return (logp, dh, g) if grad else logp
+        back = np.empty(n, np.int64)
+        back[order] = rows
+        return (logp[back], dh[back], g) if grad else logp[back]
 
     # ---------------------------------------------------------------- training
 
@@ -125,30 +133,44 @@ class Gru:
         hs = self.states(inputs, keep, h0, tape)
         flat = np.flatnonzero(real.ravel())
         _, dflat, g = self.output(hs.reshape(-1, n)[flat], ids.ravel()[flat], grad=True)
-        dh_out = np.zeros((steps * lanes, n), f32)
+        dh_out = np.zeros((steps * lanes, n), hs.dtype)
         dh_out[flat] = dflat
         dh_out = dh_out.reshape(steps, lanes, n)
-        uzr, un = self.p["uzr"], self.p["un"]
-        da = np.empty((steps, lanes, 3 * n), f32)
-        g["uzr"], g["un"] = np.zeros_like(uzr), np.zeros_like(un)
-        dh = np.zeros((lanes, n), f32)
+        uz, ur, un = self.p["uzr"][:, :n].T.copy(), self.p["uzr"][:, n:].T.copy(), self.p["un"].T.copy()
+        da, whole = np.empty((3, steps, lanes, n), hs.dtype), keep.all(1)
+        dh = np.zeros((lanes, n), hs.dtype)
         for t in range(steps - 1, -1, -1):
             h, gates, rh, new = tape[t]
-            z, r = gates[:, :n], gates[:, n:]
-            dh = dh + dh_out[t]
-            dnew = dh * z * (1 - new * new)
-            drh = dnew @ un.T
-            dg = da[t, :, : 2 * n]
-            dg[:, :n] = dh * (new - h) * z * (1 - z)
-            dg[:, n:] = drh * h * r * (1 - r)
-            da[t, :, 2 * n :] = dnew
-            g["un"] += rh.T @ dnew
-            g["uzr"] += h.T @ dg
-            dh = (dh * (1 - z) + drh * r + dg @ uzr.T) * keep[t][:, None]
+            z, r = gates
+            shut = 1 - gates
+            dh += dh_out[t]
+            dz, dr, dnew = da[0, t], da[1, t], da[2, t]
+            np.multiply(new, new, dnew)
+            np.subtract(1, dnew, dnew)
+            dnew *= dh
+            dnew *= z
+            drh = dnew @ un
+            np.subtract(new, h, dz)
+            dz *= dh
+            np.multiply(drh, h, dr)
+            dh *= shut[0]
+            drh *= r
+            dh += drh
+            shut *= gates
+            dz *= shut[0]
+            dr *= shut[1]
+            dh += dz @ uz
+            dh += dr @ ur
+            if not whole[t]:
+                dh *= keep[t][:, None]
+        before = np.stack([x[0] for x in tape]).reshape(-1, n)
+        flat_da = da.reshape(3, -1, n)
+        g["un"] = np.stack([x[2] for x in tape]).reshape(-1, n).T @ flat_da[2]
+        g["uzr"] = np.concatenate([before.T @ flat_da[0], before.T @ flat_da[1]], 1)
         order = np.argsort(inputs.ravel(), kind="stable")
         rows = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g["x"] = (rows[first], np.add.reduceat(da.reshape(-1, 3 * n)[order], first, axis=0))
+        g["x"] = (rows[first], np.concatenate([np.add.reduceat(d[order], first, axis=0) for d in flat_da], 1))
         return g, hs[-1]
 
 
@@ -159,67 +181,116 @@ class Adagrad:
 
     def apply(self, g: dict) -> None:
         for k, v in g.items():
-            parts = v.items() if isinstance(v, dict) else [v] if isinstance(v, tuple) else [(Ellipsis, v)]
-            for at, d in parts:
-                d = np.clip(d, -0.05, 0.05)
-                self.seen[k][at] += d * d
-                self.m.p[k][at] -= self.rate * d / np.sqrt(self.seen[k][at])
+            at, d = v if isinstance(v, tuple) else (Ellipsis, v)  # the rows of embeddings that the window reads
+            d = np.clip(d, -0.05, 0.05)
+            seen = self.seen[k][at] + d * d
+            self.seen[k][at] = seen
+            np.sqrt(seen, seen)
+            d /= seen
+            d *= self.rate
+            self.m.p[k][at] -= d
 
 
-def lanes(docs: list[np.ndarray], most: int = LANES) -> list[list[int]]:
-    """Documents dealt to lanes of about equal length, the longest lane first."""
-    heap = [(0, k) for k in range(min(most, len(docs)))]
-    out: list[list[int]] = [[] for _ in heap]
-    for i in sorted(range(len(docs)), key=lambda i: (-len(docs[i]), i)):
-        n, k = heapq.heappop(heap)
-        out[k].append(i)
-        heapq.heappush(heap, (n + len(docs[i]), k))
-    return sorted(out, key=lambda lane: -sum(len(docs[i]) for i in lane))
+def longest_first(docs: Iterable[np.ndarray], most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, document) of those that have tokens; about ``most`` tokens wait, and the longest that waits comes next."""
+    heap: list[tuple[int, int, np.ndarray]] = []
+    waiting = 0
+    for i, d in enumerate(docs):
+        if not len(d):
+            continue
+        heapq.heappush(heap, (-len(d), i, d))
+        waiting += len(d)
+        while waiting > most:
+            n, j, longest = heapq.heappop(heap)
+            waiting += n
+            yield j, longest
+    while heap:
+        yield heapq.heappop(heap)[1:]
 
 
-def windows(docs: list[np.ndarray], start: int):
-    """Yields (inputs, keep, targets, real, owner) for windows of WINDOW steps over all lanes still going.
+def windows(docs: Iterable[np.ndarray], start: int, most: int = LANES) -> Iterator[tuple]:
+    """Yields (inputs, keep, targets, real, owner, lanes) for windows of WINDOW steps over all lanes still going.
 
-    Each document's inputs are ``start`` and then its tokens but the last; owner is the document's index.
+    Each document's inputs are ``start`` and then its tokens but the last; owner is the document's place in ``docs``.
+    ``lanes`` are the window's lanes, as places among those of the window before (all of them in the first one).
     """
-    dealt = lanes(docs)
-    size = np.array([sum(len(docs[i]) for i in lane) for lane in dealt])
-    total = int(size.max())
-    x, y, owner = (np.zeros((len(dealt), total), np.int32) for _ in range(3))
-    keep = np.ones((len(dealt), total), f32)
-    for k, lane in enumerate(dealt):
-        at = 0
-        for i in lane:
-            d = docs[i]
-            end = at + len(d)
-            y[k, at:end], x[k, at], x[k, at + 1 : end], owner[k, at:end], keep[k, at] = d, start, d[:-1], i, 0
-            at = end
-    for t in range(0, total, WINDOW):
-        live = int((size > t).sum())  # lanes are sorted by length
-        cut = (slice(0, live), slice(t, min(t + WINDOW, total)))
-        real = np.arange(t, min(t + WINDOW, total))[None] < size[:live, None]
-        yield x[cut].T, keep[cut].T, y[cut].T, real.T, owner[cut].T
-
-
-def trained(model: Gru, docs: list[np.ndarray], start: int, opt: Adagrad) -> int:
+    source = longest_first(docs, HELD_TOKENS)
+    held: list[list] = []  # for each lane: document, next token, place in docs
+    last: list[int] = []
+    for i, d in source:
+        held.append([d, 0, i])
+        if len(held) == most:
+            break
+    lanes = np.arange(len(held))
+    while held:
+        y, owner = np.zeros((len(held), WINDOW), np.int32), np.zeros((len(held), WINDOW), np.int64)
+        keep, real = np.ones((len(held), WINDOW), f32), np.ones((len(held), WINDOW), bool)
+        going = []
+        for k, lane in enumerate(held):
+            at = 0
+            while at < WINDOW:
+                d, p, i = lane
+                if p == len(d):
+                    i, d = next(source, (-1, None))
+                    if d is None:
+                        real[k, at:] = False
+                        break
+                    lane[:], p = (d, 0, i), 0
+                if not p:
+                    keep[k, at] = 0
+                n = min(WINDOW - at, len(d) - p)
+                y[k, at : at + n] = d[p : p + n]
+                owner[k, at : at + n] = i
+                lane[1] = p + n
+                at += n
+            else:
+                going.append(k)
+        if not real.any():
+            return  # every lane's document ended with the window before
+        x = np.empty_like(y)
+        x[:, 1:] = y[:, :-1]
+        x[:, 0] = last if len(last) else start
+        x[keep == 0] = start
+        yield x.T, keep.T, y.T, real.T, owner.T, lanes
+        lanes = np.array(going, np.int64)
+        last = y[lanes, -1]
+        held = [held[k] for k in going]
+
+
+def trained(model: Gru, docs: Iterable[np.ndarray], start: int, opt: Adagrad) -> int:
     """One pass; every window takes a step and carries the state. Returns the tokens of the steps."""
     h, done = None, 0
-    for x, keep, y, real, _ in windows(docs, start):
-        h = np.zeros((x.shape[1], model.hidden), f32) if h is None else h[: x.shape[1]]
+    for x, keep, y, real, _, lanes in windows(docs, start):
+        h = np.zeros((x.shape[1], model.hidden), f32) if h is None else h[lanes]
         g, h = model.gradients(x, keep, h, y, real)
         opt.apply(g)
         done += int(real.sum())
     return done
 
 
-def log_likelihoods(model: Gru, docs: list[np.ndarray], start: int) -> np.ndarray:
-    """Natural log-likelihood of each document."""
-    out, h = np.zeros(len(docs)), None
-    for x, keep, y, real, owner in windows(docs, start):
-        h = np.zeros((x.shape[1], model.hidden), f32) if h is None else h[: x.shape[1]]
+def scored(model: Gru, docs: Iterable[np.ndarray], start: int) -> Iterator[tuple[int, float]]:
+    """(place, natural log-likelihood) of each document of at least one token, as soon as its last token is read."""
+    h, sums = None, {}
+    for x, keep, y, real, owner, lanes in windows(docs, start):
+        h = np.zeros((x.shape[1], model.hidden), f32) if h is None else h[lanes]
         hs = model.states(x, keep, h)
         h = hs[-1]
-        flat = np.flatnonzero(real.ravel())
-        logp = model.output(hs.reshape(-1, model.hidden)[flat], y.ravel()[flat])
-        out += np.bincount(owner.ravel()[flat], logp.astype(np.float64), len(docs))
+        real, owner = real.T.ravel(), owner.T.ravel()  # lane by lane: a document's tokens lie together
+        flat = np.flatnonzero(real)
+        logp = model.output(hs.transpose(1, 0, 2).reshape(-1, model.hidden)[flat], y.T.ravel()[flat])
+        whose = owner[flat]
+        first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+        for i, s in zip(whose[first].tolist(), np.add.reduceat(logp.astype(np.float64), first).tolist(), strict=True):
+            sums[i] = sums.get(i, 0.0) + s
+        open_ = set(owner.reshape(-1, WINDOW)[real.reshape(-1, WINDOW)[:, -1], -1].tolist())
+        for i in [i for i in sums if i not in open_]:
+            yield i, sums.pop(i)
+    yield from sums.items()
+
+
+def log_likelihoods(model: Gru, docs: list[np.ndarray], start: int) -> np.ndarray:
+    """Natural log-likelihood of each document."""
+    out = np.zeros(len(docs))
+    for i, s in scored(model, docs, start):
+        out[i] = s
     return out

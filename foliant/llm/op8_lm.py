@@ -1,16 +1,21 @@
 """Language-model scoring: a gated recurrent model (gru.py) and exact add-0.1 unigram scores of whole documents.
 
 Tokens are words with A-Z lower-cased, then one end. Counts cover every training document. The recurrent model
-knows the VOCABULARY most frequent tokens; every other word is one of ENDINGS classes by its last two bytes,
-times the word's smoothed share of its class, so that the score is a probability over all words, seen or not.
-Training: a first pass on a bounded seed (SEED_DOCS, in one task) leaves the symmetric start; then every
-partition of the training documents carries the state through all its tokens and takes a gradient step on every
-window, and the partitions' weights are averaged by their numbers of tokens, in a tree of tasks.
+knows the VOCABULARY most frequent tokens; every other word is one of ENDINGS classes by its last two bytes, times
+the word's smoothed share of its class. A class keeps the share of one word that training has not seen, and any
+unseen word gets that share: the score is a probability over the seen words and one unseen word a class.
+
+Training: a first pass on a bounded seed (SEED_DOCS, in one task, by the order of a hash) leaves the symmetric
+start; then the training documents are dealt by a hash of id and text into groups of about GROUP_TOKENS, whatever
+files they came in; each group carries the state through all its tokens in the order of the hash and takes a
+gradient step on every window, and the groups' weights are averaged by their numbers of tokens, in a tree of
+tasks that sum in the order of the groups. So the same rows give the same model.
 
 Scoring is one pass over the texts with the FREQUENT most frequent words' counts broadcast (a fixed number);
-the counts of rarer words are joined by word. Null counts as empty (an end alone). A row is named by a hash of
-doc_id and text, so repeated rows score alike, one row each. Without training documents the counts are zero and
-the base score is that of the formula; the recurrent model then is its unigram start.
+the counts of rarer words are joined by word. A task holds HELD_TOKENS of waiting documents and one for each lane.
+Null counts as empty (an end alone). A row is named by a hash of doc_id and text, so repeated rows score alike,
+one row each. Without training documents the counts are zero and the base score is that of the formula; the
+recurrent model then is its unigram start.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import WordCache, crc_bucket, discard, stored, table, texts
-from foliant.llm.gru import Adagrad, Gru, log_likelihoods, trained
+from foliant.llm.gru import Adagrad, Gru, scored, trained
 
 VOCABULARY, ENDINGS, HIDDEN = 2_000, 64, 16
 FREQUENT = 200_000
 SEED_DOCS, SEED_RATE, RATE = 2_000, 0.1, 0.05
-HELD_TOKENS = 1_000_000  # tokens of documents that are packed into lanes together
+GROUP_TOKENS = 3_000_000  # tokens that one task trains on
 SLICES, FAN_IN = 8, 64
 ALPHA = 0.1
 END = b"\n"  # no word holds it
@@ -94,7 +99,7 @@ class Lexicon:
         self.id = np.where(np.arange(len(c)) < own, place[np.minimum(np.arange(len(c)), own - 1)], self.class_id[self.endings])
         self.known, self.seen = np.arange(len(c)) < own, c > 0
         self.start = int(self.id[self.index[END]])
-        self.rare = WordCache(ending, 100_000)
+        self.rare = WordCache(ending, 50_000)
 
     def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Frequent indexes (-1: rarer), ids of the recurrent model, and the endings of the rarer words."""
@@ -134,34 +139,20 @@ def lexicon(vocab: DataFrame, frequent: int = FREQUENT) -> tuple[Lexicon, DataFr
     return Lexicon(top, sums.n or 0, sums.v or 0, {r.e: (r.n, r.v) for r in ends}), rest
 
 
-def _fit(batches, lex: Lexicon, model: Gru, rate: float) -> tuple[np.ndarray, int]:
-    opt, held, size, done = Adagrad(model, rate), [], 0, 0
-    for b in batches:
-        for t in texts(b, "text"):
-            _, ids, _ = lex.encoded(tokens(t))
-            held.append(ids)
-            size += len(ids)
-            if size >= HELD_TOKENS:
-                done += trained(model, held, lex.start, opt)
-                held, size = [], 0
-    if held:
-        done += trained(model, held, lex.start, opt)
-    return model.vector(), done
-
-
 def _averaged(parts: DataFrame) -> np.ndarray | None:
     """Token-weighted mean of (id, slice, vector, weight) rows, summed FAN_IN at a time in executors."""
     many = parts.select("id").distinct().count()
 
     def summed(key, t):
-        total, weight = None, 0.0
+        t, total, weight = t.sort_by("id"), None, 0.0
         for v, w in zip(t.column("vector").to_pylist(), t.column("weight").to_pylist(), strict=True):
             v = np.frombuffer(v, np.float64)
             total, weight = v if total is None else total + v, weight + w
         return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "slice": pa.array([key[1].as_py()], pa.int32()), "vector": pa.array([total.tobytes()], pa.binary()), "weight": pa.array([weight], pa.float64())})
 
     while many > 1:
-        level = parts.withColumn("id", F.floor(F.col("id") / FAN_IN)).groupBy("id", "slice").applyInArrow(summed, parts.schema)
+        up = parts.withColumn("up", F.floor(F.col("id") / FAN_IN))
+        level = up.groupBy("up", "slice").applyInArrow(summed, parts.schema)
         parts, many = stored(level, "weights"), -(-many // FAN_IN)
         many = parts.select("id").distinct().count() if many > 1 else 1
     rows = sorted(parts.collect(), key=lambda r: r.slice)  # one model
@@ -175,35 +166,37 @@ def fit(docs: DataFrame, lex: Lexicon, seed_docs: int = SEED_DOCS) -> Gru:
     sc = docs.sparkSession.sparkContext
     model = Gru.new(lex.counts, HIDDEN)
     lex_sent = sc.broadcast(lex)
+    out = "id long, slice int, vector binary, weight double"
 
-    def spread(start: Gru, rate: float):
+    def passed(rows: DataFrame, groups: int, start: Gru, rate: float) -> np.ndarray | None:
+        """The averaged weights after one pass over the rows of each group, from the same start."""
         sent = sc.broadcast(start)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            m = sent.value
-            v, n = _fit(batches, lex_sent.value, m.with_vector(m.vector()), rate)
-            if n:
-                cuts = np.array_split(v.astype(np.float64) * n, SLICES)
-                k = TaskContext.get().partitionId()
+            lex, m = lex_sent.value, sent.value
+            every = ((g, t) for b in batches for g, t in zip(b.column("_g").to_pylist(), texts(b, "text"), strict=True))
+            for g, part in groupby(every, lambda r: r[0]):
+                own = m.with_vector(m.vector())
+                n = trained(own, (lex.encoded(tokens(t))[1].astype(np.int32) for _, t in part), lex.start, Adagrad(own, rate))
+                cuts = np.array_split(own.vector().astype(np.float64) * n, SLICES)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array([float(n)] * SLICES)],
+                    [pa.array([g] * SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array([float(n)] * SLICES)],
                     names=["id", "slice", "vector", "weight"],
                 )
 
-        return run
+        dealt = rows.withColumn("_g", F.pmod("_h", F.lit(groups)).cast("int")).select("_g", "_h", "text")
+        parts = stored(dealt.repartitionById(groups, "_g").sortWithinPartitions("_g", "_h").select("_g", "text").mapInArrow(run, out), "weights")
+        v = _averaged(parts)
+        discard(parts)
+        return v
 
-    out = "id long, slice int, vector binary, weight double"
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("_h"), F.xxhash64("doc_id").alias("_id"), "text")
     ends = int(lex.counts[lex.start])  # one for each training document
     share = 1_000_000 if ends <= seed_docs else seed_docs * 1_000_000 // ends
-    seed = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("text")
-    v = _averaged(seed.repartition(1).mapInArrow(spread(model, SEED_RATE), out))
+    v = passed(hashed.where(F.pmod("_id", F.lit(1_000_000)) < share), 1, model, SEED_RATE)
     if v is not None:
         model = model.with_vector(v)
-    parts = stored(docs.select("text").mapInArrow(spread(model, RATE), out), "weights")
-    v = _averaged(parts)
-    discard(parts)
+    v = passed(hashed, max(1, -(-lex.total // GROUP_TOKENS)), model, RATE)
     return model if v is None else model.with_vector(v)
 
 
@@ -214,33 +207,39 @@ def score(docs: DataFrame, lex: Lexicon, rest: DataFrame, model: Gru) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, model = sent.value
-        for b in batches:
-            rows, held, size, done = [], [], 0, 0
-            lm = np.zeros(b.num_rows)
-            for t in texts(b, "text"):
-                words = tokens(t)
-                at, ids, _ = lex.encoded(words)
-                known = at[at >= 0]
-                rare = Counter(words[i] for i in np.flatnonzero(at < 0))
-                beyond = known[~lex.known[known]]
-                within = float(lex.log_count[beyond].sum() - lex.log_class[lex.endings[beyond]].sum())
-                within -= sum(lex.log_class[lex.rare[w]] * n for w, n in rare.items())
-                # what rarer words add is log10(count + ALPHA), joined later
-                rows.append((len(words), int(lex.seen[known].sum()), len(known), float(lex.log_count[known].sum()), within, list(rare), list(rare.values())))
-                held.append(ids)
-                size += len(ids)
-                if size >= HELD_TOKENS:
-                    lm[done : done + len(held)] = log_likelihoods(model, held, lex.start)
-                    done, held, size = done + len(held), [], 0
-            if held:
-                lm[done : done + len(held)] = log_likelihoods(model, held, lex.start)
-            if rows:
-                n, seen, k, base, within, words, counts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("_key"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(lm / np.log(10) + np.array(within)), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))],
-                    names=["doc_id", "_key", "n_tokens", "n_seen", "frequent", "base", "lm", "words", "counts"],
-                )
+        (lex, model), waiting, own = sent.value, {}, []
+
+        def encoded() -> Iterator[np.ndarray]:
+            for b in batches:
+                own[:] = [b.schema.field("doc_id").type]
+                for doc, key, t in zip(b.column("doc_id").to_pylist(), b.column("_key").to_pylist(), texts(b, "text"), strict=True):
+                    words = tokens(t)
+                    at, ids, ends = lex.encoded(words)
+                    known = at[at >= 0]
+                    rare = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
+                    beyond = known[~lex.known[known]]
+                    within = float(lex.log_count[beyond].sum() - lex.log_class[lex.endings[beyond]].sum() - lex.log_class[ends].sum())
+                    # what rarer words add is log10(count + ALPHA), joined later
+                    waiting[len(waiting) + gone[0]] = (doc, key, len(words), int(lex.seen[known].sum()), len(known), float(lex.log_count[known].sum()), within, list(rare), list(rare.values()))
+                    yield ids.astype(np.int32)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            doc, key, n, seen, k, base, lm, words, counts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(doc, own[0]), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(lm), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))],
+                names=["doc_id", "_key", "n_tokens", "n_seen", "frequent", "base", "lm", "words", "counts"],
+            )
+
+        rows, gone = [], [0]
+        for i, s in scored(model, encoded(), lex.start):  # in the order in which documents end
+            *first, within, words, counts = waiting.pop(i)
+            gone[0] += 1
+            rows.append((*first, s / np.log(10) + within, words, counts))
+            if len(rows) == 1_000:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
 
     part = stored(docs.mapInArrow(run, f"doc_id {kind}, _key long, n_tokens long, n_seen long, frequent long, base double, lm double, words array<binary>, counts array<int>"), "scored")
     each = part.select("_key", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("_key", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))

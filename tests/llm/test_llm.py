@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import math
 import random
 import re
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter
@@ -14,7 +16,8 @@ import pytest
 from pyspark.sql import types as T
 
 from foliant.llm import op1_quality, op2_decontaminate, op3_warc, op4_rules, op5_secrets, op6_bpe, op7_toxicity, op8_lm, op9_jaccard, op10_substring
-from foliant.llm.gru import Gru, log_likelihoods
+from foliant.llm.gru import CLASS, Gru, log_likelihoods
+from foliant.llm.gru import windows as windows_of
 from foliant.llm.hashed_lr import platt
 from foliant.llm.partenum import signatures, windows
 
@@ -403,12 +406,56 @@ def test_lm_steps_on_every_token(spark, monkeypatch):
     assert seen == [lex.total, lex.total]  # seed pass, then all documents
 
 
+def scalar_likelihood(m, d, start):
+    """The forward pass one number at a time."""
+    p = {k: v.astype(float).tolist() for k, v in m.p.items()}
+    n, sig = m.hidden, lambda v: 1 / (1 + math.exp(-v))
+    h, total = [0.0] * n, 0.0
+    for before, token in zip([start, *d[:-1].tolist()], d.tolist(), strict=True):
+        x = p["x"][before]
+        z = [sig(x[j] + sum(h[i] * p["uzr"][i][j] for i in range(n))) for j in range(n)]
+        r = [sig(x[n + j] + sum(h[i] * p["uzr"][i][n + j] for i in range(n))) for j in range(n)]
+        new = [math.tanh(x[2 * n + j] + sum(r[i] * h[i] * p["un"][i][j] for i in range(n))) for j in range(n)]
+        h = [h[j] + z[j] * (new[j] - h[j]) for j in range(n)]
+        c, k = divmod(token, CLASS)
+        for w, b, at in ((p["wc"], p["bc"], c), (p["wo"][c], p["bo"][c], k)):
+            logits = [b[j] + sum(h[i] * w[i][j] for i in range(n)) for j in range(len(b))]
+            total += logits[at] - math.log(sum(map(math.exp, logits)))
+    return total
+
+
+def test_lanes_hold_one_document_each():
+    rng = np.random.default_rng(1)
+    sizes = [*rng.integers(0, 400, 300), 200_000, 32, 64]
+    docs = [rng.integers(0, 90, n).astype(np.int32) for n in sizes]
+    got: dict[int, list] = {i: [] for i in range(len(docs))}
+    for x, keep, y, real, owner, _ in windows_of(docs, 7):
+        for k in range(x.shape[1]):
+            for t in np.flatnonzero(real[:, k]):
+                got[int(owner[t, k])].append((int(x[t, k]), int(y[t, k]), keep[t, k]))
+    for i, d in enumerate(docs):
+        assert got[i] == list(zip([7, *d[:-1].tolist()][: len(d)], d.tolist(), [0.0, *[1.0] * len(d)][: len(d)], strict=True))
+    tracemalloc.start()
+    long = [np.zeros(300, np.int32)] * 255 + [np.zeros(2_000_000, np.int32)]
+    assert sum(int(w[3].sum()) for w in windows_of(long, 7)) == 255 * 300 + 2_000_000
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_lm_does_not_depend_on_files(spark, docs):
+    lex, rest = op8_lm.lexicon(op8_lm.stored(op8_lm.word_counts(docs), "words"))
+    got = [rows(op8_lm.score(d, lex, rest, op8_lm.fit(d, lex)).select("doc_id", "n_tokens", "score")) for d in (docs, docs.repartition(7, "text"))]
+    assert [r[:2] for r in got[0]] == [r[:2] for r in got[1]]
+    assert max(abs(a[2] - b[2]) for a, b in zip(*got, strict=True)) < 1e-3
+
+
 def test_gru_gradients_and_state():
     rng = np.random.default_rng(0)
     m = Gru.new(rng.random(100) * 50, 6)
     docs = [rng.integers(0, 100, k) for k in (5, 70, 33)]
     whole = log_likelihoods(m, docs, 3)
     assert np.allclose(whole, [log_likelihoods(m, [d], 3)[0] for d in docs], atol=1e-3)  # lanes do not touch each other
+    assert np.allclose(whole, [scalar_likelihood(m, d, 3) for d in docs], atol=1e-2)
     for k in m.p:
         m.p[k] = m.p[k].astype(np.float64)
     m.p["wc"] += rng.normal(0, 0.3, m.p["wc"].shape)
