@@ -23,12 +23,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-BATCH_ROWS = "2000"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Sets the session's Arrow batches to rows of documents, some megabytes each."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the folder. Bounds the session's Arrow batches by bytes, as texts may be very long."""
+    spark.conf.set(BATCH, "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -77,7 +77,8 @@ def discard(*dfs: DataFrame) -> None:
 
 def aside(docs: DataFrame, taken: tuple[str, ...]):
     """``docs`` with other names for columns called like those that an operator adds, and the way back."""
-    names = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    free, own = iter(f"_aside_{i}" for i in range(10**9)), {c.lower() for c in docs.columns}
+    names = {c: next(f for f in free if f not in own) for c in docs.columns if c.lower() in taken}
     return docs.withColumnsRenamed(names), lambda df: df.withColumnsRenamed({v: k for k, v in names.items()})
 
 

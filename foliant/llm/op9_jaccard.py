@@ -1,11 +1,13 @@
 """N-gram Jaccard join by PartEnum signatures: classes of equal sets, links, and connected components.
 
 A text's set holds the distinct shingles of N lower-cased words (fewer words: the whole sequence). Texts with
-equal sets form one class, named by a 64-bit hash of the set, and only classes are joined. Classes that share
+equal sets form one class, named by a 64-bit hash of the set, and only classes are joined; a second hash tells
+whether two sets have one name, and then all are named anew by another hash. Classes that share
 a signature (partenum.py) are candidates. They are not paired off: first each class is tried against the
 smallest one of each signature, which finds nearly all links; then, where a signature's classes are still in
 several components, those of different components are compared, exactly, by size and by a parity sketch
-whose distance never exceeds the sets' difference. What these bounds leave is verified on the sets.
+whose distance never exceeds the sets' difference. A signature of many classes is dealt to tasks by pairs of
+blocks of its classes. What these bounds leave is verified on the sets.
 So no component between different texts is lost, and candidates that are connected already cost nothing.
 The links themselves, all of them, are the output of links().
 
@@ -16,6 +18,7 @@ class; a null doc_id never names a component unless all its members are null. An
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +31,13 @@ from foliant.llm.graph import components
 from foliant.llm.partenum import signatures
 
 N, PERCENT = 5, 80
-BUCKET_ROWS = 500_000  # signatures that one task groups, 14 bytes each
-CACHED = 100_000  # words whose hashes a task remembers
+BUCKET_ROWS = 250_000  # signatures that one task groups, 14 bytes each
+CACHED = 60_000  # words whose hashes a task remembers
 SKETCH, SKETCH_MOST = 1024, 1 << 16  # bits; twice to four times the set's size, within these bounds
-KEPT = 6  # bytes of a shingle's hash that verification compares
-KEYS_SENT = 4_000_000  # 64-bit keys that may be broadcast; beyond, a join picks the sets
+KEYS_SENT = 2_000_000  # 64-bit names of rows that may be broadcast; beyond, a join picks the sets
 BLOCK = 256
+SEEN = 200_000  # classes that a task remembers to have signed
+GROUP = 1_000  # classes of one signature that one task compares with each other
 
 
 def shingles(text: bytes, cache, n: int = N) -> np.ndarray:
@@ -42,8 +46,14 @@ def shingles(text: bytes, cache, n: int = N) -> np.ndarray:
     return np.unique(window_hashes(h, min(n, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
-def set_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """The name of a set, and a second hash that tells sets of one name apart."""
+    return struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16, salt=b"%d" % salt).digest())
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """text and the rest, with _row: a hash that names the row by doc_id and text."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -74,17 +84,20 @@ def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key and sketch (both null for an empty set) of every row."""
+def described(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """doc_id, _row, n_shingles, key, check and sketch (these null for an empty set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = hash_cache(CACHED)
         for b in sliced(batches):
-            rows = [(len(s), set_key(s), sketch(s)) if len(s) else (0, None, None) for s in (shingles(t or b"", cache) for t in texts(b, "text"))]
-            n, key, sk = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
+            rows = [(len(s), *set_key(s, salt), sketch(s)) if len(s) else (0, None, None, None) for s in (shingles(t or b"", cache) for t in texts(b, "text"))]
+            n, key, check, sk = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("_row"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sk, pa.binary())],
+                names=["doc_id", "_row", "n_shingles", "key", "check", "sketch"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, key long, sketch binary")
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _row long, n_shingles long, key long, check long, sketch binary")
 
 
 def planes(x: np.ndarray, keep: int = 8) -> bytes:
@@ -98,8 +111,8 @@ def unplanes(raw: bytes, keep: int = 8) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def signed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows (bucket, sigs, keys); a partition signs each class once."""
+def signed(docs: DataFrame, buckets: int, salt: int = 0) -> DataFrame:
+    """Packed rows (bucket, sigs, keys); a partition signs a class once, unless it has met very many others since."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, held, size = hash_cache(CACHED), set(), [], 0
@@ -119,9 +132,11 @@ def signed(docs: DataFrame, buckets: int) -> DataFrame:
                 s = shingles(t or b"", cache)
                 if not len(s):
                     continue
-                k = set_key(s)
+                k, _ = set_key(s, salt)
                 if k in seen:
                     continue
+                if len(seen) == SEEN:
+                    seen.clear()
                 seen.add(k)
                 sig = signatures(s, PERCENT)
                 if len(sig):
@@ -192,27 +207,39 @@ def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
-    """Plausible pairs of classes that share a signature and are in different components so far."""
+    """Plausible pairs of classes that share a signature and are in different components so far.
+
+    The classes of a signature are dealt by hash into blocks of about GROUP; each pair of blocks is compared by
+    itself, so a signature of g classes makes about (g / GROUP)**2 / 2 pieces of work of equal size.
+    """
     every = members.select("sig", F.col("b").alias("key")).union(members.select("sig", F.col("a").alias("key")).distinct())
     rooted = every.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("sig", "key", F.coalesce("v", "key").alias("root"))
-    mixed_sigs = rooted.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
+    mixed_sigs = rooted.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("g")).where("r0 <> r1")
+    mixed_sigs = stored(mixed_sigs.select("sig", F.ceil(F.col("g") / GROUP).cast("int").alias("blocks")), "mixed")
     rows = rooted.join(mixed_sigs, "sig").join(info.select("key", "n", "sketch"), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "root", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(t: pa.Table) -> np.ndarray:
-            t = t.sort_by("root")
-            key, root, n = (t.column(c).to_numpy() for c in ("key", "root", "n"))
+            t = t.sort_by([("own", "ascending"), ("root", "ascending")])
+            key, root, n, own = (t.column(c).to_numpy() for c in ("key", "root", "n", "own"))
             raw = t.column("sketch").to_pylist()
             w = folded(raw, min(map(len, raw)))
+            split = int(np.searchsorted(own, own[-1]))  # where the second of two blocks begins; 0: a block with itself
+            if not split and t.column("x")[0].as_py() != t.column("y")[0].as_py():
+                return np.empty((0, 2), np.int64)  # no class fell into the other block
             out = []
-            for i in range(0, len(key), BLOCK):
-                hi = min(i + BLOCK, len(key))
-                for j in range(i, len(key), BLOCK):
+            for i in range(0, split or len(key), BLOCK):
+                hi = min(i + BLOCK, split or len(key))
+                for j in range(split or i, len(key), BLOCK):
                     e = min(j + BLOCK, len(key))
-                    if root[i] == root[e - 1]:
-                        continue  # sorted by root: one component only
+                    low, high = min(root[i], root[j]), max(root[hi - 1], root[e - 1])
+                    if low == high:
+                        continue  # one component only
                     bits = np.bitwise_count(w[i:hi, None] ^ w[None, j:e]).sum(2).astype(np.int64)
-                    ok = near_enough(bits, n[i:hi, None], n[None, j:e]) & (root[i:hi, None] < root[None, j:e])
+                    ok = near_enough(bits, n[i:hi, None], n[None, j:e]) & (root[i:hi, None] != root[None, j:e])
                     x, y = np.nonzero(ok)
                     out.append(np.stack([key[i + x], key[j + y]], 1))
             return np.unique(np.sort(np.concatenate(out), 1), axis=0) if out else np.empty((0, 2), np.int64)
@@ -222,11 +249,11 @@ def apart(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) ->
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
         last, found = None, []
-        for b in sliced(batches):  # sorted by sig: a group may go on in the next batch
+        for b in sliced(batches):  # sorted by sig and blocks: a group may go on in the next batch
             t = pa.Table.from_batches([b])
             t = t if last is None else pa.concat_tables([last, t])
-            sig = t.column("sig").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(sig)) + 1)]
+            sig, x, y = (t.column(c).to_numpy() for c in ("sig", "x", "y"))
+            cuts = [0, *(np.flatnonzero((sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 found.append(compared(t.slice(s, e - s)))
             last = t.slice(cuts[-1])
@@ -238,43 +265,41 @@ def apart(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) ->
         if found:
             yield emitted(found)
 
-    dealt = rows.repartition(parts, "sig").sortWithinPartitions("sig")
+    dealt = rows.repartition(parts, "sig", "x", "y").sortWithinPartitions("sig", "x", "y")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def sets_of(docs: DataFrame, keys: DataFrame, info: DataFrame) -> DataFrame:
-    """(key, shingles) of the classes whose key is in ``keys``, from the documents that name them.
+def sets_of(docs: DataFrame, keys: DataFrame, info: DataFrame, salt: int) -> DataFrame:
+    """(key, shingles) of the classes whose key is in ``keys``, from the rows that stand for them.
 
-    A document that shares its id with others may give a class twice, which does no harm.
+    A row that occurs twice gives its class twice, which does no harm.
     """
-    wanted = info.join(keys, "key").select(F.col("least").alias("_id"), F.col("key").alias("_key")).dropDuplicates(["_key"])
-    wanted = stored(wanted, "keys")
-    ids = wanted.select("_id").distinct()
-    few = ids.count() <= KEYS_SENT
-    named = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    wanted = stored(info.join(keys, "key").select("_row").distinct(), "keys")
+    few = wanted.count() <= KEYS_SENT
+    picked = docs.join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = hash_cache(CACHED)
         for b in sliced(batches):
-            rows = [(set_key(s), planes(s, KEPT)) for s in (shingles(t or b"", cache) for t in texts(b, "text")) if len(s)]
+            rows = [(set_key(s, salt)[0], s.tobytes()) for s in (shingles(t or b"", cache) for t in texts(b, "text")) if len(s)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["key", "shingles"])
 
-    return named.select("text").mapInArrow(run, "key long, shingles binary")
+    return picked.select("text").mapInArrow(run, "key long, shingles binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, salt: int) -> DataFrame:
     """The pairs (a, b), as links (u, v), whose sets are similar."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = stored(sets_of(docs, keys, info), "sets")
+    sets = stored(sets_of(docs, keys, info, salt), "sets")
     of = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, 100):
             ok = []
-            for x, y in zip(b.column("s_a").to_pylist(), b.column("s_b").to_pylist(), strict=True):
-                x, y = unplanes(x, KEPT), unplanes(y, KEPT)
-                both = len(np.intersect1d(x, y))
+            for x, y in zip(b.column("s_a"), b.column("s_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -290,14 +315,21 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return tagged.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select(pairs.columns)
 
 
-def grouped_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Described rows, classes, the signatures that classes share, and the number of buckets."""
-    rows = stored(described(docs), "sets")
-    info = rows.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    info = stored(info, "classes")
-    total = info.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // (2 * BUCKET_ROWS)))  # about one signature for two shingles
-    return rows, info, stored(grouped(signed(docs, buckets), buckets), "shared"), buckets
+def grouped_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """Described rows, classes, the signatures that classes share, the number of buckets, and the salt of the names."""
+    for salt in range(8):
+        rows = stored(described(docs, salt), "sets")
+        info = rows.where("key is not null").groupBy("key").agg(
+            F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("copies"),
+            F.min("_row").alias("_row"), F.min("check").alias("c0"), F.max("check").alias("c1"),
+        )
+        info = stored(info, "classes")
+        seen = info.agg(F.sum("n").alias("total"), F.max(F.col("c0") != F.col("c1")).alias("clash")).first()
+        if not seen.clash:
+            buckets = max(1, -(-(seen.total or 0) // (2 * BUCKET_ROWS)))  # about one signature for two shingles
+            return rows, info.drop("c0", "c1"), stored(grouped(signed(docs, buckets, salt), buckets), "shared"), buckets, salt
+        discard(rows, info)
+    raise RuntimeError("two sets had one name, eight times over")
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -306,55 +338,65 @@ def links(docs: DataFrame) -> DataFrame:
     All pairs that share a signature are tried, connected or not, and verified on the sets: a signature of g
     classes gives g(g - 1)/2 candidates, as the links themselves may. Rows of one class have equal sets.
     """
-    docs = docs.select("doc_id", "text")
-    _, info, shared, _ = grouped_classes(docs)
+    docs = named(docs.select("doc_id", "text"))
+    rows, info, shared, _, salt = grouped_classes(docs)
     others = shared.where("sig is not null").select("sig", "b")  # a is the smallest of each
     across = others.withColumnRenamed("b", "a").join(others, "sig").where("a < b").select("a", "b")
     pairs = stored(plausible(shared.select("a", "b").union(across).distinct(), info), "pairs")
-    discard(shared)
+    discard(rows, shared)
     of = lambda x: info.select(F.col("key").alias(x), F.col("least").alias(f"doc_{x}"))
-    found = verified(docs, pairs, info).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    found = verified(docs, pairs, info, salt).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    discard(pairs)
     return found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "doc_a", "doc_b")
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key and component_id of every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    rows, info, shared, buckets = grouped_classes(docs)
+    """doc_id, n_shingles, key, root, component_id and _row (see named()) of every row of ``docs``.
+
+    Rows of one component have one root; component_id is the component's least doc_id, for rows without any set
+    their own.
+    """
+    docs = named(docs.select("doc_id", "text"))
+    rows, info, shared, buckets, salt = grouped_classes(docs)
     pairs = stored(plausible(shared.select("a", "b").distinct(), info), "pairs")
     # first the nearest candidate of each class, then what these links have left in different components
     best = pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = verified(docs, best, info)
+    links = verified(docs, best, info, salt)
     roots = components(links)
     left = stored(between(pairs, roots).join(best, ["a", "b"], "left_anti"), "pairs")
     if not left.isEmpty():
-        links = stored(links.union(verified(docs, left, info)), "links")
+        links = stored(links.union(verified(docs, left, info, salt)), "links")
         roots = components(links)
     members = shared.where("sig is not null")
     for share in (16, 1):  # links that some signatures show spare the exact pass most of its comparisons
         more = apart(members.where(F.pmod("sig", F.lit(share)) == 0), info, roots, buckets)
         more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = stored(links.union(verified(docs, more, info)), "links")
+            links = stored(links.union(verified(docs, more, info, salt)), "links")
             roots = components(links)
             pairs = pairs.select("a", "b").union(more)
     discard(shared)
-    classes = info.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("key", "least", F.coalesce("v", "key").alias("root"), "copies")
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
-    named = classes.join(named, "root").select("key", "component_id")
-    out = rows.drop("sketch").join(named, "key", "left")  # a class with very many copies is split by the skew join
-    return out.select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = info.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("key", "least", F.coalesce("v", "key").alias("root"))
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = stored(classes.join(least, "root").select("key", "root", "component_id"), "named")
+    out = rows.join(of_class, "key", "left")  # both sides are stored: a class with very many copies is split by the skew join
+    return out.select("doc_id", "n_shingles", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "_row")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that whose doc_id names it; repeated rows stay once."""
-    docs, back = aside(docs, ("copies", "_id"))
-    kept = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "n_shingles", "key").agg(F.count("*").alias("copies"))
-    single = kept.groupBy("doc_id").agg(F.sum("copies").alias("copies"))
-    once = docs.join(single.select(F.col("doc_id").alias("_id"), "copies"), F.col("doc_id").eqNullSafe(F.col("_id")), "inner").drop("_id")
-    # an id that comes once names its row; rows that share an id stay once for each text
-    several = once.where("copies > 1").drop("copies").dropDuplicates(["doc_id", "text"])
-    return back(once.where("copies = 1").drop("copies").unionByName(several))
+    """``docs`` with one row of each component: one whose doc_id names it, of the least row hash if several do.
+
+    Rows without words belong to no component and stay, equal ones once. Columns of any name are kept.
+    """
+    docs, back = aside(docs, ("copies", "_row"))
+    found = join(docs).groupBy("root", F.when(F.col("root").isNull(), F.col("_row")).alias("alone"), "_row").agg(
+        F.count("*").alias("copies"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), 0).otherwise(1)).alias("rank")
+    )
+    kept = found.groupBy("root", "alone").agg(F.min(F.struct("rank", "_row", "copies")).alias("x")).select("x._row", "x.copies")
+    once = named(docs).join(kept, "_row")
+    # a row that comes once needs no comparison with others
+    several = once.where("copies > 1").dropDuplicates(["_row"])
+    return back(once.where("copies = 1").unionByName(several).select(*docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
