@@ -521,6 +521,30 @@ def test_jaccard_join(spark, docs, empty):
     kept = op9_jaccard.deduplicate(d)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in brute_components(data)}
     assert op9_jaccard.deduplicate(docs).groupBy("doc_id", "text").count().where("count > 1").count() == 0
+    assert op9_jaccard.deduplicate(empty).count() == 0
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    rng = random.Random(3)
+    one, two = prose(rng, 60), prose(rng, 60)
+    data = [(5, one), (5, two), (3, two), (5, one), (9, one + " end"), (None, one), (4, ""), (4, ""), (None, None), (6, two)]
+    d = spark.createDataFrame([(i, t, "own", None, "copies", None) for i, t in data], "doc_id long, text string, _row string, copies string, _aside_0 string, _aside_1 string")
+    out = op9_jaccard.deduplicate(d)
+    assert out.columns == d.columns and rows(out.select("doc_id", "text", "_row")) == sorted([(5, one, "own"), (3, two, "own"), (4, "", "own"), (None, None, "own")], key=repr)
+
+
+def test_signature_of_many_classes_is_compared_in_blocks(spark, monkeypatch):
+    """Texts of one signature that are linked only across blocks of a group."""
+    monkeypatch.setattr(op9_jaccard, "GROUP", 7)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(90):  # chains of small changes
+        w = list(base)
+        w[30:36] = [f"x{rng.randint(0, 3)}_{k}" for k in range(6)] if i % 3 else w[30:36]
+        data.append((i, " ".join(w[: 60 - i % 5]), None, None, None, None))
+    d = spark.createDataFrame(data, SCHEMA)
+    assert rows(op9_jaccard.join(d).select("doc_id", "n_shingles", "component_id")) == brute_components(data)
 
 
 def test_jaccard_links_are_all_pairs(spark, empty):
@@ -580,6 +604,46 @@ def test_substring_dedup(spark, docs, empty):
     d = spark.createDataFrame(data, SCHEMA).repartition(5)
     assert rows(op10_substring.cleaned(d).select("doc_id", "n_words", "n_removed", "kept")) == brute_removed(data)
     assert op10_substring.cleaned(empty).count() == 0
+    op10_substring.SPLIT, before = 3, op10_substring.SPLIT  # hot anchors in many blocks
+    try:
+        assert rows(op10_substring.cleaned(d).select("doc_id", "n_words", "n_removed", "kept")) == brute_removed(data)
+        assert rows(op10_substring.cleaned(docs).select("doc_id", "n_words", "n_removed", "kept")) == brute_removed(corpus())
+    finally:
+        op10_substring.SPLIT = before
+
+
+def test_factors_are_greedy_longest_matches():
+    rng = np.random.default_rng(5)
+    n = 4
+    for _ in range(200):
+        sizes = rng.integers(n, 30, rng.integers(2, 8))
+        words = rng.integers(0, 3, sizes.sum()).astype(np.uint64)
+        got = op10_substring.Block(words, sizes, n).factors().tolist()
+        begin = np.cumsum(sizes) - sizes
+        texts = [words[b : b + s].tolist() for b, s in zip(begin, sizes, strict=True)]
+
+        def longest(f, i):
+            best = 0
+            for g, other in enumerate(texts):
+                for j in range(len(other)):
+                    if (f, i) != (g, j):
+                        k = 0
+                        while i + k < len(texts[f]) and j + k < len(other) and texts[f][i + k] == other[j + k]:
+                            k += 1
+                        best = max(best, k)
+            return best
+
+        want = []
+        for f, t in enumerate(texts):
+            i = 0
+            while i <= len(t) - n:
+                k = longest(f, i)
+                if k >= n:
+                    want.append([f, int(begin[f]) + i, k])
+                    i += k - n + 1
+                else:
+                    i += 1
+        assert sorted(got) == want
 
 
 # ---------------------------------------------------------------- pipeline
