@@ -7,7 +7,8 @@ however long it is: readings are linked back, so the time is in proportion to th
 model is counted over all texts of the input; its size is that of the alphabet cubed. Words, and word
 beginnings, of the restored text are hashed for a logistic regression trained with FTRL on at most MAX_ROWS
 labelled rows and applied to every whole text. Null and empty texts score the bias alone; repeated rows
-score alike; an empty label table gives 0.5 throughout.
+score alike; a score of exactly THRESHOLD is predicted toxic, so an empty label table, which gives 0.5 throughout,
+predicts every text.
 """
 
 from __future__ import annotations
@@ -161,15 +162,17 @@ class Restorer:
             return token
         return token.replace(core, viterbi(core, self.model), 1)
 
-    def spaced(self, text: str) -> list[str]:
-        """Words read from single letters that stand apart."""
-        return [w for m in SPACED.finditer(text) for w in viterbi(m[0], self.model).split(" ")]
+    def joined(self, text: str) -> str:
+        """The whole text, lower-cased, with single letters that stand apart read as words."""
+        return SPACED.sub(lambda m: viterbi(m[0], self.model), text.lower())
 
     def restore(self, text: str) -> str:
         """The whole text, lower-cased, with every suspicious token restored."""
-        low = text.lower()
-        joined = SPACED.sub(lambda m: viterbi(m[0], self.model), low)
-        return "".join(map(self.tokens.__getitem__, re.split(r"(\s+)", joined)))
+        return "".join(map(self.tokens.__getitem__, re.split(r"(\s+)", self.joined(text))))
+
+    def words(self, text: str) -> set[str]:
+        """The distinct words of restore(text); each token is restored once."""
+        return set(map(self.tokens.__getitem__, set(self.joined(text).split())))
 
 
 class ToxicFeatures:
@@ -181,16 +184,14 @@ class ToxicFeatures:
         self.cache = WordCache(self._word, 150_000)
 
     def _word(self, token: str) -> tuple[int, ...]:
-        word = self.restorer._token(token).strip(EDGES + "!")
+        word = token.strip(EDGES + "!")
         if not word:
             return ()
         parts = {"w" + word, *("p" + word[:n] for n in (3, 4, 5, 6) if len(word) > n)}
         return tuple(xxhash.xxh3_64_intdigest(p) & self.mask for p in parts)
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        low = text.decode("utf-8", "replace").lower()
-        words = set(low.split())
-        words.update(self.restorer.spaced(low))
+        words = self.restorer.words(text.decode("utf-8", "replace"))
         idx = np.unique(np.fromiter(chain.from_iterable(map(self.cache.__getitem__, words)), np.int64))
         return idx, np.ones(len(idx), np.float32)
 
