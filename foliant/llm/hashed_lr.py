@@ -1,8 +1,8 @@
 """Logistic regression over hashed sparse features, trained by FTRL-proximal updates.
 
 Features are computed where the rows are; one executor task trains on a bounded sample of labelled
-rows (``max_rows``, a documented parameter), and the weights, whose size the hash space fixes, are
-broadcast for scoring as sparse dot products.
+rows (``max_rows`` documents, one row a doc_id, and ``max_features`` features of whole texts in all, documented
+parameters), and the weights, whose size the hash space fixes, are broadcast for scoring as sparse dot products.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from foliant.llm.common import sliced
 #: feature function: text bytes -> (bucket indexes, values), indexes distinct
 Features = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
 ROW = "k long, y int, idx binary, val binary"
+MAX_FEATURES = 20_000_000  # 8 bytes each
 
 
 @dataclass
@@ -120,12 +121,15 @@ def feature_rows(df: DataFrame, features: Callable[[], Features]) -> DataFrame:
 def train(
     docs: DataFrame, labels: DataFrame, label: str, features: Callable[[], Features], dim: int, max_rows: int,
     epochs: int = 4, alpha: float = 0.5, l1: float = 0.02, l2: float = 0.5, calibrate: bool = False, weight_pos: float = 1.0,
+    max_features: int = MAX_FEATURES,
 ) -> Model:
     """Fit on at most ``max_rows`` labelled documents, those of least xxhash64(doc_id).
 
-    Labels that are null, or that disagree for one doc_id, are resolved to the largest non-null one.
-    No labels: a model that answers 0.5 for every text. One task of one executor trains; the driver
-    gets the weights only.
+    Labels that are null, or that disagree for one doc_id, are resolved to the largest non-null one; of the texts of
+    one doc_id the one of least hash counts. In the order of that hash, rows are taken until they hold ``max_features``
+    features. No labels: a model that answers 0.5 for every text. With ``calibrate`` every fifth row is left out of
+    training and fits the slope and shift of the model's margins. One task of one executor trains; the driver gets
+    the weights only.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -133,25 +137,28 @@ def train(
         .withColumn("k", F.xxhash64("doc_id")).orderBy("k", "doc_id").limit(max_rows)
     )
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by max_rows
+    chosen = chosen.groupBy("doc_id", "k", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = feature_rows(chosen, features)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for b in sliced(batches, 200):
+        got, size = [], 0
+        for b in sliced(batches, 200):  # in the order of k
             for k, y, i, v in zip(*(b.column(c).to_pylist() for c in ("k", "y", "idx", "val")), strict=True):
-                got.append((k, float(y > 0), np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)))
-        got.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+                if size < max_features:
+                    got.append((k, float(y > 0), np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)))
+                    size += len(i) // 4
         data = [r[1:] for r in got]
         if not data:
             m = Model(np.zeros(dim, np.float32), 0.0)
         else:
-            m = fitted(data, dim, epochs, alpha, l1, l2, weight_pos)
-            if calibrate and len(data) >= 50:
-                held = [r for j, r in enumerate(data) if j % 5 == 0]
-                part = fitted([r for j, r in enumerate(data) if j % 5], dim, epochs, alpha, l1, l2, weight_pos)
-                m.slope, m.shift = platt(np.array([part.margin(i, v) for _, i, v in held]), np.array([y for y, _, _ in held]))
+            held = [r for j, r in enumerate(data) if j % 5 == 0] if calibrate and len(data) >= 50 else []
+            m = fitted([r for j, r in enumerate(data) if j % 5] if held else data, dim, epochs, alpha, l1, l2, weight_pos)
+            if held:
+                m.slope, m.shift = platt(np.array([m.margin(i, v) for _, i, v in held]), np.array([y for y, _, _ in held]))
         yield pa.RecordBatch.from_pydict({"w": [m.w.tobytes()], "s": [[m.bias, m.slope, m.shift]]})
 
-    got = rows.repartition(1).mapInArrow(fit, "w binary, s array<double>").collect()  # one row; at most max_rows go in
+    got = rows.repartition(1).sortWithinPartitions("k", "y", "idx").mapInArrow(fit, "w binary, s array<double>").collect()  # one row; at most max_rows go in
+    if not got:  # no rows, and so no task
+        return Model(np.zeros(dim, np.float32), 0.0)
     w, s = got[0]["w"], got[0]["s"]
     return Model(np.frombuffer(bytes(w), np.float32), *s)

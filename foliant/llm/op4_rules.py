@@ -4,7 +4,8 @@ The rules' counts are exact and cover whole texts. A text that fails a rule is n
 those are kept whose calibrated probability of good quality is at least KEEP. The regression is trained
 on at most MAX_ROWS labelled rows; its weights are broadcast (the hash space bounds them), and rows are
 scored in Arrow batches where they are. Null counts as a text without words; an empty label table gives
-probability 0.5 throughout, which KEEP keeps. Repeated rows are judged alike, one row each.
+probability 0.5 throughout, which KEEP keeps (a probability of exactly KEEP is kept). Repeated rows are judged
+alike, one row each; texts are read whole, however long; columns of docs keep their names and values.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import hashed_lr
-from foliant.llm.common import aside, MIX, mixed, sliced, table, texts, window_hashes, word_hashes
+from foliant.llm.common import aside, sliced, table, texts, window_hashes, word_hashes
 from foliant.llm.op1_quality import WordNgrams
 
 BITS = 20
-MAX_ROWS = 4_000
+MAX_ROWS = 5_000  # labelled rows; four fifths train, one fifth calibrates
 KEEP = 0.5
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
-CHARS = 4  # bytes in a character n-gram
+CHARS = 4  # characters (code points) in a character n-gram
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -65,14 +66,12 @@ class WordCharNgrams(WordNgrams):
 
     def both(self, text: bytes, words: list[bytes], h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         i, v = hashed_lr.unit(self.buckets(words, h))
-        a = np.frombuffer(text, np.uint8).astype(np.uint64)
-        if len(a) < CHARS:
+        a = np.frombuffer(text, np.uint8) if text.isascii() else np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        g = window_hashes(a.astype(np.uint64), CHARS)
+        if not len(g):
             return i, v
-        g = a[: len(a) - CHARS + 1].copy()
-        for j in range(1, CHARS):
-            g = g * np.uint64(256) + a[j : len(a) - CHARS + 1 + j]
         # the characters have their own half of the hash space, so that no bucket is listed twice
-        ci, cv = hashed_lr.unit((mixed(g * MIX) & self.mask).astype(np.int64) + (1 << BITS))
+        ci, cv = hashed_lr.unit((g & self.mask).astype(np.int64) + (1 << BITS))
         return np.concatenate([i, ci]), np.concatenate([v, cv])
 
 
@@ -81,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> hashed_
 
 
 def judge(docs: DataFrame, model: hashed_lr.Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, the counts, base_failed, probability and kept for each row of ``docs``."""
+    """``keep`` columns, the counts, base_failed, kept and probability for each row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     read = list(dict.fromkeys([*keep, "text"]))
     cols = docs.select(*keep).schema
@@ -100,12 +99,12 @@ def judge(docs: DataFrame, model: hashed_lr.Model, keep: tuple[str, ...] = ("doc
             failed = (c[:, 0] < MIN_WORDS) | (100 * c[:, 4] > MAX_REPEAT_PCT * c[:, 0])
             p = np.array(ps, np.float64)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in keep), *(pa.array(c[:, j]) for j in range(len(COUNTS))), pa.array(failed), pa.array(p), pa.array(~failed & (p >= KEEP))],
-                names=[*keep, *COUNTS, "base_failed", "probability", "kept"],
+                [*(b.column(k) for k in keep), *(pa.array(c[:, j]) for j in range(len(COUNTS))), pa.array(failed), pa.array(~failed & (p >= KEEP)), pa.array(p)],
+                names=[*keep, *COUNTS, "base_failed", "kept", "probability"],
             )
 
     head = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in cols)
-    return docs.select(*read).mapInArrow(run, head + ", " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean")
+    return docs.select(*read).mapInArrow(run, head + ", " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, probability double")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
