@@ -187,8 +187,12 @@ def planned(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, first (the response's page_id, if several share the payload)."""
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    first = p.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(first, "digest", "left")  # a hot digest is split by the skew join: the right side has it once
+    long = p.where(F.octet_length("payload") >= MIN_REVISIT)
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # the right side is stored, so that the skew join can split a hot digest; short payloads need no join
+    linked = long.join(stored(first, "first"), "digest", "left").select(*p.columns, "first")
+    short = p.where(F.octet_length("payload") < MIN_REVISIT)
+    return linked.union(short.withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
 
 
 def write_packages(pages: DataFrame, folder: str, limit: int = PACKAGE_BYTES) -> DataFrame:
