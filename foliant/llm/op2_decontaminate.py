@@ -4,7 +4,7 @@ Words are runs of digits, a-z and characters beyond ASCII after lower-casing A-Z
 windows of N words, or itself if it has fewer words than that. Windows whose hash is in the set are
 verified word by word; every word inside a verified window is hit. Test items are read in blocks of at
 most BLOCK_BYTES of text (one block unless the benchmark is larger), which bounds what is broadcast;
-further blocks are scanned one after the other. Null and wordless texts have no windows; items without
+further blocks are scanned one after the other, for which the rows are written once a block. Null and wordless texts have no windows; items without
 words or without an id match nothing; repeated items count once; repeated documents are reported row by row.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import aside, discard, sliced, stored, table, texts, window_hashes
+from foliant.llm.common import aside, discard, hash_cache, sliced, stored, table, texts, window_hashes, word_hashes
 
 N = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20  # of item texts; a worker holds about five times as much
 MAX_SHARE = 0.5  # a document of which more is hit goes as a whole
 NORMAL = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 TOKEN = re.compile(rb"[^ ]+")
@@ -34,39 +35,55 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The normalised windows of a block of test items."""
+    """The normalised windows of a block of test items: sorted hashes, and where their words stand in one buffer."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = N):
-        self.vocab: dict[bytes, int] = {}
-        self.owners: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)], np.int32)
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.owners.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), set()).add(item)
-        self.sets = {
-            size: np.unique(window_hashes(np.concatenate([np.frombuffer(k, np.int32) for k in got]).astype(np.uint64), size)[::size])
-            for size, got in self.owners.items()
-        }
-
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        cache = hash_cache(50_000)
+        self.items = [item for item, _ in items]
+        texts_, sizes = [], np.zeros(len(items), np.int64)
+        for k, (_, text) in enumerate(items):
+            words = words_of(text)
+            sizes[k] = len(words)
+            texts_.append(b" ".join([*words, b""]))
+        self.buffer = b"".join(texts_)  # words, each with one space behind it
+        del texts_
+        self.ends = np.flatnonzero(np.frombuffer(self.buffer, np.uint8) == 32).astype(np.int32)
+        begin = np.cumsum(sizes) - sizes
+        hashes = word_hashes(self.buffer.split(), cache) if len(items) else np.empty(0, np.uint64)
+        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        short = np.minimum(sizes, n)
+        for size in np.unique(short[short > 0]).tolist():
+            of = np.flatnonzero(short == size)
+            count = sizes[of] - size + 1
+            item = np.repeat(of, count)
+            place = np.arange(len(item)) + np.repeat(begin[of] - (np.cumsum(count) - count), count)
+            h = window_hashes(hashes, size)[place]
+            order = np.lexsort((item, h))
+            h, item, place = h[order], item[order], place[order]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (item[1:] != item[:-1])])  # again in its item: no news
+            self.sets[size] = h[once], item[once].astype(np.int32), place[once].astype(np.int32)
+
+    def text(self, place: int, size: int) -> bytes:
+        """The words from a place on, with one space between them."""
+        return self.buffer[self.ends[place - 1] + 1 if place else 0 : self.ends[place + size - 1]]
+
+    def hits(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set[str]]:
         """Runs of hit words as rows (start, end), and the items with an occurring window."""
         total, found = len(words), set()
-        ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int32, total)
-        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
         edge = None
-        for size, known in self.sets.items():
+        for size, (known, item, place) in self.sets.items():
             if total < size:
                 continue
-            whole = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if not len(whole):
-                continue
-            h = window_hashes(ids.astype(np.uint64), size)[whole]
+            h = window_hashes(hashes, size)
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for i in whole[known[at] == h]:
-                who = self.owners[size].get(ids[i : i + size].tobytes())
-                if who:
-                    found |= who
+            for i in np.flatnonzero(known[at] == h).tolist():
+                own, k, hit = b" ".join(words[i : i + size]), int(at[i]), False
+                while k < len(known) and known[k] == h[i]:  # one entry for each item that has the window
+                    if self.text(int(place[k]), size) == own:
+                        found.add(self.items[item[k]])
+                        hit = True
+                    k += 1
+                if hit:
                     edge = np.zeros(total + 1, np.int32) if edge is None else edge
                     edge[i] += 1
                     edge[i + size] -= 1
@@ -77,6 +94,17 @@ class Windows:
         return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).astype(np.int32), found
 
 
+_built: dict[str, Windows] = {}
+
+
+def windows_of(name: str, sent) -> Windows:
+    """The windows of a broadcast block; a process keeps those of the last one."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Windows(sent.value)
+    return _built[name]
+
+
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -112,14 +140,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES, with_t
         chained, text_out = before is not None, with_text or following is not None
         names = [c for c in keep if text_out or c != "text"]
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, chained=chained, names=names) -> Iterator[pa.RecordBatch]:
-            windows = Windows(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=uuid.uuid4().hex, chained=chained, names=names) -> Iterator[pa.RecordBatch]:
+            windows, cache = windows_of(name, sent), hash_cache(50_000)
             for b in sliced(batches):
                 old = zip(b.column("runs").to_pylist(), b.column("items").to_pylist(), strict=True) if chained else repeat(([], []))
                 rows = []
                 for t, (r0, i0) in zip(texts(b, "text"), old):
                     words = words_of(t or b"")
-                    runs, found = windows.hits(words)
+                    runs, found = windows.hits(words, word_hashes(words, cache))
                     runs = union_runs(np.array(r0, np.int32).reshape(-1, 2), runs)
                     rows.append((len(words), int((runs[:, 1] - runs[:, 0]).sum()), runs.ravel().tolist(), sorted(found | set(i0))))
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
