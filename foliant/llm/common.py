@@ -7,6 +7,7 @@ executor of a cluster share, so a lost executor costs a reread and never a resul
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 import zlib
@@ -33,10 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; one of our own only where the session names none (tests)."""
+    """The shared scratch folder; one of our own only where a local session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = held or "file://" + tempfile.mkdtemp(prefix="foliant-")
         if not held:
             spark.sparkContext.setCheckpointDir(where)

@@ -379,6 +379,7 @@ def join(docs: DataFrame) -> DataFrame:
     classes = info.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").select("key", "least", F.coalesce("v", "key").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = stored(classes.join(least, "root").select("key", "root", "component_id"), "named")
+    discard(info, links, roots, left)
     out = rows.join(of_class, "key", "left")  # both sides are stored: a class with very many copies is split by the skew join
     return out.select("doc_id", "n_shingles", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "_row")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from foliant.llm import op1_quality, op2_decontaminate, op3_warc, op4_rules, op5_secrets, op6_bpe, op7_toxicity, op8_lm, op9_jaccard, op10_substring
 from foliant.llm.gru import CLASS, Gru, log_likelihoods
 from foliant.llm.gru import windows as windows_of
-from foliant.llm.hashed_lr import platt
+from foliant.llm.hashed_lr import fitted, platt, train
 from foliant.llm.partenum import signatures, windows
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
@@ -142,14 +143,82 @@ def test_deobfuscation_has_no_longest(spark):
     texts = [prose(rng, 40) + " " + " ".join(rng.choices(bad, k=4)) for _ in range(300)]
     chars = op7_toxicity.char_model(spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)], SCHEMA))
     restorer = op7_toxicity.Restorer(chars)
-    assert restorer.restore("the b a d and") == "the bad and" and restorer.spaced("the b a d and") == ["bad"]
+    assert restorer.restore("the b a d and") == "the bad and" and restorer.words("the b a d and") == {"the", "bad", "and"}
     token, run = "-".join(["1d1ot"] * 12), " ".join("idiot" * 12)  # 71 and 119 characters
     assert restorer.restore(token) == "idiot" * 12
     assert restorer.restore(run).replace(" ", "") == "idiot" * 12 and len(restorer.restore(run)) < 80
-    assert "".join(restorer.spaced(run)) == "idiot" * 12
+    for text in (token, run, "x " + run + " m0ron\tsc.u.m\n1d1ot", prose(rng, 300), "idiot" * 1_000, " ".join("idiot" * 1_000)):
+        assert restorer.words(text) == set(restorer.restore(text).split())
+    assert restorer.words("i d i o t") == {"idiot"}  # what is scored has no single letters left
     assert len(op7_toxicity.viterbi(" ".join("idiot" * 20_000), chars)) >= 100_000
 
 
+def test_viterbi_finds_the_cheapest_reading(spark):
+    rng = random.Random(7)
+    d = spark.createDataFrame([(i, prose(rng, 50), None, None, None, None) for i in range(50)], SCHEMA)
+    model = op7_toxicity.char_model(d)
+
+    def cost(text):
+        s = [0, 0, *(op7_toxicity.INDEX.get(c, op7_toxicity.SIZE - 1) for c in text), 0]
+        return sum(float(model[a, b, c]) for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+    for _ in range(300):
+        token = "".join(rng.choice("abeo01@!.- ") * rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(1, 5)))
+        best: dict = {}
+        for path in itertools.product(*op7_toxicity.lattice(token)):
+            text = "".join(r for r, _ in path)
+            best[text] = min(best.get(text, math.inf), cost(text) + sum(c for _, c in path))
+        assert best[op7_toxicity.viterbi(token, model)] == pytest.approx(min(best.values()), rel=1e-5)
+
+
+def test_ftrl_equals_a_plain_dictionary():
+    rng = np.random.default_rng(3)
+    data = []
+    for _ in range(60):
+        idx = np.unique(rng.integers(0, 40, 8)).astype(np.int32)
+        data.append((float(rng.integers(0, 2)), idx, rng.random(len(idx)).astype(np.float32)))
+    alpha, l1, l2 = 0.5, 0.02, 0.5
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((1 + math.sqrt(n[i])) / alpha + l2)
+
+    for e in range(3):
+        for j in np.random.default_rng(e).permutation(len(data)):
+            y, idx, val = data[j]
+            x = {**dict(zip(idx.tolist(), val.tolist(), strict=True)), "bias": 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            grads = {i: (2.0 if y else 1.0) * (p - y) * v for i, v in x.items()}
+            olds = {i: weight(i) for i in x}
+            for i, g in grads.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * olds[i]
+                n[i] += g * g
+    m = fitted(data, 40, 3, alpha, l1, l2, 2.0)
+    assert m.bias == pytest.approx(weight("bias"), abs=1e-5) and np.allclose(m.w, [weight(i) for i in range(40)], atol=1e-5)
+    y, idx, val = data[0]
+    assert m.probability(idx, val) == pytest.approx(1 / (1 + math.exp(-m.bias - sum(weight(i) * v for i, v in zip(idx.tolist(), val.tolist(), strict=True)))), abs=1e-5)
+
+
+def test_training_rows_are_bounded(spark, labels):
+    """A doc_id that occurs often is one row of training, and features stop at their bound."""
+    d = spark.createDataFrame([(i % 5, f"text {i} of many", None, None, None, None) for i in range(400)], SCHEMA)
+    picked = labels.where("doc_id < 5")
+    a = op1_quality.fit(d, picked)
+    b = op1_quality.fit(d.union(d), picked)
+    assert np.array_equal(a.w, b.w) and a.bias == b.bias
+    c = train(d, picked, "quality", op1_quality.WordNgrams, 1 << op1_quality.BITS, 100, max_features=1)
+    assert 0 < np.count_nonzero(c.w) < np.count_nonzero(a.w)
+
+
+def test_character_ngrams_are_of_code_points():
+    f = op4_rules.WordCharNgrams()
+    of = lambda t: set(f(t.encode())[0].tolist()) - set(op1_quality.WordNgrams()(t.encode())[0].tolist())
+    assert len(of("éééé")) == 1 and len(of("abc")) == 0 and len(of("abcde")) == 2
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -188,6 +257,28 @@ def test_decontamination(spark, docs, empty):
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(data)
 
 
+def test_block_of_items_takes_little_memory():
+    rng = random.Random(5)
+    items = [(str(i), " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)).encode()) for i in range(10_000)]  # 4 MB
+    tracemalloc.start()
+    w = op2_decontaminate.Windows(items)
+    now, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    size = sum(len(t) for _, t in items)
+    assert now < 7 * size and most < 30 * size
+    words = ["x", *items[5][1].decode().split()[7:25], "y"]
+    words = [x.encode() for x in words]
+    runs, found = w.hits(words, op2_decontaminate.word_hashes(words, op2_decontaminate.hash_cache()))
+    assert runs.tolist() == [[1, 19]] and found == {"5"}
+
+
+def test_stages_take_empty_tables(spark, empty, labels, bpe):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert op4_rules.clean(empty, op4_rules.fit(empty, labels)).columns == empty.columns
+    for out in (op4_rules.clean(empty, op4_rules.fit(empty, labels)), op2_decontaminate.decontaminate(empty, none), op5_secrets.redact(empty), op6_bpe.tokenized(empty, bpe[1])):
+        assert out.count() == 0
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -649,6 +740,25 @@ def test_factors_are_greedy_longest_matches():
 # ---------------------------------------------------------------- pipeline
 
 
+def test_pipeline_takes_empty_tables_repeated_rows_and_long_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    lab = pd.DataFrame({"doc_id": np.arange(60), "quality": np.ones(60, np.int32), "toxic": np.zeros(60, np.int32)})
+    item = pd.DataFrame({"item_id": [1], "text": ["nothing of this kind"]})
+    long = " ".join(f"w{rng.randrange(10**7)}" for _ in range(130_000))  # over a megabyte
+    texts = [prose(rng, 80) for _ in range(12)] + [long]
+    d = pd.DataFrame({"doc_id": [*range(13), 3, 3, 4], "text": [*texts, texts[3], texts[3], texts[5]], "lang": "en", "source": "s", "n_chars": 1}).astype({"doc_id": "int64"})
+    for name, docs in (("some", d), ("none", d.head(0))):
+        (tmp_path / name).mkdir()
+        docs.to_parquet(tmp_path / name / "documents.parquet")
+        lab.to_parquet(tmp_path / name / "labels.parquet")
+        (item if len(docs) else item.head(0)).to_parquet(tmp_path / name / "benchmark.parquet")
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).toPandas()
+        # the text of 5 came under the id 4 too, whose component it names then
+        assert sorted(out.text) == sorted(set(docs.text)) and set(out.doc_id) == set(docs.doc_id) - {5}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
