@@ -81,6 +81,57 @@ def indicators(p: Plan, feats: str) -> str:
     return p.add("indicators", " UNION ALL ".join(arms))
 
 
+#: Rules over an image's stroke components (components, aspect_min, aspect_max) and stroke colours (sat_mean, hue_std).
+STROKE_RULES = (
+    ("pen-lifts", "components >= 8", "least(0.7e0, 0.25e0 + components * 0.03e0)"),
+    ("style-shift", "components >= 6 AND aspect_max - aspect_min > 3.5e0", "0.4e0"),
+    ("dual-ink-patch", "sat_mean > 0.08e0 AND hue_std > 28e0", "least(0.75e0, 0.3e0 + hue_std / 80e0)"),
+)
+
+
+def stroke_indicators(p: Plan, facts: str) -> str:
+    """(image_id, kind, confidence): the rules that fire over facts of strokes; null facts fire none."""
+    arms = [f"SELECT image_id, '{k}' AS kind, {p.d.half_even(c, 3)} AS confidence FROM {facts} WHERE {t}" for k, t, c in STROKE_RULES]
+    return p.add("strokeind", " UNION ALL ".join(arms))
+
+
+def hues(p: Plan, src: str) -> str:
+    """(image_id, sat_mean, hue_std): mean saturation and plain (not circular) deviation of hue of ink in a pixel relation."""
+    from foliant.functions.pixel import luma
+    from foliant.operators import lens
+
+    gray = p.add("gray", f"SELECT image_id, y, x, {luma()} AS l FROM {src}")
+    ink, h = mask(p, gray), lens.with_hsv(p, src)
+    return p.add("hues", f"SELECT h.image_id AS image_id, avg(s) AS sat_mean, stddev_pop(h) AS hue_std FROM {h} h JOIN {ink} i ON h.image_id = i.image_id AND h.y = i.y AND h.x = i.x GROUP BY h.image_id")
+
+
+def tracing(p: Plan, facts: str) -> str:
+    """(image_id, kind, cv): tracing flags of facts (image_id, weight_mean, weight_std, components, interior).
+
+    ``interior`` is the mean change of ink's luminance by a slight blur.
+    """
+    cv = "weight_std / greatest(weight_mean, 1e-3)"
+    return p.add(
+        "tracing",
+        f"""SELECT image_id, 'unnatural-width-uniformity' AS kind, {p.d.half_even(cv, 3)} AS cv, false AS invented FROM {facts} WHERE weight_mean > 0 AND {cv} < 0.18e0 AND components >= 4
+        UNION ALL SELECT image_id, 'doubled-edge-candidate' AS kind, CAST(NULL AS DOUBLE) AS cv, false AS invented FROM {facts} WHERE interior > 0.06e0 AND weight_mean >= 2.2e0""",
+    )
+
+
+#: Names of operations.
+OPS = {
+    "": "analyze", "analyze": "analyze", "handwriting": "analyze", "handwrite": "analyze", "ink-hand": "analyze", "forgery-scan": "forgery-indicators", "compare": "compare", "side-by-side": "side-by-side",
+    "sidebyside": "side-by-side", "graph": "graph", "forgery-indicators": "forgery-indicators", "forgery": "forgery-indicators", "refuse": "refuse",
+}
+
+
+def op_of(name: str | None) -> str:
+    key = (name or "").strip().lower().replace("_", "-")
+    if key not in OPS:
+        raise ValueError(f"unknown handwriting op {name!r}; known: {', '.join(sorted(o for o in OPS if o))}")
+    return OPS[key]
+
+
 def edges(p: Plan, strokes: str, side: str = "side") -> str:
     """Sequence edges over strokes (image_id, seq, cx, cy, aspect, side): distance, and whether it stands out."""
     nxt = lambda c: f"lead({c}) OVER (PARTITION BY image_id ORDER BY seq) AS n{c}"

@@ -196,14 +196,17 @@ def _zero(rgb):
     return gray3(unsharp(clip(0.55 * g + 0.45 * band), 0.85, 1.0))
 
 
-def _tazel(rgb):
+def _tazel(rgb, inject=True):
     h, s, v = hsv(rgb)
     w = hue_weight(h, 170, 24)
     s, v = clip(s * (1 + 0.65 * w) + 0.10 * w), clip(v * (1 + 0.28 * w) + 0.06 * w)
     v = unsharp(clip(v + 0.16 * 4 * v * (1 - v)), 0.55, 0.8)
     low = blur(v, 11)
     v = clip(low * 0.88 + 0.06 + 1.55 * (v - low))
-    return clip(from_hsv(h, s, v) * (1 - 0.18 * w)[..., None] + np.array(paint("tazel")) * (v * 0.18 * w)[..., None])
+    plain = from_hsv(h, s, v)
+    if not inject:
+        return plain
+    return clip(plain * (1 - 0.18 * w)[..., None] + np.array(paint("tazel")) * (v * 0.18 * w)[..., None])
 
 
 def _vyrn(rgb, inject=True):
@@ -213,22 +216,24 @@ def _vyrn(rgb, inject=True):
     v = unsharp(v, 0.95, 0.9)
     low = blur(v, 10)
     v = clip(1.45 * (v - low) + 0.42 + 0.25 * v)
-    out = clip(from_hsv(h, s, v) * (1 - 0.22 * w)[..., None] + np.array(paint("vyrn")) * (v * 0.22 * w)[..., None])
-    if inject:
-        out[..., 1] = clip(out[..., 1] * (1 - 0.25 * cyan))
+    plain = from_hsv(h, s, v)
+    if not inject:
+        return plain
+    out = clip(plain * (1 - 0.22 * w)[..., None] + np.array(paint("vyrn")) * (v * 0.22 * w)[..., None])
+    out[..., 1] = clip(out[..., 1] * (1 - 0.25 * cyan))
     return out
 
 
 def _uv(rgb):
     l = luma(rgb)
     t, hp = normal(l), l - blur(l, 1.15)
-    glow = clip(1.18 * t**0.72) * (1 - 0.42 * (1 - t)) + 0.9 * hp
-    out = np.stack([0.70 * glow + 0.04, 0.62 * glow + 0.03, 1.18 * glow + 0.35 * hp], -1)
-    return clip(out * (1 - 0.35 * (t < 0.42))[..., None])
+    glow = clip(clip(1.18 * t**0.72) * (1 - 0.42 * (1 - t)) + 0.9 * hp)
+    bands = clip(np.stack([0.70 * glow + 0.04, 0.62 * glow + 0.03, 1.18 * glow + 0.35 * hp], -1))
+    return bands * (1 - 0.35 * (t < 0.42))[..., None]
 
 
 def _candle(rgb):
-    t = luma(rgb)
+    t = normal(luma(rgb))
     flame = np.linspace(1, 0.58, rgb.shape[1])[None]
     glow, ink = clip(t**0.82 * (0.78 + 0.28 * flame)), clip((0.44 - t) / 0.44)[..., None]
     lit = clip(rgb * np.array([0.42, 0.40, 0.22]) + glow[..., None] * np.array([1.16, 0.70, 0.26]) + np.array([0.05, 0.02, 0.0]))
@@ -259,7 +264,7 @@ def lens(rgb: np.ndarray, mode: str, inject: bool = True) -> np.ndarray:
     """One full-profile lens over [h, w, 3]; the base channels of composites are computed once."""
     rgb = finite(rgb)
     if mode in SIMPLE:
-        out = SIMPLE[mode](rgb) if mode != "vyrn" else _vyrn(rgb, inject)
+        out = SIMPLE[mode](rgb, inject) if mode in ("tazel", "vyrn") else SIMPLE[mode](rgb)  # these tint last
         return out if inject or mode == "zero" else gray3(luma(out))
     ch = {n: normal(luma(SIMPLE[n](rgb))) for n in ("zero", "tazel", "vyrn", "uv")}
     mix = lambda n: clip(sum(w * ch[k] for k, w in WEIGHTS[n].items()))
@@ -302,19 +307,28 @@ def ink_mask(rgb: np.ndarray) -> np.ndarray:
 
 
 def packed(px: DataFrame) -> DataFrame:
-    """Packed images of a pixel relation; a last row that is not full is left out."""
+    """Packed images of a pixel relation; a last row that is not full is filled up with its last pixel.
+
+    ``pixels`` tells how many pixels there were; unpacked() leaves out the others.
+    """
     rows = px.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"), (F.max("x") + 1).alias("width"))
-    rows = rows.withColumn("height", F.floor(F.size("p") / F.col("width")).cast("int"))
-    cut = F.slice("p", 1, (F.col("height") * F.col("width")).cast("int"))
-    return rows.select("image_id", "height", F.col("width").cast("int").alias("width"), cut.alias("c")).select(
-        "image_id", "height", "width", F.col("c.r").alias("r"), F.col("c.g").alias("g"), F.col("c.b").alias("b")
+    rows = rows.withColumn("height", F.ceil(F.size("p") / F.col("width")).cast("int"))
+    lack = (F.col("height") * F.col("width") - F.size("p")).cast("int")
+    full = F.concat("p", F.array_repeat(F.element_at("p", -1), lack))
+    return rows.select("image_id", "height", F.col("width").cast("int").alias("width"), full.alias("c"), F.size("p").alias("pixels")).select(
+        "image_id", "height", "width", F.col("c.r").alias("r"), F.col("c.g").alias("g"), F.col("c.b").alias("b"), "pixels"
     )
 
 
 def unpacked(images: DataFrame) -> DataFrame:
     """The pixel relation of packed images."""
-    e = images.select("image_id", "width", F.posexplode(F.arrays_zip("r", "g", "b")).alias("k", "p"))
-    return e.select("image_id", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).alias("x"), "p.r", "p.g", "p.b")
+    e = _counted(images).select("image_id", "width", "pixels", F.posexplode(F.arrays_zip("r", "g", "b")).alias("k", "p"))
+    return e.where("k < pixels").select("image_id", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).alias("x"), "p.r", "p.g", "p.b")
+
+
+def _counted(images: DataFrame) -> DataFrame:
+    """``images`` with their numbers of pixels; all that are there, if no column tells."""
+    return images if "pixels" in images.columns else images.withColumn("pixels", F.col("height") * F.col("width"))
 
 
 def _image(b: pa.RecordBatch, i: int) -> np.ndarray:
@@ -330,9 +344,9 @@ def per_image(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
             for i in range(b.num_rows):  # images may be large: one row a batch
                 out = kernel(_image(b, i))
                 bands = [pa.array([out[..., k].ravel()], pa.list_(pa.float64())) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([b.column("image_id").slice(i, 1), pa.array([out.shape[0]], pa.int32()), pa.array([out.shape[1]], pa.int32()), *bands], names=["image_id", "height", "width", "r", "g", "b"])
+                yield pa.RecordBatch.from_arrays([b.column("image_id").slice(i, 1), pa.array([out.shape[0]], pa.int32()), pa.array([out.shape[1]], pa.int32()), *bands, b.column("pixels").slice(i, 1)], names=["image_id", "height", "width", "r", "g", "b", "pixels"])
 
-    return images.select("image_id", "height", "width", "r", "g", "b").mapInArrow(run, PACKED)
+    return _counted(images).select("image_id", "height", "width", "r", "g", "b", "pixels").mapInArrow(run, PACKED + ", pixels int")
 
 
 def full_lens(images: DataFrame, mode: str, inject: bool = True) -> DataFrame:

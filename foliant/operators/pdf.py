@@ -13,7 +13,7 @@ LIVE_WITHIN, OBJECT_WITHIN, XREF_WITHIN = 8, 16, 32
 # The classes, in order of precedence.
 CLASSES = ("text_under_vector_overlay", "old_revision_survives", "object_deleted_bytes_remain", "text_converted_to_outlines", "text_rasterized_into_image", "sanitized_rewrite")
 OUTLINE_STEPS = 8
-OPS = {"locate": "locate", "unredact": "locate", "redact-locate": "locate", "lift": "lift", "lift-overlay": "lift", "recover": "recover", "refuse": "refuse", "": "locate"}
+OPS = {"locate": "locate", "unredact": "locate", "redact-locate": "locate", "lift": "lift", "lift-overlay": "lift", "recover": "recover", "leftover": "recover", "leftover-bytes": "recover", "refuse": "refuse", "": "locate"}
 
 
 def live(p: Plan, xref: str) -> str:
@@ -119,6 +119,123 @@ def op_of(name: str) -> str:
     return OPS[key]
 
 
+def previous(p: Plan, tables: str) -> str:
+    """(filename, rev, prev, prev_rev): the table that each table's /Prev means, of tables (filename, rev, place, startxref, prev).
+
+    The table at that place, else the nearest by place or startxref within XREF_WITHIN bytes, the earliest of equals;
+    null if there is none. A pointer to the startxref word itself is not followed.
+    """
+    spots = p.add("spots", f"SELECT filename, rev, place AS spot, 0 AS kind FROM {tables} UNION ALL SELECT filename, rev, startxref AS spot, 1 AS kind FROM {tables} WHERE startxref IS NOT NULL")
+    j = p.add(
+        "prevs",
+        f"""SELECT t.filename AS filename, t.rev AS rev, s.rev AS prev_rev, row_number() OVER (PARTITION BY t.filename, t.rev ORDER BY CASE WHEN s.kind = 0 AND s.spot = t.prev THEN 0 ELSE 1 END, abs(s.spot - t.prev), s.rev, s.kind) AS k
+        FROM {tables} t JOIN {spots} s ON t.filename = s.filename AND s.spot BETWEEN t.prev - {XREF_WITHIN} AND t.prev + {XREF_WITHIN}""",
+    )
+    return p.add("previous", f"SELECT t.filename AS filename, t.rev AS rev, t.prev AS prev, j.prev_rev AS prev_rev FROM {tables} t LEFT JOIN {j} j ON t.filename = j.filename AND t.rev = j.rev AND j.k = 1")
+
+
+def chain(p: Plan, prevs: str) -> str:
+    """(filename, rev, node, walked): a file's revisions in order, from previous(); the tip is the last one.
+
+    The chain of /Prev from the tip, reversed; all tables in their order if the chain misses some. A file's walk has as
+    many steps as it has tables at most, so a loop of pointers ends.
+    """
+    p.recursive = True
+    n = p.add("n", f"SELECT filename, max(rev) AS tip, count(*) AS tables FROM {prevs} GROUP BY filename")
+    walk = p.add("walk", "")
+    p.steps[-1] = (
+        walk,
+        f"""SELECT n.filename AS filename, n.tip AS rev, 0 AS step FROM {n} n
+        UNION ALL SELECT w.filename AS filename, v.prev_rev AS rev, w.step + 1 AS step FROM {walk} w JOIN {prevs} v ON w.filename = v.filename AND w.rev = v.rev JOIN {n} n ON w.filename = n.filename
+        WHERE v.prev_rev IS NOT NULL AND w.step + 1 < n.tables""",
+    )
+    first = p.add("seen", f"SELECT filename, rev, min(step) AS step FROM {walk} GROUP BY filename, rev")
+    met = p.add("met", f"SELECT filename, count(*) AS met FROM {first} GROUP BY filename")
+    return p.add(
+        "chain",
+        f"""SELECT v.filename AS filename, v.rev AS rev, CAST(row_number() OVER (PARTITION BY v.filename ORDER BY CASE WHEN m.met = n.tables THEN -f.step ELSE v.rev END) - 1 AS INT) AS node, m.met = n.tables AS walked
+        FROM {prevs} v JOIN {n} n ON v.filename = n.filename JOIN {met} m ON v.filename = m.filename LEFT JOIN {first} f ON v.filename = f.filename AND v.rev = f.rev""",
+    )
+
+
+def revision_edges(p: Plan, xref: str, objects: str) -> str:
+    """(filename, rev, id, change): what each revision does to each object that it lists.
+
+    added; replaced (moved by more than LIVE_WITHIN bytes, or another object stream or slot); kept; deleted, or
+    detached if an instance's bytes still stand at the former place.
+    """
+    one = p.add("one", f"SELECT *, row_number() OVER (PARTITION BY filename, rev, id ORDER BY CASE WHEN flag = 'n' THEN 0 ELSE 1 END, place DESC) AS k FROM {xref}")
+    lag = lambda c: f"lag({c}) OVER (PARTITION BY filename, id ORDER BY rev) AS was_{c}"
+    s = p.add("steps", f"SELECT *, {lag('flag')}, {lag('place')}, {lag('objstm')}, {lag('slot')} FROM {one} WHERE k = 1")
+    gone = p.add("gone", f"SELECT DISTINCT s.filename AS filename, s.rev AS rev, s.id AS id FROM {s} s JOIN {objects} o ON s.filename = o.filename AND s.id = o.id AND abs(o.place - s.was_place) <= {LIVE_WITHIN} WHERE s.flag = 'f' AND s.was_flag = 'n'")
+    moved = f"abs(s.place - s.was_place) > {LIVE_WITHIN} OR coalesce(s.objstm, -1) <> coalesce(s.was_objstm, -1) OR coalesce(s.slot, -1) <> coalesce(s.was_slot, -1)"
+    return p.add(
+        "edges",
+        f"""SELECT s.filename AS filename, s.rev AS rev, s.id AS id, CASE WHEN s.flag = 'n' AND coalesce(s.was_flag, 'f') = 'f' THEN 'added' WHEN s.flag = 'n' AND ({moved}) THEN 'replaced' WHEN s.flag = 'n' THEN 'kept'
+        WHEN s.was_flag = 'n' AND g.id IS NOT NULL THEN 'detached' WHEN s.was_flag = 'n' THEN 'deleted' ELSE 'free' END AS change
+        FROM {s} s LEFT JOIN {gone} g ON s.filename = g.filename AND s.rev = g.rev AND s.id = g.id""",
+    )
+
+
+#: The keys of a page whose references a revision may change.
+PAGE_KEYS = ("Contents", "Resources", "Annots", "XObject", "Parent")
+
+
+def page_keys(p: Plan, refs: str) -> str:
+    """(filename, page, key, refs): the references of a page's keys, in order, of refs (filename, page, key, seq, id, gen)."""
+    keys = ", ".join(f"'{k}'" for k in PAGE_KEYS)
+    one = p.add("refs", f"SELECT filename, page, key, seq, concat(CAST(id AS VARCHAR(20)), ' ', CAST(gen AS VARCHAR(20))) AS ref FROM {refs} WHERE key IN ({keys})")
+    return p.add("keys", f"SELECT filename, page, key, {p.d.text_agg('ref', 'seq', ', ')} AS refs FROM {one} GROUP BY filename, page, key")
+
+
+def change_kind(p: Plan, facts: str) -> str:
+    """kind of changes (.., has_old, has_new, old_stream, new_stream, remain, under, old_text, new_overlays, equal)."""
+    stays = "CASE WHEN remain THEN 'replaced' ELSE 'sanitized_rewrite' END"
+    return p.add(
+        "kinds",
+        f"""SELECT *, CASE WHEN has_old AND NOT has_new THEN CASE WHEN remain THEN 'detached' ELSE 'sanitized_rewrite' END WHEN has_new AND NOT has_old THEN 'replaced' WHEN NOT has_old THEN 'sanitized_rewrite'
+        WHEN NOT old_stream AND NOT new_stream AND equal THEN 'replaced' WHEN old_stream AND new_stream AND under THEN 'overlaid' ELSE {stays} END AS kind FROM {facts}""",
+    )
+
+
+def xref_revision(p: Plan, objects: str, xref: str) -> str:
+    """(filename, id, place, xref_rev): the last revision whose table lists an instance; null if none does."""
+    m = p.add("listed", f"SELECT o.filename AS filename, o.id AS id, o.place AS place, max(x.rev) AS xref_rev FROM {objects} o JOIN {xref} x ON o.filename = x.filename AND o.id = x.id AND x.flag = 'n' AND ((o.parent IS NULL AND x.objstm IS NULL AND abs(o.place - x.place) <= {LIVE_WITHIN}) OR o.parent = x.objstm) GROUP BY o.filename, o.id, o.place")
+    return p.add("xrev", f"SELECT DISTINCT o.filename AS filename, o.id AS id, o.place AS place, m.xref_rev AS xref_rev FROM {objects} o LEFT JOIN {m} m ON o.filename = m.filename AND o.id = m.id AND o.place = m.place")
+
+
+def stream_compare(p: Plan, streams: str, parts: str) -> str:
+    """(id, bytes_differ, bytes_old, bytes_new, sha256_old, sha256_new, and what only one side has, in order and comma-joined).
+
+    ``streams`` (id, side, bytes, sha256) and ``parts`` (id, side, kind, value), side old or new, kind string, glyph or xobject.
+    """
+    one = p.add("sides", f"SELECT id, max(CASE WHEN side = 'old' THEN bytes END) AS bytes_old, max(CASE WHEN side = 'new' THEN bytes END) AS bytes_new, max(CASE WHEN side = 'old' THEN sha256 END) AS sha256_old, max(CASE WHEN side = 'new' THEN sha256 END) AS sha256_new FROM {streams} GROUP BY id")
+    lone = p.add("lone", f"SELECT id, kind, value, min(side) AS side FROM {parts} GROUP BY id, kind, value HAVING min(side) = max(side)")
+    only = lambda k, s: f"SELECT id, {p.d.text_agg('value', 'value')} AS v FROM {lone} WHERE kind = '{k}' AND side = '{s}' GROUP BY id"
+    found = {f"{k}s_only_in_{s}": p.add("only", only(k, s)) for k, s in (("string", "old"), ("string", "new"), ("glyph", "old"), ("xobject", "old"))}
+    joins = " ".join(f"LEFT JOIN {t} ON s.id = {t}.id" for t in found.values())
+    return p.add("streams", f"SELECT s.id AS id, sha256_old <> sha256_new AS bytes_differ, bytes_old, bytes_new, sha256_old, sha256_new, {', '.join(f'{t}.v AS {c}' for c, t in found.items())}, false AS invented FROM {one} s {joins}")
+
+
+def image_compare(p: Plan, versions: str) -> str:
+    """(id, aligned, same_bytes, raster_in_old): first against last version of image objects (id, pos, width, height, sha256)."""
+    w = p.add("v", f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS a, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS z FROM {versions}")
+    same = "o.sha256 IS NOT NULL AND n.sha256 IS NOT NULL AND o.sha256 = n.sha256"
+    return p.add("images", f"SELECT o.id AS id, o.width = n.width AND o.height = n.height AS aligned, {same} AS same_bytes, o.sha256 IS NOT NULL AND NOT ({same}) AS raster_in_old, false AS invented FROM {w} o JOIN {w} n ON o.id = n.id WHERE o.a = 1 AND n.z = 1")
+
+
+def page_boxes(p: Plan, objects: str) -> str:
+    """(id, k, x0, y0, x1, y1): the MediaBox of each page object, of bodies (id, t)."""
+    from foliant.operators.text import matches
+
+    number = r"-?[0-9]+(?:[.][0-9]+)?"
+    pages = p.add("pages", f"SELECT id, t FROM {objects} WHERE {p.d.like('t', '/Type */Page[^a-zA-Z]')}")
+    m = matches(p, pages, rf"/MediaBox *[\[] *({number} +{number} +{number} +{number}) *[\]]", 1)
+    parts = p.add("nums", f"SELECT id, k, {p.d.all('part', number)} AS v FROM {m}")
+    at = ", ".join(f"CAST({p.d.at('v', str(i))} AS DOUBLE) AS {c}" for i, c in enumerate(("x0", "y0", "x1", "y1"), 1))
+    return p.add("boxes", f"SELECT id, k, {at} FROM {parts}")
+
+
 def twins(p: Plan, a: str, b: str) -> str:
     """(side, value): strings (t) that only one of two documents has, and identifiers that both have."""
     d = p.d

@@ -128,6 +128,21 @@ def correlate(p: Plan, files: str) -> str:
     return p.add("correlated", f"SELECT production, a, b, {reasons} AS reasons, false AS invented FROM {j} WHERE k1 OR k2 OR k3 OR k4")
 
 
+#: Kinds of hits that hide or delete text.
+HIDING = ("tracked-deletion", "ooxml-hidden-or-deleted", "hidden-css", "rtf-hidden", "json-tombstone")
+
+
+def regions(p: Plan, classes: str, hits: str) -> str:
+    """(place, covering_kind, prior_revisions, recovery_route, preview): redacted regions by page classes (page, class, leftover)
+    and by hits (path, kind, state, preview) of kinds that hide text."""
+    kinds = ", ".join(f"'{k}'" for k in HIDING)
+    return p.add(
+        "regions",
+        f"""SELECT CAST(page AS VARCHAR(40)) AS place, class AS covering_kind, leftover AS prior_revisions, CASE WHEN leftover THEN 'old-revision' END AS recovery_route, CAST(NULL AS VARCHAR(40)) AS preview, false AS invented FROM {classes}
+        UNION ALL SELECT path AS place, kind AS covering_kind, state = 'present_prior_revision' AS prior_revisions, kind AS recovery_route, preview, false AS invented FROM {hits} WHERE kind IN ({kinds})""",
+    )
+
+
 def provenance(p: Plan, items: str, cap: int = 200) -> str:
     """Ledger rows of items (file, seq, path, state, raw): digests and the confidence of each state, at most ``cap`` a file."""
     d = p.d

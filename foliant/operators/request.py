@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.constants import ALIASES, INJECT_OFF, INJECT_ON, MODES, PAGE_TARGETS, STUBS, paint
+from foliant.constants import ALIASES, INJECT_OFF, INJECT_ON, MODES, PAGE_TARGETS, PAPERS, STUBS, paint
 from foliant.plans.sql import Plan, as_frame
 
 
@@ -33,6 +33,20 @@ def inject_of(x: str, default: bool = True) -> str:
     return f"CASE WHEN {_in(key, INJECT_OFF)} THEN false WHEN {_in(key, INJECT_ON)} THEN true ELSE {'true' if default else 'false'} END"
 
 
+def inject_resolved(inject: str, tint: str) -> str:
+    """The switch of a request: inject if it is given, else the older name tint, else on."""
+    return f"coalesce({inject}, {tint}, true)"
+
+
+def catalogue(p: Plan) -> str:
+    """(kind, name, seq, paper, alias_of): modes with their papers, targets, and the other names of modes."""
+    rows = [("mode", m, i, PAPERS[m], None) for i, m in enumerate(MODES)] + [("target", t, i, None, None) for i, t in enumerate(("page", "ink"))]
+    rows += [("alias", a, i, PAPERS[m], m) for i, (a, m) in enumerate(ALIASES.items())]
+    lit = lambda v: "CAST(NULL AS VARCHAR(40))" if v is None else f"'{v}'"
+    values = " UNION ALL ".join(f"SELECT {lit(k)} AS kind, {lit(n)} AS name, {i} AS seq, {lit(paper)} AS paper, {lit(a)} AS alias_of" for k, n, i, paper, a in rows)
+    return p.add("catalogue", values)
+
+
 def lenses(p: Plan, src: str) -> str:
     """(id, lenses, lens_id, inject_applied, unknown) of requests (id, text, inject): names parted by + or commas, each once, in order.
 

@@ -178,4 +178,57 @@ def needles(p: Plan, src: str, words: tuple[tuple[str, str], ...]) -> str:
     return p.add("needles", f"SELECT id, kind, pos, min(rule) AS rule FROM {u} GROUP BY id, kind, pos")
 
 
+#: What producers leave in files, and the kind of each.
+PRODUCERS = (
+    ("Acrobat", "acrobat"), ("Distiller", "acrobat-distiller"), ("PDFMaker", "acrobat-pdfmaker"), ("Microsoft Word", "microsoft-word"), ("Word for", "microsoft-word"), ("Mac OS X", "macos-quartz"),
+    ("Tesseract", "tesseract-ocr"), ("ABBYY", "abbyy"), ("OmniPage", "omnipage"), ("ScanSnap", "scanner"), ("HP Scan", "scanner"), ("Canon", "scanner"), ("iText", "itext"), ("ReportLab", "reportlab"),
+    ("/OCG", "ocg-layer"), ("/OCProperties", "ocg-properties"), ("/StructTreeRoot", "structure-tree"), ("/MarkInfo", "markinfo"), ("/PieceInfo", "pieceinfo"), (".tmp", "temp-filename"), (".TMP", "temp-filename"),
+    ("~$", "temp-filename"), ("/LastModified", "revision-id"),
+)
+PRODUCERS_LISTED = 64
+
+
+def producers(p: Plan, src: str) -> str:
+    """(id, kind, pos, rule, listed): every trace of a producer; ``listed`` marks the first PRODUCERS_LISTED of a text."""
+    n = needles(p, src, PRODUCERS)
+    return p.add("producers", f"SELECT id, kind, pos, rule, row_number() OVER (PARTITION BY id ORDER BY rule, pos) <= {PRODUCERS_LISTED} AS listed, false AS invented FROM {n}")
+
+
+#: The keys of a document's information dictionary; a literal string; a name of an attachment.
+INFO = r"/(Title|Author|Subject|Keywords|Creator|Producer|CreationDate|ModDate)\s*(?:\([^\\)]*(?:\\.[^\\)]*)*\)|<[^>]*>)"
+ATTACHED, ATTACHED_NAME = "/EmbeddedFile|/Filespec|/EF", r"/(?:F|UF|Desc)\s*\(([^\\)]*(?:\\.[^\\)]*)*)\)"
+
+
+def _unescaped(d, x: str) -> str:
+    """A literal string without the backslashes before its brackets and before themselves."""
+    for a, b in (("\\(", "("), ("\\)", ")"), ("\\\\", "\\")):
+        x = f"replace({x}, {d.lit(a)}, {d.lit(b)})"
+    return x
+
+
+def info(p: Plan, src: str) -> str:
+    """(id, key, value, encoding, pos): entries of information dictionaries in texts (id, t); hex strings as they stand."""
+    d = p.d
+    m = matches(p, src, INFO, 1)
+    v = p.add("token", f"SELECT id, part AS key, pos, {d.sub('hit', '^/[A-Za-z]+[ ]*', '')} AS token FROM {m}")
+    inner = "substr(token, 2, length(token) - 2)"
+    return p.add("info", f"SELECT id, key, CASE WHEN token LIKE '(%' THEN {_unescaped(d, inner)} ELSE {inner} END AS value, CASE WHEN token LIKE '(%' THEN 'literal' ELSE 'hex' END AS encoding, pos, false AS invented FROM {v} WHERE length(token) > 2")
+
+
+def attachments(p: Plan, objects: str) -> str:
+    """(id, names, has_stream): objects (id, t, has_stream) that attach files, with the names that they give, in order."""
+    d = p.d
+    own = p.add("own", f"SELECT id, t, has_stream FROM {objects} WHERE {d.like('t', ATTACHED)}")
+    m = matches(p, own, ATTACHED_NAME, 1)
+    names = p.add("names", f"SELECT id, {d.text_agg(_unescaped(d, 'part'), 'k')} AS names FROM {m} WHERE part <> '' GROUP BY id")
+    return p.add("attached", f"SELECT o.id AS id, n.names AS names, o.has_stream AS has_stream, 'attachment' AS recovered_from, false AS invented FROM {own} o LEFT JOIN {names} n ON o.id = n.id")
+
+
+def merged(p: Plan, *findings: tuple[str, str, str]) -> str:
+    """(id, source, seq, value): findings (table, source, value expression) of a container, in the order given, each value once."""
+    arms = " UNION ALL ".join(f"SELECT id, '{source}' AS source, {i} AS seq, {value} AS value FROM {t}" for i, (t, source, value) in enumerate(findings))
+    u = p.add("found", f"SELECT *, row_number() OVER (PARTITION BY id, value ORDER BY seq) AS k FROM ({arms}) q WHERE value IS NOT NULL")
+    return p.add("merged", f"SELECT id, source, seq, value FROM {u} WHERE k = 1")
+
+
 secret_hits, identifier_hits, markup_hits, plain_hits, yaml_hits, rtf_hits, citations = map(as_frame, (secrets, identifiers, markup, plain, yaml, rtf, cite))

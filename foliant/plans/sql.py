@@ -8,6 +8,7 @@ results are cross-checked. What the two dialects spell differently lives in the
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 from collections.abc import Callable
 
@@ -206,9 +207,16 @@ class Plan:
 
     def text(self, result: str, columns: str = "*", inputs: tuple[tuple[str, str], ...] = ()) -> str:
         steps = [*inputs, *self.steps]
-        chain = ",\n".join(f"{n} AS ({s})" for n, s in steps)
+        chain = ",\n".join(f"{n} AS {self._once(n)}({s})" for n, s in steps)
         return f"WITH {'RECURSIVE ' if self.recursive else ''}{chain}\nSELECT {columns} FROM {result}" if steps else f"SELECT {columns} FROM {result}"
 
+    def _once(self, name: str) -> str:
+        """DuckDB plans a step anew for each step that reads it; one that several read is computed once."""
+        if self.d.name == "spark" or self.recursive:
+            return ""
+        readers = sum(len(re.findall(rf"\b{re.escape(name)}\b", s)) for _, s in self.steps)
+        return "MATERIALIZED " if readers > 1 else ""
+
     def frame(self, spark: SparkSession, result: str, columns: str = "*", **tables: DataFrame) -> DataFrame:
         """The result over DataFrames that the steps name. The session's own views stay as they are."""
         views = {name: f"foliant_{uuid.uuid4().hex}" for name in tables}

@@ -230,6 +230,26 @@ def stroke_edges(p: Plan):
     return ink.edges(p, s), "*"
 
 
+@query("orders")
+def stroke_indicators(p: Plan):
+    """Rules over strokes: pen lifts, style shifts, two inks."""
+    f = p.add("facts", "SELECT o_custkey AS image_id, count(*) AS components, min(o_orderkey % 9) / 2e0 AS aspect_min, max(o_orderkey % 9) / 1e0 AS aspect_max, avg(o_totalprice) / 2000000e0 AS sat_mean, stddev_pop(o_orderkey % 101) AS hue_std FROM orders GROUP BY o_custkey")
+    return ink.stroke_indicators(p, f), "*"
+
+
+@query("lineitem")
+def ink_hues(p: Plan):
+    """Saturation and hue of ink."""
+    return ink.hues(p, lens.clean(p, carriers.paper(p))), f"image_id, {R6('sat_mean', 'hue_std')}"
+
+
+@query("orders")
+def tracing_flags(p: Plan):
+    """Signs of tracing."""
+    f = p.add("facts", "SELECT o_custkey AS image_id, avg(o_orderkey % 7) AS weight_mean, stddev_pop(o_orderkey % 7) / 4e0 AS weight_std, count(*) AS components, avg(o_totalprice) / 2000000e0 AS interior FROM orders GROUP BY o_custkey")
+    return ink.tracing(p, f), "*"
+
+
 @query("lineitem")
 def helper_modes(p: Plan):
     """How much the helper lenses move the luminance, inject off."""
@@ -309,6 +329,52 @@ def producer_needles(p: Plan):
     return text.needles(p, artifacts(p), words), "*"
 
 
+def containers(p: Plan) -> str:
+    """Documents (id, t, has_stream) as bodies of objects with an information dictionary, attachments and page boxes."""
+    plain = p.d.sub("text", r"[()\\<>/]", " ")
+    parts = (
+        r"'<< /Title (about \(' || doc_id || '\)) /Author <48656C6C6F> /Producer(' || source || ')'", f"' /Subject (' || {plain} || ') >>'",
+        "CASE WHEN doc_id % 3 = 0 THEN ' << /Type /Filespec /F (a' || doc_id || '.txt) /UF (b.txt) /Desc () >>' ELSE '' END",
+        "CASE WHEN doc_id % 2 = 0 THEN ' << /Type /Page /MediaBox [0 0 612 ' || doc_id || '.5] >> << /Type /Pages >>' ELSE ' /MediaBox [0 0 1 1]' END",
+        "CASE doc_id % 5 WHEN 0 THEN ' Acrobat Distiller 4 /OCG ~$x.tmp Word for Microsoft Word' WHEN 1 THEN ' iText' ELSE '' END",
+    )
+    if p.d.name == "spark":
+        parts = tuple(x.replace("\\", "\\\\") if "about" in x else x for x in parts)
+    return p.add("body", f"SELECT doc_id AS id, {' || '.join(parts)} AS t, doc_id % 4 = 0 AS has_stream FROM documents")
+
+
+@query("documents")
+def producer_artifacts(p: Plan):
+    """Traces of producers."""
+    return text.producers(p, containers(p)), "*"
+
+
+@query("documents")
+def info_hits(p: Plan):
+    """Entries of information dictionaries."""
+    return text.info(p, containers(p)), "*"
+
+
+@query("documents")
+def attachment_hits(p: Plan):
+    """Objects that attach files, and the names that they give."""
+    return text.attachments(p, containers(p)), "*"
+
+
+@query("documents")
+def container_findings(p: Plan):
+    """Findings of a container in one relation, each value once."""
+    c = containers(p)
+    i, a, n = text.info(p, c), text.attachments(p, c), text.producers(p, c)
+    return text.merged(p, (i, "info", "value"), (a, "attachment", "names"), (n, "producer", "kind")), "*"
+
+
+@query("documents")
+def page_boxes(p: Plan):
+    """Page geometry."""
+    return pdf.page_boxes(p, containers(p)), "*"
+
+
 @query("pages", "documents")
 def markup_hits(p: Plan):
     """V15, over web pages and the literals."""
@@ -483,6 +549,70 @@ def revision_counts(p: Plan):
     return pdf.cumulative(p, xref_carrier(p)), "*"
 
 
+def objects_carrier(p: Plan) -> str:
+    return p.add("obj", "SELECT concat('f', CAST(o_custkey % 50 AS VARCHAR(20))) AS filename, CAST(o_custkey AS INT) AS id, o_orderkey * 40 + o_orderkey % 12 AS place, CASE WHEN o_orderkey % 17 = 0 THEN 5 WHEN o_orderkey % 19 = 0 THEN 6 END AS parent FROM orders")
+
+
+def tables_carrier(p: Plan) -> str:
+    """Cross-reference tables of a customer's file: pointers that meet, that miss a little, and that miss."""
+    t = p.add("t", "SELECT concat('f', CAST(o_custkey AS VARCHAR(20))) AS filename, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rev, o_orderkey AS k, o_orderkey * 400 AS place FROM orders")
+    l = "lag(place) OVER (PARTITION BY filename ORDER BY rev)"
+    return p.add("tables", f"SELECT filename, CAST(rev AS INT) AS rev, place, CASE WHEN k % 5 = 0 THEN place + 60 END AS startxref, {l} + CASE WHEN k % 3 = 0 THEN 20 WHEN k % 23 = 0 THEN 100 WHEN k % 7 = 0 THEN -32 ELSE 0 END AS prev FROM {t}")
+
+
+@query("orders")
+def previous_tables(p: Plan):
+    """The table that each /Prev means."""
+    return pdf.previous(p, tables_carrier(p)), "*"
+
+
+@query("orders")
+def revision_chain(p: Plan):
+    """The chain of revisions from the tip, or all tables if it misses some."""
+    return pdf.chain(p, pdf.previous(p, tables_carrier(p))), "*"
+
+
+@query("orders")
+def revision_edges(p: Plan):
+    """What each revision does to each object."""
+    return pdf.revision_edges(p, xref_carrier(p), objects_carrier(p)), "*"
+
+
+@query("orders")
+def xref_revisions(p: Plan):
+    """The last revision that lists an instance."""
+    return pdf.xref_revision(p, objects_carrier(p), xref_carrier(p)), "*"
+
+
+@query("lineitem")
+def page_keys(p: Plan):
+    """References of a page's keys."""
+    r = p.add("src", "SELECT concat('f', CAST(l_suppkey AS VARCHAR(20))) AS filename, l_orderkey AS page, CASE l_linenumber % 4 WHEN 0 THEN 'Contents' WHEN 1 THEN 'Annots' WHEN 2 THEN 'Resources' ELSE 'Thumb' END AS key, l_linenumber * 1000000 + l_partkey AS seq, l_partkey AS id, 0 AS gen FROM lineitem")
+    return pdf.page_keys(p, r), "*"
+
+
+@query("events")
+def change_kinds(p: Plan):
+    """Kind of change of an object between revisions, over combinations of facts."""
+    bit = lambda n: f"floor(event_id / {n}) % 2 = 1"
+    names = ("has_old", "has_new", "old_stream", "new_stream", "remain", "under", "old_text", "new_overlays", "equal")
+    return pdf.change_kind(p, p.add("facts", f"SELECT event_id, {', '.join(f'{bit(2**i)} AS {n}' for i, n in enumerate(names))} FROM events")), "*"
+
+
+@query("lineitem")
+def stream_compare(p: Plan):
+    """Old against new stream of an object."""
+    s = p.add("s", "SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 1 THEN 'old' ELSE 'new' END AS side, count(*) AS bytes, min(l_returnflag) AS sha256 FROM lineitem GROUP BY 1, 2")
+    q = p.add("q", "SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 1 THEN 'old' ELSE 'new' END AS side, CASE l_suppkey % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'glyph' ELSE 'xobject' END AS kind, concat(l_returnflag, CAST(l_linenumber % 3 AS VARCHAR(20))) AS value FROM lineitem")
+    return pdf.stream_compare(p, s, q), "*"
+
+
+@query("orders")
+def image_compare(p: Plan):
+    """First against last version of image objects."""
+    return pdf.image_compare(p, p.add("v", "SELECT o_custkey AS id, o_orderkey AS pos, o_orderkey % 2 AS width, o_orderkey % 3 AS height, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS sha256 FROM orders")), "*"
+
+
 @query("part")
 def page_reach(p: Plan):
     """What a root reaches, cycles included, with the least depth."""
@@ -678,6 +808,7 @@ def artifact_parts(spark, sf_dir: str):
 @kernel
 def streaming_counters(spark, sf_dir: str):
     """C03-C05 as a stream: events read as they arrive, exact totals by key."""
+    import tempfile
     import uuid
 
     from foliant.streaming import counters as stream
@@ -685,12 +816,16 @@ def streaming_counters(spark, sf_dir: str):
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     events = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
     requests = events.selectExpr("event_type AS kind", "concat('project|', user_id % 7) AS key", "CASE WHEN event_id % 3 = 0 THEN 'curl/8' ELSE 'Mozilla/5.0' END AS ua", "CAST(user_id % 100 AS DOUBLE) AS score", "CAST(NULL AS BOOLEAN) AS verified")
-    name = f"totals_{uuid.uuid4().hex}"
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp").rstrip("/") + f"/stream-{name}"
-    started = stream.start(requests, name, where)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="foliant-")
+    where = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    started = stream.start(requests, f"{where}/totals", f"{where}/state")
     started.processAllAvailable()
     started.stop()
-    return spark.table(name)
+    return stream.latest(spark, f"{where}/totals")
 
 
 # ---------------------------------------------------------------- requests in text
@@ -714,6 +849,28 @@ def normalize_lenses(p: Plan):
     return request.lenses(p, p.add("req", f"SELECT event_id AS id, CASE event_id % 7 {arms} END AS text, event_id % 2 = 0 AS inject FROM events")), "*"
 
 
+@query("events")
+def resolve_inject(p: Plan):
+    """Inject, else tint, else on."""
+    three = lambda n: f"CASE event_id % {n} WHEN 0 THEN true WHEN 1 THEN false END"
+    r = p.add("req", f"SELECT event_id, {three(3)} AS inject, {three(5)} AS tint FROM events")
+    return p.add("resolved", f"SELECT event_id, inject, tint, {request.inject_resolved('inject', 'tint')} AS resolved FROM {r}"), "*"
+
+
+@query("region")
+def catalogue(p: Plan):
+    """Modes, targets and aliases."""
+    return request.catalogue(p), "*"
+
+
+@query("events")
+def redaction_regions(p: Plan):
+    """Regions by page classes and by hits that hide text."""
+    c = p.add("classes", "SELECT event_id AS page, CASE WHEN event_id % 3 = 0 THEN 'old_revision_survives' ELSE 'text_under_vector_overlay' END AS class, event_id % 3 = 0 AS leftover FROM events")
+    h = p.add("hits", "SELECT concat('p', CAST(event_id AS VARCHAR(20))) AS path, CASE event_id % 4 WHEN 0 THEN 'rtf-hidden' WHEN 1 THEN 'hidden-css' WHEN 2 THEN 'json-tombstone' ELSE 'plain' END AS kind, CASE WHEN event_id % 5 = 0 THEN 'present_current' ELSE 'present_prior_revision' END AS state, event_type AS preview FROM events")
+    return recover.regions(p, c, h), "*"
+
+
 @query("lineitem")
 def resize_nearest(p: Plan):
     """Nearest-neighbour reduction to 12 pixels."""

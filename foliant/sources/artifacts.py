@@ -7,6 +7,7 @@ parts, never a job.
 
 from __future__ import annotations
 
+import base64
 import email
 import email.policy
 import gzip
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.recover import EML, FORMATS, HTML, SOURCE
-from foliant.operators.text import FLAG_NAME, PEM_BLOCK, PREVIEW, SECRET_VALUE, TOMBSTONES
+from foliant.operators.text import FLAG_NAME, PEM_BLOCK, PREVIEW, SECRET_KEY, SECRET_VALUE, TOMBSTONES
 from foliant.sources import png
 
 NEST, ENTRIES, MEMBER_BYTES = 4, 256, 8_000_000
@@ -280,8 +281,14 @@ def ole_hits(data: bytes, name: str) -> Iterator[Hit]:
         yield "ole-text", name, shown(m[0].decode("ascii")), 512 + m.start(), "present_current"
 
 
+SECRET, BASE64 = re.compile(SECRET_KEY), re.compile(r"[A-Za-z0-9+/=]+")
+
+
 def json_hits(data: bytes, name: str) -> Iterator[Hit]:
-    """Tombstone keys by JSON pointer, and keys that an object has twice."""
+    """Tombstone keys, keys of secrets and embedded base64 by JSON pointer, and keys that an object has twice.
+
+    What is no JSON is searched for tombstone words and for secrets as text.
+    """
     twice: list[str] = []
 
     def pairs(items):
@@ -292,7 +299,13 @@ def json_hits(data: bytes, name: str) -> Iterator[Hit]:
     try:
         doc = json.loads(data.decode("utf-8"), object_pairs_hook=pairs)
     except (ValueError, RecursionError):
-        yield "json-corrupt", name, shown(data[:400].decode("utf-8", "replace")), 0, "present_current"
+        text = data.decode("utf-8", "replace")
+        yield "json-corrupt", name, shown(text[:400]), 0, "present_current"
+        for t in TOMBSTONES:
+            if t in text:
+                yield "json-tombstone-text", name, t, text.index(t), "present_prior_revision"
+        if m := SECRET.search(text):
+            yield "json-secret", name, "[suppressed]", m.start(), "present_current"
         return
     for k in twice:
         yield "json-duplicate-key", f"{name}#{k}", k, None, "present_prior_revision"
@@ -304,12 +317,28 @@ def json_hits(data: bytes, name: str) -> Iterator[Hit]:
                 here = path + "/" + k.replace("~", "~0").replace("/", "~1")
                 if any(t in k for t in TOMBSTONES):
                     yield "json-tombstone", f"{name}#{here}", shown(json.dumps(v)), None, "present_prior_revision"
+                if SECRET.search(k):
+                    yield "json-secret", f"{name}#{here}", "[suppressed]", None, "present_current"
+                if isinstance(v, str) and len(v) >= 16 and len(v) % 4 == 0 and BASE64.fullmatch(v):
+                    try:
+                        raw = base64.b64decode(v, validate=True)
+                    except ValueError:
+                        raw = b""
+                    if raw[:1] in (b"{", b"<", b"%") or raw[:2] == b"PK":
+                        yield "json-base64", f"{name}#{here}", shown(raw[:80].decode("latin-1")), None, "present_embedded"
                 stack.append((here, v))
         elif isinstance(node, list):
             stack += [(f"{path}/{i}", v) for i, v in enumerate(node)]
 
 
-SCANS = {"zip": zip_hits, "tar": tar_hits, "gz": gz_hits, "png": image_hits, "jpeg": image_hits, "eml": mail_hits, "mbox": mail_hits, "sqlite": sqlite_hits, "json": json_hits, **dict.fromkeys(("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub"), zip_hits), **dict.fromkeys(("doc", "xls", "ppt", "msg"), ole_hits)}
+def jsonl_hits(data: bytes, name: str) -> Iterator[Hit]:
+    """What json_hits finds in each line that is not blank; all lines, with the line's number in the path."""
+    for i, line in enumerate(data.decode("utf-8", "replace").splitlines()):
+        if line.strip():
+            yield from json_hits(line.encode(), f"{name}#{i}")
+
+
+SCANS = {"jsonl": jsonl_hits, "zip": zip_hits, "tar": tar_hits, "gz": gz_hits, "png": image_hits, "jpeg": image_hits, "eml": mail_hits, "mbox": mail_hits, "sqlite": sqlite_hits, "json": json_hits, **dict.fromkeys(("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub"), zip_hits), **dict.fromkeys(("doc", "xls", "ppt", "msg"), ole_hits)}
 
 
 def hits(data: bytes, name: str, depth: int = 0) -> Iterator[Hit]:

@@ -6,7 +6,7 @@ totals, so a lost executor neither loses nor doubles an increment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,6 +27,45 @@ def running(requests: DataFrame) -> DataFrame:
     return bucketed(requests).groupBy("key", "kind").agg(F.count("*").alias("total"), F.count(F.when(F.col("bucket") == "human", 1)).alias("human"), F.count(F.when(F.col("bucket") == "bot", 1)).alias("bot"))
 
 
-def start(requests: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep the totals of a stream of requests in an in-memory table of that name, each batch's totals complete."""
-    return running(requests).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).start()
+def merged(totals: DataFrame, folder: str, batch: int, before: int | None) -> None:
+    """Write the totals of all keys after a batch: those of ``totals``, and the older ones of keys that it lacks.
+
+    ``folder``/<batch> holds the totals after that batch; a batch that is run again writes the same rows again.
+    """
+    spark = totals.sparkSession
+    if before is not None:
+        old = spark.read.parquet(f"{folder}/{before}")
+        totals = totals.unionByName(old.join(totals.select("key", "kind"), ["key", "kind"], "left_anti"))
+    totals.write.mode("overwrite").parquet(f"{folder}/{batch}")
+
+
+def start(requests: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep the totals of a stream of requests as tables below a shared folder, one a batch, written by executors.
+
+    Only keys that a batch has changed come out of the state store. latest() reads the newest table.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        spark = changed.sparkSession
+        done = [b for b in batches(spark, folder) if b < batch]
+        merged(changed, folder, batch, max(done, default=None))
+        for b in done[:-1]:  # a batch may be run again, so the one before it stays
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{b}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return running(requests).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def batches(spark: SparkSession, folder: str) -> list[int]:
+    """The batches whose totals are complete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"{n}/_SUCCESS")))
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, kind, total, human, bot) after the last complete batch; no rows before the first one."""
+    done = batches(spark, folder)
+    empty = spark.createDataFrame([], "key string, kind string, total long, human long, bot long")
+    return spark.read.parquet(f"{folder}/{done[-1]}") if done else empty

@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import json
 import sqlite3
 import tarfile
 import zipfile
@@ -95,6 +96,14 @@ def test_artifacts_by_content(spark):
     assert {"unwrapped", "tracked-deletion"} <= of("a.gz") and "flag-name" in of("x.tar") and {"after-iend", "carved-signature"} <= of("tail.png")
     assert {"email-header", "email-body", "email-attachment", "alternate-mime-diff"} <= of("n.eml")
     assert {"json-tombstone", "json-duplicate-key"} <= of("rec.json")
+    import base64
+
+    deep = json.dumps({"a": {"api_key": "x", "blob": base64.b64encode(b"PK\3\4 and more").decode(), "plain": "bm8gc2lnbmF0dXJlIQ=="}})
+    assert [(k, p) for k, p, *_ in artifacts.json_hits(deep.encode(), "f")] == [("json-secret", "f#/a/api_key"), ("json-base64", "f#/a/blob")]
+    assert {k for k, *_ in artifacts.json_hits(b'{"x_old": 1, "password": "abcdefgh"', "f")} == {"json-corrupt", "json-tombstone-text", "json-secret"}
+    lines = [f'{{"_old": {i}}}' for i in range(300)] + ["", "{"]
+    found = list(artifacts.hits("\n".join(lines).encode(), "rows.jsonl"))
+    assert sum(k == "json-tombstone" for k, *_ in found) == 300 and ("json-corrupt", "rows.jsonl#301") in {(k, p) for k, p, *_ in found}
     assert not any("hunter2" in r.preview for r in rows)
 
 
@@ -181,10 +190,18 @@ def test_streaming_counts_are_exact(spark, tmp_path):
     folder = tmp_path / "in"
     src.repartition(7).write.parquet(str(folder))
     read = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(str(folder))
-    q = stream.start(read, "totals_test", str(tmp_path / "ck"))
+    totals = str(tmp_path / "totals")
+    assert stream.latest(spark, totals).count() == 0
+    q = stream.start(read, totals, str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.table("totals_test").collect())) == want
+    assert sorted(map(tuple, stream.latest(spark, totals).collect())) == want
+    src.where("key = 'k1'").limit(5).coalesce(1).write.mode("append").parquet(str(folder))  # a batch that lacks the other keys
+    q = stream.start(read, totals, str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    more = {r.key: r.total for r in stream.latest(spark, totals).collect()}
+    assert more == {k: n + 5 * (k == "k1") for k, _, n, *_ in want} and len(stream.batches(spark, totals)) == 2
 
 
 def test_production_pairs(spark):

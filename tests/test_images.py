@@ -42,10 +42,51 @@ def test_lenses_stay_in_range_and_off_is_gray(spark, synthetic):
         assert reduce.is_achromatic(lens.apply_mode(synthetic, m, False)).first().achromatic
 
 
-def test_preview_and_full_lens_agree_where_no_blur_is(spark, synthetic):
-    a = kernels.full_lens(kernels.packed(synthetic), "candle").first()
-    b = lens.apply_mode(synthetic, "candle").orderBy("y", "x").toPandas()
-    assert np.allclose(a.r, b.r, atol=1e-9) and np.allclose(a.b, b.b, atol=1e-9)
+def one_by_one(rgb, mode, inject=True):
+    """The published formulas of four lenses, one pixel at a time, over blurs that are given."""
+    h, w = rgb.shape[:2]
+    lum = [[sum(c * k for c, k in zip(p, (0.2126, 0.7152, 0.0722), strict=True)) for p in row] for row in rgb.tolist()]
+    lo, hi = min(map(min, lum)), max(map(max, lum))
+    clip = lambda v: min(1.0, max(0.0, v))
+    out = np.zeros_like(rgb)
+    near = kernels.blur(np.array(lum), 1.15)
+    for y in range(h):
+        for x in range(w):
+            p, l = rgb[y, x], lum[y][x]
+            t = (l - lo) / (hi - lo)
+            if mode == "uv":
+                hp = l - near[y, x]
+                glow = clip(clip(1.18 * t**0.72) * (1 - 0.42 * (1 - t)) + 0.9 * hp)
+                dark = 0.65 if t < 0.42 else 1.0
+                out[y, x] = [clip(glow * 0.70 + 0.04) * dark, clip(glow * 0.62 + 0.03) * dark, clip(glow * 1.18 + 0.35 * hp) * dark]
+            else:
+                flame = 1 - 0.42 * x / (w - 1)
+                glow, ink = clip(t**0.82 * (0.78 + 0.28 * flame)), clip((0.44 - t) / 0.44)
+                for k, (own, amber, more) in enumerate(((0.42, 1.16, 0.05), (0.40, 0.70, 0.02), (0.22, 0.26, 0.0))):
+                    out[y, x, k] = clip(clip(p[k] * own + glow * amber + more) * (1 - 0.40 * ink) + p[k] * 0.28 * ink)
+    return out
+
+
+@pytest.mark.parametrize("mode", ["uv", "candle"])
+def test_full_lenses_follow_the_formulas(mode):
+    rgb = np.random.default_rng(3).random((24, 24, 3))
+    assert np.allclose(kernels.lens(rgb, mode), one_by_one(rgb, mode), atol=1e-9)
+
+
+def test_gray_of_tinting_lenses_is_taken_before_the_tint():
+    rgb = np.random.default_rng(4).random((12, 12, 3))
+    rgb[:6] = [0.1, 0.8, 0.65]  # in the band of tazel
+    rgb[6:9] = [0.75, 0.0, 0.4]  # in the band of vyrn
+    for mode, fn in (("tazel", kernels._tazel), ("vyrn", kernels._vyrn)):
+        plain, tinted = fn(rgb, False), fn(rgb, True)
+        assert np.abs(plain - tinted).max() > 0.02
+        assert np.allclose(kernels.lens(rgb, mode, inject=False), kernels.gray3(kernels.luma(plain)), atol=1e-12)
+
+
+def test_no_pixel_of_a_short_last_row_is_lost(spark):
+    src = page(spark, np.random.default_rng(5).random((5, 4, 3))).where("not (y = 4 and x > 1)")
+    back = kernels.unpacked(kernels.full_lens(kernels.packed(src), "candle"))
+    assert {(r.y, r.x) for r in back.collect()} == {(r.y, r.x) for r in src.collect()} and back.count() == 18
 
 
 def test_solid_hues_are_in_band(spark):

@@ -46,6 +46,55 @@ def test_kernels_give_rows(spark, name):
     assert ALL[name](spark, str(DATA)).count() > 0
 
 
+def test_named_operations():
+    from foliant.operators import ink, pdf
+
+    assert [pdf.op_of(x) for x in ("leftover", "Leftover_Bytes", "unredact", "lift-overlay")] == ["recover", "recover", "locate", "lift"]
+    assert [ink.op_of(x) for x in (None, "Forgery_Scan", "sidebyside", "ink-hand", "refuse")] == ["analyze", "forgery-indicators", "side-by-side", "analyze", "refuse"]
+    for parse in (pdf.op_of, ink.op_of):
+        with pytest.raises(ValueError):
+            parse("no such operation")
+
+
+def literal(spark, build, columns="*", **tables):
+    """Rows of a plan over small tables."""
+    from foliant.plans.sql import SPARK, Plan
+
+    p = Plan(SPARK)
+    return [tuple(r) for r in p.frame(spark, build(p), columns, **{n: spark.createDataFrame(rows, schema) for n, (rows, schema) in tables.items()}).collect()]
+
+
+def test_revision_chain_follows_prev_from_the_tip(spark):
+    from foliant.operators import pdf
+
+    schema = "filename string, rev int, place long, startxref long, prev long"
+    rows = [("a", 0, 100, None, None), ("a", 1, 500, 540, 120), ("a", 2, 900, None, 550), ("b", 0, 100, None, None), ("b", 1, 500, None, 333), ("b", 2, 900, None, 500), ("c", 0, 100, None, 500), ("c", 1, 500, None, 100)]
+    prev = literal(spark, lambda p: pdf.previous(p, "t"), "filename, rev, prev_rev", t=(rows, schema))
+    assert sorted(prev, key=repr) == sorted([("a", 0, None), ("a", 1, 0), ("a", 2, 1), ("b", 0, None), ("b", 1, None), ("b", 2, 1), ("c", 0, 1), ("c", 1, 0)], key=repr)
+    got = literal(spark, lambda p: pdf.chain(p, pdf.previous(p, "t")), "filename, node, rev, walked", t=(rows, schema))
+    assert sorted(got) == [("a", 0, 0, True), ("a", 1, 1, True), ("a", 2, 2, True), ("b", 0, 0, False), ("b", 1, 1, False), ("b", 2, 2, False), ("c", 0, 0, True), ("c", 1, 1, True)]
+
+
+def test_revision_edges_by_hand(spark):
+    from foliant.operators import pdf
+
+    x = "filename string, rev int, id int, flag string, place long, objstm int, slot int"
+    xref = [("a", 0, 1, "n", 10, None, None), ("a", 0, 2, "n", 50, None, None), ("a", 0, 3, "n", 90, None, None), ("a", 1, 1, "n", 17, None, None), ("a", 1, 2, "n", 300, None, None), ("a", 1, 3, "f", 0, None, None), ("a", 1, 4, "n", 400, None, None), ("a", 2, 4, "f", 0, None, None), ("a", 2, 2, "n", 300, 7, 0)]
+    objects = ([("a", 3, 92, None), ("a", 4, 600, None)], "filename string, id int, place long, parent int")
+    got = literal(spark, lambda p: pdf.revision_edges(p, "x", "o"), "rev, id, change", x=(xref, x), o=objects)
+    assert sorted(got) == [(0, 1, "added"), (0, 2, "added"), (0, 3, "added"), (1, 1, "kept"), (1, 2, "replaced"), (1, 3, "detached"), (1, 4, "added"), (2, 2, "replaced"), (2, 4, "deleted")]
+    assert sorted(literal(spark, lambda p: pdf.xref_revision(p, "o", "x"), "id, xref_rev", x=(xref, x), o=objects)) == [(3, 0), (4, None)]
+
+
+def test_producers_info_and_attachments_by_hand(spark):
+    from foliant.operators import text
+
+    t = ([(1, "<< /Title (a \\(b\\)) /Author<48> >> Acrobat /PieceInfo x.tmp /Type /Filespec /F (f.txt) /UF (g)", True), (2, "nothing", False)], "id long, t string, has_stream boolean")
+    assert sorted(literal(spark, lambda p: text.info(p, "t"), "key, value, encoding", t=t)) == [("Author", "48", "hex"), ("Title", "a (b)", "literal")]
+    assert literal(spark, lambda p: text.attachments(p, "t"), "id, names, has_stream", t=t) == [(1, "f.txt,g", True)]
+    assert sorted(literal(spark, lambda p: text.producers(p, "t"), "kind, listed", t=t)) == [("acrobat", True), ("pieceinfo", True), ("temp-filename", True)]
+
+
 def test_redaction_classes_take_every_event(spark):
     got = ALL["redaction_classes"](spark, str(DATA)).collect()
     assert sorted(r.event_id for r in got) == sorted(r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").collect())
