@@ -21,6 +21,11 @@ HELD_TOKENS = 1_000_000  # tokens of documents that wait for a lane; the longest
 f32 = np.float32
 
 
+def sorted_places(ids: np.ndarray, size: int) -> np.ndarray:
+    """Where the ids stand in their order, equal ones in place; narrow ids are sorted digit by digit."""
+    return np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")
+
+
 class Gru:
     NAMES = ("x", "uzr", "un", "wc", "bc", "wo", "bo")
 
@@ -90,20 +95,20 @@ class Gru:
     def output(self, h: np.ndarray, ids: np.ndarray, grad: bool = False):
         """Natural log P(id) for rows of states; with ``grad`` also the gradients of the mean loss."""
         p, n = self.p, len(ids)
-        order = np.argsort(ids, kind="stable")  # by class: rows of one class lie together
+        order = sorted_places(ids, self.size)  # by class: rows of one class lie together
         h, cls, within = h[order], ids[order] // CLASS, ids[order] % CLASS
         rows = np.arange(n)
         lc = h @ p["wc"]  # states are within -1..1 and log shares below 0: no exponential overflows
         lc += p["bc"]
         at = lc[rows, cls]
         np.exp(lc, lc)
-        s = lc.sum(1)
+        s = lc @ np.ones(self.classes, lc.dtype)
         logp = at - np.log(s)
-        starts = np.searchsorted(cls, np.arange(self.classes + 1))
+        starts, one = np.searchsorted(cls, np.arange(self.classes + 1)), np.ones(CLASS, lc.dtype)
         if grad:
             lc *= (1 / (s * n))[:, None]
             lc[rows, cls] -= 1 / n
-            g = {"wc": h.T @ lc, "bc": lc.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
+            g = {"wc": h.T @ lc, "bc": np.ones(n, lc.dtype) @ lc, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
             dh = lc @ p["wc"].T
         for c in np.flatnonzero(np.diff(starts)):
             i = slice(starts[c], starts[c + 1])
@@ -112,13 +117,13 @@ class Gru:
             k = rows[: len(lo)]
             at = lo[k, within[i]]
             np.exp(lo, lo)
-            s = lo.sum(1)
+            s = lo @ one
             logp[i] += at - np.log(s)
             if grad:
                 lo *= (1 / (s * n))[:, None]
                 lo[k, within[i]] -= 1 / n
                 np.matmul(h[i].T, lo, g["wo"][c])
-                g["bo"][c] = lo.sum(0)
+                g["bo"][c] = np.ones(len(lo), lo.dtype) @ lo
                 dh[i] += lo @ p["wo"][c].T
         back = np.empty(n, np.int64)
         back[order] = rows
@@ -167,7 +172,7 @@ class Gru:
         flat_da = da.reshape(3, -1, n)
         g["un"] = np.stack([x[2] for x in tape]).reshape(-1, n).T @ flat_da[2]
         g["uzr"] = np.concatenate([before.T @ flat_da[0], before.T @ flat_da[1]], 1)
-        order = np.argsort(inputs.ravel(), kind="stable")
+        order = sorted_places(inputs.ravel(), self.size)
         rows = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         g["x"] = (rows[first], np.concatenate([np.add.reduceat(d[order], first, axis=0) for d in flat_da], 1))

@@ -36,7 +36,7 @@ from foliant.llm.gru import Adagrad, Gru, scored, trained
 VOCABULARY, ENDINGS, HIDDEN = 2_000, 64, 16
 FREQUENT = 200_000
 SEED_DOCS, SEED_RATE, RATE = 2_000, 0.1, 0.05
-GROUP_TOKENS = 3_000_000  # tokens that one task trains on
+GROUP_TOKENS = 5_000_000  # tokens that one task trains on
 SLICES, FAN_IN = 8, 64
 ALPHA = 0.1
 END = b"\n"  # no word holds it
