@@ -127,8 +127,12 @@ def union_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(out, np.int32)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
-    """Every row and column of ``docs`` with n_words, n_hit, runs (word positions) and items."""
+def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES, with_text: bool = True, finish=None) -> DataFrame:
+    """Every row and column of ``docs`` with n_words, n_hit, runs (word positions) and items.
+
+    ``finish``, if given, takes the batches of the last block, in the worker that found the hits, and returns batches
+    of the schema of ``docs``: a second Python step of its own would hold a second worker for each task.
+    """
     extra = "n_words long, n_hit long, runs array<int>, items array<string>"
     df, before = docs, None
     keep = docs.columns
@@ -155,7 +159,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES, with_t
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, "n_words", "n_hit", "runs", "items"])
 
         head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-        df = df.mapInArrow(run, f"{head}, {extra}")
+        if finish is not None and following is None:
+            df = df.mapInArrow(lambda batches, run=run: finish(run(batches)), docs.schema)
+        else:
+            df = df.mapInArrow(run, f"{head}, {extra}")
         if following is not None:
             df = stored(df, "decontaminate")
             if before is not None:
@@ -184,11 +191,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_
     n_chars, if there is such a column, follows the text that is left.
     """
     docs, back = aside(docs, ("n_words", "n_hit", "runs", "items"))
-    scanned = scan(docs, benchmark).where(F.col("n_hit") <= F.col("n_words") * max_share)
-    cols, head = docs.columns, docs.schema
+    cols = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(b.column("n_hit").to_numpy() <= b.column("n_words").to_numpy() * max_share))
             old = b.column("text").to_pylist()
             runs = b.column("runs").to_pylist()
             new = [cut(t, r) if r else t for t, r in zip(old, runs, strict=True)]
@@ -198,7 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_
                 arrays[cols.index("n_chars")] = pa.array(kept, b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(arrays, names=cols)
 
-    return back(scanned.mapInArrow(run, head))
+    return back(scan(docs, benchmark, finish=without))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
