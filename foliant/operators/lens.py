@@ -66,17 +66,18 @@ def candle(p: Plan, src: str) -> str:
     return p.add("candle", f"SELECT {KEYS}, {', '.join(cols)} FROM {g}")
 
 
-def parchment(p: Plan, src: str, exact: bool = False) -> str:
-    """Mean colour of the bright pixels: luminance at least the .80 quantile.
+def bright(p: Plan, l: str, exact: bool = False) -> str:
+    """The .80 quantile q of l in each image: by nearest rank (rank floor(.8 n) from 0), or interpolated with ``exact``."""
+    if exact:
+        return p.add("q", f"SELECT image_id, {p.d.pct('l', 0.8)} AS q FROM {l} GROUP BY image_id")
+    k = p.add("k", f"SELECT image_id, l, row_number() OVER (PARTITION BY image_id ORDER BY l) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM {l}")
+    return p.add("q", f"SELECT image_id, l AS q FROM {k} WHERE k = floor(n * 0.8e0) + 1")
+
 
-    By nearest rank (the value of rank floor(.8 n) from 0), or interpolated with ``exact``.
-    """
+def parchment(p: Plan, src: str, exact: bool = False) -> str:
+    """Mean colour of the bright pixels: luminance at least the .80 quantile, by nearest rank or ``exact``."""
     l = p.add("l", f"SELECT image_id, r, g, b, {luma()} AS l FROM {src}")
-    if exact:
-        q = p.add("q", f"SELECT image_id, {p.d.pct('l', 0.8)} AS q FROM {l} GROUP BY image_id")
-    else:
-        k = p.add("k", f"SELECT image_id, l, row_number() OVER (PARTITION BY image_id ORDER BY l) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM {l}")
-        q = p.add("q", f"SELECT image_id, l AS q FROM {k} WHERE k = floor(n * 0.8e0) + 1")
+    q = bright(p, l, exact)
     return p.add("parch", f"SELECT {l}.image_id AS image_id, avg(r) AS pr, avg(g) AS pg, avg(b) AS pb FROM {l} JOIN {q} ON {l}.image_id = {q}.image_id WHERE l >= q GROUP BY {l}.image_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from foliant.constants import PIGMENT, PIGMENT_GONE
 from foliant.functions.pixel import clamp, luma, num
-from foliant.operators.lens import KEYS, parchment
+from foliant.operators.lens import KEYS, bright, parchment
 from foliant.operators.neighbour import neighbours
 from foliant.plans.sql import Plan, as_frame
 
@@ -13,16 +13,21 @@ EXTRA = round(T["gain"] - 1, 6)
 OPS = {"restore": "restore", "restore-pigment": "restore", "estimate": "estimate", "density": "estimate", "estimate-density": "estimate", "refuse": "refuse", "locate": "estimate", "": "restore"}
 
 
-def evidence(p: Plan, src: str) -> str:
-    """src with residuals from the parchment (dr, dg, db), mag, faded, strong, support and the image's threshold."""
+def evidence(p: Plan, src: str, hosted: bool = False) -> str:
+    """src with residuals from the parchment (dr, dg, db), mag, faded, strong, support and the image's threshold.
+
+    The quantile is interpolated, or by nearest rank in the ``hosted`` form, whose threshold keeps the mean of fewer
+    than 8 bright pixels.
+    """
     l = p.add("l", f"SELECT {KEYS}, r, g, b, {luma()} AS l FROM {src}")
-    pa = parchment(p, src, exact=True)
-    q = p.add("q", f"SELECT image_id, {p.d.pct('l', 0.8)} AS q FROM {l} GROUP BY image_id")
+    pa = parchment(p, src, exact=not hosted)
+    q = bright(p, l, exact=not hosted)
+    few = f"{'avg(CASE WHEN l >= q THEN mag END) + ' if hosted else ''}{T['noise_k']}e0 * 0.02e0"
     res = p.add("res", f"SELECT {l}.*, q, pr - r AS dr, pg - g AS dg, pb - b AS db, {luma('pr', 'pg', 'pb')} AS pl FROM {l} JOIN {pa} ON {l}.image_id = {pa}.image_id JOIN {q} ON {l}.image_id = {q}.image_id")
     mag = p.add("mag", f"SELECT *, sqrt(dr * dr + dg * dg + db * db) AS mag, greatest(dr, dg, db) - least(dr, dg, db) AS chroma, pl - l AS gap FROM {res}")
     th = p.add(
         "th",
-        f"""SELECT image_id, greatest({T['floor']}e0, CASE WHEN count(CASE WHEN l >= q THEN 1 END) < 8 THEN {T['noise_k']}e0 * 0.02e0
+        f"""SELECT image_id, greatest({T['floor']}e0, CASE WHEN count(CASE WHEN l >= q THEN 1 END) < 8 THEN {few}
         ELSE avg(CASE WHEN l >= q THEN mag END) + {T['noise_k']}e0 * stddev_pop(CASE WHEN l >= q THEN mag END) END) AS thresh FROM {mag} GROUP BY image_id""",
     )
     f = p.add(
@@ -45,9 +50,9 @@ def density(p: Plan, ev: str) -> str:
     return p.add("density", f"SELECT {KEYS}, CASE WHEN support AND peak > 1e-6 THEN {clamp('mag / peak')} ELSE 0e0 END AS d FROM {pk}")
 
 
-def decision(p: Plan, src: str, op: str = "restore") -> str:
+def decision(p: Plan, src: str, op: str = "restore", hosted: bool = False) -> str:
     """One row an image: whether the pigment can be recovered, and the refusal code if not."""
-    ev = evidence(p, src)
+    ev = evidence(p, src, hosted)
     re = restored(p, ev)
     ch = p.add(
         "ch",

@@ -159,3 +159,69 @@ def found(p: Plan, items: str, query: str) -> str:
 
 
 detect_text, dedup_items, discover_sidecars, production_correlate, provenance_ledger = map(as_frame, (detect, dedup, sidecars, correlate, provenance))
+
+
+#: The parts of an artifact whose findings count as recovered, in order; states of earlier and of enclosed content.
+RECOVERED = ("hit", "thumb", "carved", "history")
+PRIOR = ("present_prior_revision", "present_orphan", "present_database_freelist", "present_thumbnail", "present_embedded")
+ENCLOSED = ("present_embedded", "present_attachment", "present_thumbnail")
+
+
+def _in(x: str, values: tuple[str, ...]) -> str:
+    return f"{x} IN (" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def findings(p: Plan, items: str) -> str:
+    """items (file, seq, bucket, kind, path, preview, pos, state) with ``recovered``: the first of equal ones in hit, thumb, carved or history.
+
+    Findings of the other buckets (metadata, embed, orphan, sidecar, secret) are all kept, and are not recovered.
+    """
+    rank = "CASE bucket " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(RECOVERED)) + " END"
+    own = _in("bucket", RECOVERED)
+    r = p.add("r", f"SELECT *, {own} AS own, row_number() OVER (PARTITION BY file, {own}, kind, path, preview, pos ORDER BY {rank}, seq) AS k FROM {items}")
+    return p.add("findings", f"SELECT file, seq, bucket, kind, path, preview, pos, state, (own AND k = 1) AS recovered FROM {r}")
+
+
+def outcome(p: Plan, files: str, found: str) -> str:
+    """One row a file and operation: how much it returns, whether it stops, and the refusal code and warning if any.
+
+    files: (file, kind, status, bytes, leftover_bytes, others); found: findings(). Findings are counted once a file,
+    before the operations are laid beside them. A file without findings counts as one with none.
+    """
+    tests = {
+        "n_recovered": "recovered", "n_prior": f"recovered AND {_in('state', PRIOR)}", "n_enclosed": f"recovered AND {_in('state', ENCLOSED)}", "n_carved": "bucket = 'carved'",
+        "n_orphans": "bucket IN ('orphan', 'carved')", "n_metadata": "bucket = 'metadata'", "n_embeds": "bucket IN ('embed', 'thumb')", "n_sidecars": "bucket = 'sidecar'", "n_secrets": "bucket = 'secret'",
+    }
+    n = p.add("n", "SELECT file, " + ", ".join(f"count(CASE WHEN {t} THEN 1 END) AS {c}" for c, t in tests.items()) + f" FROM {found} GROUP BY file")
+    c = p.add("c", "SELECT f.file AS file, kind, status = 'slot' AS slot, bytes, leftover_bytes, others, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in tests) + f" FROM {files} f LEFT JOIN {n} n ON f.file = n.file")
+    left = p.add("left", f"SELECT *, (n_recovered > 0 OR n_carved > 0) AS present, (kind = 'pdf' AND NOT leftover_bytes AND n_recovered = 0 AND n_carved = 0) AS sanitized FROM {c}")
+    ops = p.d.gaps(p.d.lit(",".join(sorted(set(OPS.values())))), ",")
+    o = p.add("o", f"SELECT q.*, val AS op FROM {p.d.each(f'{left} q', ops)}")
+    early = "(bytes = 0 OR op = 'refuse' AND slot)"
+    size = (
+        f"CASE WHEN {early} THEN 0 WHEN op = 'extract-embedded' THEN CASE WHEN n_enclosed > 0 THEN n_enclosed ELSE n_embeds END WHEN op = 'scan-orphans' THEN n_orphans "
+        "WHEN op = 'scan-metadata' THEN n_metadata WHEN op = 'scan-sidecars' THEN n_sidecars WHEN op = 'scan-history' THEN n_prior ELSE n_recovered END"
+    )
+    code = (
+        "CASE WHEN bytes = 0 THEN 'SL-RECOVER-NO-BYTES' WHEN slot THEN 'SL-RECOVER-UNSUPPORTED' "
+        "WHEN op IN ('refuse', 'locate', 'deep-recover') AND NOT present THEN CASE WHEN sanitized THEN 'SL-RECOVER-SANITIZED' ELSE 'SL-RECOVER-NO-BYTES' END END"
+    )
+    warning = "CASE WHEN bytes = 0 THEN NULL WHEN slot THEN 'slot' WHEN op = 'scan-sidecars' AND n_sidecars = 0 THEN 'no-sidecars' WHEN op = 'cross-compare' AND others = 0 THEN 'needs-second-file' END"
+    return p.add(
+        "outcome",
+        f"""SELECT file, op, {size} AS recovered_count, CASE WHEN {early} THEN 0 ELSE n_prior END AS prior_count, {code} AS refuse_code, {warning} AS warning,
+        (op = 'refuse' AND bytes > 0 AND NOT slot AND NOT present) AS stop, (bytes > 0 AND n_secrets > 0) AS secret_material_present, false AS invented FROM {o}""",
+    )
+
+
+def selected(p: Plan, found: str, op: str) -> str:
+    """The findings that one operation returns; enclosed content falls back on the embeds of files that recovered none."""
+    op = op_of(op)
+    keep = {
+        "scan-orphans": "bucket IN ('orphan', 'carved')", "scan-metadata": "bucket = 'metadata'", "scan-sidecars": "bucket = 'sidecar'", "scan-history": f"recovered AND {_in('state', PRIOR)}",
+    }.get(op, "recovered")
+    if op != "extract-embedded":
+        return p.add("selected", f"SELECT * FROM {found} WHERE {keep}")
+    own = f"(recovered AND {_in('state', ENCLOSED)})"
+    w = p.add("w", f"SELECT *, {own} AS enclosed, max(CASE WHEN {own} THEN 1 ELSE 0 END) OVER (PARTITION BY file) AS has FROM {found}")
+    return p.add("selected", f"SELECT file, seq, bucket, kind, path, preview, pos, state, recovered FROM {w} WHERE enclosed OR (has = 0 AND bucket IN ('embed', 'thumb'))")

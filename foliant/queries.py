@@ -136,6 +136,12 @@ def pigment_decision(p: Plan):
     return pigment.decision(p, carriers.paper(p)), f"image_id, op, pixels, evidence_pixels, visible_ink_pixels, {R6('thresh')}, supported, recovered, changed_pixels, refuse_code, pigment_recovery, invented"
 
 
+@query("lineitem")
+def pigment_hosted(p: Plan):
+    """The hosted form, by nearest rank."""
+    return pigment.decision(p, carriers.paper(p), hosted=True), f"image_id, op, pixels, evidence_pixels, visible_ink_pixels, {R6('thresh')}, supported, recovered, changed_pixels, refuse_code, pigment_recovery, invented"
+
+
 @query("lineitem")
 def pigment_refused(p: Plan):
     """Noise gives no support."""
@@ -431,6 +437,37 @@ def production_pairs(p: Plan):
     return recover.correlate(p, files(p)), "*"
 
 
+def found(p: Plan) -> tuple[str, str]:
+    """Files of three documents each, and a finding for every document, in a bucket and state by its place."""
+    d = p.d
+    docs = p.add("placed", f"SELECT doc_id, {d.idiv('doc_id', '3')} AS file, lang, text FROM documents")
+    rest = "CASE doc_id % 5 WHEN 0 THEN 'metadata' WHEN 1 THEN 'embed' WHEN 2 THEN 'orphan' WHEN 3 THEN 'sidecar' ELSE 'secret' END"
+    own = "CASE doc_id % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'thumb' WHEN 2 THEN 'carved' ELSE 'history' END"
+    state = "CASE doc_id % 7 WHEN 0 THEN 'present_prior_revision' WHEN 1 THEN 'present_embedded' WHEN 2 THEN 'present_thumbnail' ELSE 'present_current' END"
+    items = p.add("items", f"SELECT file, doc_id AS seq, CASE WHEN file % 5 < 2 OR doc_id % 9 = 0 THEN {rest} ELSE {own} END AS bucket, lang AS kind, 'text' AS path, text AS preview, CAST(NULL AS BIGINT) AS pos, {state} AS state FROM {docs}")
+    kind = "CASE file % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'heic' ELSE 'txt' END"
+    f = p.add("f", f"SELECT file, {kind} AS kind, CASE WHEN file % 4 = 1 THEN 'slot' ELSE 'live' END AS status, sum(coalesce(length(text), 0)) AS bytes, file % 8 = 0 AS leftover_bytes, file % 2 AS others FROM {docs} GROUP BY file")
+    return f, recover.findings(p, items)
+
+
+@query("documents")
+def recover_outcome(p: Plan):
+    """Counts, refusals and warnings of every operation on every file."""
+    return recover.outcome(p, *found(p)), "*"
+
+
+@query("documents")
+def recover_embedded(p: Plan):
+    """What extract-embedded returns."""
+    return recover.selected(p, found(p)[1], "extract_embedded"), "*"
+
+
+@query("documents")
+def recover_history(p: Plan):
+    """What scan-history returns."""
+    return recover.selected(p, found(p)[1], "scan-history"), "*"
+
+
 @query("documents")
 def provenance_rows(p: Plan):
     """Ledger rows."""

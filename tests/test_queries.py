@@ -126,3 +126,34 @@ def test_items_are_whole_texts(spark, tmp_path):
 def test_rtf_hits_scan_documents(spark, tmp_path):
     got = ALL["rtf_hits"](spark, documents(spark, tmp_path, [(1, "Plain words, {\\v under cover\\v0 seen", "s")])).collect()
     assert {(r.kind, r.preview) for r in got if r.id == 1} == {("rtf-text", "Plain words"), ("rtf-text", "under cover"), ("rtf-text", "seen"), ("rtf-hidden", "under cover")}
+
+
+def test_recover_outcomes_by_hand(spark):
+    from foliant.operators import recover
+
+    files = ([(1, "txt", "live", 9, False, 0), (2, "pdf", "live", 9, False, 1), (3, "heic", "slot", 9, False, 0), (4, "txt", "live", 0, False, 0), (5, "pdf", "live", 9, True, 0)], "file long, kind string, status string, bytes long, leftover_bytes boolean, others long")
+    items = (
+        [(1, 1, "hit", "k", "p", "x", None, "present_current"), (1, 2, "history", "k", "p", "x", None, "present_prior_revision"), (1, 3, "thumb", "k", "p", "y", 4, "present_thumbnail"), (1, 4, "metadata", "k", "p", "y", 4, "s"), (1, 5, "secret", None, None, None, None, None)]
+        + [(2, 1, "embed", "k", "p", "e", None, "present_embedded"), (2, 2, "orphan", "k", "p", "e", None, None), (2, 3, "sidecar", "k", "p", "e", None, None)],
+        "file long, seq long, bucket string, kind string, path string, preview string, pos long, state string",
+    )
+    rows = literal(spark, lambda p: recover.outcome(p, "f", recover.findings(p, "i")), "file, op, recovered_count, refuse_code, warning, stop", f=files, i=items)
+    got = {r[:2]: r[2:] for r in rows}
+    assert len(rows) == len(got) == 50
+    assert got[1, "locate"] == (2, None, None, False) and got[1, "scan-history"][0] == got[1, "extract-embedded"][0] == got[1, "scan-metadata"][0] == 1
+    assert got[1, "refuse"] == (2, None, None, False) and got[1, "cross-compare"] == (2, None, "needs-second-file", False) and got[1, "scan-sidecars"] == (0, None, "no-sidecars", False)
+    assert got[2, "locate"] == (0, "SL-RECOVER-SANITIZED", None, False) and got[2, "refuse"] == (0, "SL-RECOVER-SANITIZED", None, True)
+    assert [got[2, op][0] for op in ("extract-embedded", "scan-orphans", "scan-sidecars")] == [1, 1, 1] and got[2, "cross-compare"][2] is None
+    assert got[3, "refuse"] == (0, "SL-RECOVER-UNSUPPORTED", "slot", False) and got[4, "deep-recover"] == (0, "SL-RECOVER-NO-BYTES", None, False)
+    assert got[5, "deep-recover"] == (0, "SL-RECOVER-NO-BYTES", None, False) and got[5, "refuse"][3]
+    assert sorted(literal(spark, lambda p: recover.selected(p, recover.findings(p, "i"), "extract_embedded"), "file, seq", i=items)) == [(1, 3), (2, 1)]
+
+
+def test_hosted_pigment_takes_the_nearest_rank(spark):
+    from foliant.operators import pigment
+
+    px = ([(1, 0, x, v, v, v) for x, v in enumerate((0.0, 0.2, 0.4, 0.6, 0.8, 1.0))], "image_id long, y long, x long, r double, g double, b double")
+    q = lambda hosted: {round(r[0], 6) for r in literal(spark, lambda p: pigment.evidence(p, "px", hosted), "q", px=px)}
+    assert q(False) == q(True) == {0.8}
+    px[0].append((1, 0, 6, 0.9, 0.9, 0.9))
+    assert q(True) == {0.9} and q(False) == {0.88}
