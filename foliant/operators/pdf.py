@@ -204,6 +204,46 @@ def xref_revision(p: Plan, objects: str, xref: str) -> str:
     return p.add("xrev", f"SELECT DISTINCT o.filename AS filename, o.id AS id, o.place AS place, m.xref_rev AS xref_rev FROM {objects} o LEFT JOIN {m} m ON o.filename = m.filename AND o.id = m.id AND o.place = m.place")
 
 
+def embeds(p: Plan, objects: str, refs: str, xref: str, cap: int | None = None) -> str:
+    """Embedded files of every revision in which they are live, one row each, with digest and type.
+
+    objects (filename, id, gen, place, marked, name, head, bytes, sha256): instances, marked if they speak of embedded
+    files; head, the first four bytes as Latin letters, bytes and sha256 are null without a stream. refs (filename,
+    id, seq, child): what a marked object without a stream points at; the first with a stream counts. xref (filename,
+    rev, id, flag, place). Payloads above ``cap`` bytes are marked as omitted. A listing spans the revisions up to the
+    next one of its id, and means the nearest instance.
+    """
+    e = p.add("entries", f"SELECT filename, id, rev, flag, place, lead(rev) OVER (PARTITION BY filename, id ORDER BY rev) AS until FROM {xref}")
+    v = p.add("revs", f"SELECT DISTINCT filename, rev FROM {xref}")
+    n = p.add(
+        "near",
+        f"""SELECT o.*, e.rev AS since, e.until AS until, row_number() OVER (PARTITION BY o.filename, o.id, e.rev ORDER BY abs(o.place - e.place), o.place) AS k
+        FROM {objects} o JOIN {e} e ON o.filename = e.filename AND o.id = e.id AND e.flag = 'n' AND abs(o.place - e.place) <= {LIVE_WITHIN}""",
+    )
+    at = p.add("at", f"SELECT n.*, v.rev AS rev FROM {n} n JOIN {v} v ON n.filename = v.filename AND v.rev >= since AND (until IS NULL OR v.rev < until) WHERE k = 1 AND (marked OR bytes IS NOT NULL)")
+    c = p.add(
+        "pointed",
+        f"""SELECT a.filename AS filename, a.rev AS rev, a.id AS id, a.gen AS gen, a.place AS place, a.name AS name, c.head AS head, c.bytes AS bytes, c.sha256 AS sha256,
+        row_number() OVER (PARTITION BY a.filename, a.rev, a.id ORDER BY r.seq) AS first
+        FROM {at} a JOIN {refs} r ON a.filename = r.filename AND a.id = r.id JOIN {at} c ON a.filename = c.filename AND a.rev = c.rev AND r.child = c.id WHERE a.marked AND a.bytes IS NULL AND c.bytes IS NOT NULL""",
+    )
+    cols = "filename, rev, id, gen, place, name, head, bytes, sha256"
+    u = p.add("u", f"SELECT {cols} FROM {at} WHERE marked AND bytes IS NOT NULL UNION ALL SELECT {cols} FROM {c} WHERE first = 1")
+    office = "application/vnd.openxmlformats-officedocument."
+    kind = (
+        f"CASE WHEN head = '%PDF' THEN 'application/pdf' WHEN head = {p.d.lit(chr(137) + 'PNG')} THEN 'image/png' WHEN substr(head, 1, 3) = {p.d.lit(chr(255) + chr(216) + chr(255))} THEN 'image/jpeg' "
+        f"WHEN substr(head, 1, 2) = 'PK' THEN CASE WHEN low LIKE '%.docx' THEN '{office}wordprocessingml.document' WHEN low LIKE '%.xlsx' THEN '{office}spreadsheetml.sheet' ELSE 'application/zip' END "
+        "WHEN low LIKE '%.txt' THEN 'text/plain' WHEN low LIKE '%.pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END"
+    )
+    named = p.add("titled", f"SELECT *, lower(title) AS low FROM (SELECT *, coalesce(nullif(name, ''), concat('embed-', CAST(id AS VARCHAR(20)))) AS title FROM {u}) q")
+    omitted = f"CASE WHEN bytes > {cap} THEN 'hosted-preview-cap' END" if cap else "CAST(NULL AS VARCHAR(40))"
+    return p.add(
+        "embeds",
+        f"""SELECT filename, rev AS source_revision, concat(CAST(id AS VARCHAR(20)), ' ', CAST(gen AS VARCHAR(20))) AS object_id, place, title AS embed_name, {kind} AS media_type,
+        bytes AS byte_length, sha256, {omitted} AS omitted, false AS invented FROM {named}""",
+    )
+
+
 def stream_compare(p: Plan, streams: str, parts: str) -> str:
     """(id, bytes_differ, bytes_old, bytes_new, sha256_old, sha256_new, and what only one side has, in order and comma-joined).
 

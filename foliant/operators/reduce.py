@@ -44,10 +44,13 @@ def normalized(p: Plan, src: str) -> str:
     return p.add("nl", f"SELECT {KEYS}, {normal('l')} AS t FROM (SELECT {KEYS}, {luma()} AS l FROM {src}) q")
 
 
-def receipt(p: Plan, source: str, out: str, mode: str, to: str, inject: bool, paper: str) -> str:
-    """One row an image: the lens applied, centre and in-band shares of the source, mean of the output."""
+def receipt(p: Plan, source: str, out: str, mode: str, to: str, inject: bool, paper: str, hosted: bool = False) -> str:
+    """One row an image: the lens applied, centre and in-band shares of the source, mean of the output.
+
+    The ``hosted`` form takes the centre from the output.
+    """
     applied = inject and any(m != "zero" for m in mode.split("+"))
-    c, g = center(p, source), gate(p, source)
+    c, g = center(p, out if hosted else source), gate(p, source)
     m = p.add("m", f"SELECT image_id, avg(r) AS mean_r, avg(g) AS mean_g, avg(b) AS mean_b, count(*) AS pixels FROM {out} GROUP BY image_id")
     flag = lambda x: "true" if x else "false"
     return p.add(

@@ -116,6 +116,15 @@ def overlay_receipt(p: Plan):
     return r, f"image_id, lens, target, paper, inject, inject_applied, inject_ignored, invented, width, height, {R6('com_x', 'com_y')}, tazel_inband_pct, vyrn_inband_pct, {R6('mean_r', 'mean_g', 'mean_b')}, pixels"
 
 
+@query("lineitem")
+def hosted_receipt(p: Plan):
+    """The hosted receipt takes the centre from the output."""
+    src = lens.clean(p, carriers.pixels(p))
+    out = lens.target(p, lens.mode(p, src, "lemon"), "page")
+    r = reduce.receipt(p, src, out, "lemon", "page", True, PAPERS["lemon"], hosted=True)
+    return r, f"image_id, lens, target, inject_applied, {R6('com_x', 'com_y')}, tazel_inband_pct, vyrn_inband_pct, {R6('mean_r', 'mean_g', 'mean_b')}, pixels"
+
+
 @query("lineitem")
 def pigment_evidence(p: Plan):
     """G01, K07."""
@@ -621,6 +630,22 @@ def xref_revisions(p: Plan):
     return pdf.xref_revision(p, objects_carrier(p), xref_carrier(p)), "*"
 
 
+@query("orders")
+def revision_embeds(p: Plan):
+    """Embedded files of each revision, over orders as instances of a customer's object."""
+    d = p.d
+    o = p.add(
+        "o",
+        f"""SELECT concat('f', CAST(o_custkey % 50 AS VARCHAR(20))) AS filename, o_custkey AS id, 0 AS gen, o_orderkey * 40 AS place, o_orderkey % 3 < 2 AS marked,
+        CASE o_orderkey % 5 WHEN 0 THEN 'a.docx' WHEN 1 THEN 'A.TXT' WHEN 2 THEN '' WHEN 3 THEN 'b.xlsx' END AS name,
+        CASE WHEN o_orderkey % 2 = 0 THEN CASE o_custkey % 4 WHEN 0 THEN '%PDF' WHEN 1 THEN {d.lit(chr(255) + chr(216) + chr(255) + 'x')} WHEN 2 THEN 'PK34' ELSE 'text' END END AS head,
+        CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 10 END AS bytes, CASE WHEN o_orderkey % 2 = 0 THEN {d.sha('CAST(o_orderkey AS VARCHAR(20))')} END AS sha256, o_orderkey % 4 AS rev FROM orders""",
+    )
+    x = p.add("x", f"SELECT filename, rev, id, CASE WHEN max(place) % 520 = 0 THEN 'f' ELSE 'n' END AS flag, max(place) AS place FROM {o} GROUP BY filename, rev, id")
+    r = p.add("ref", f"SELECT DISTINCT filename, id, 1 AS seq, id + 50 AS child FROM {o} UNION ALL SELECT DISTINCT filename, id, 2 AS seq, id - 50 AS child FROM {o}")
+    return pdf.embeds(p, p.add("inst", f"SELECT filename, id, gen, place, marked, name, head, bytes, sha256 FROM {o}"), r, x, 24000), "*"
+
+
 @query("lineitem")
 def page_keys(p: Plan):
     """References of a page's keys."""

@@ -157,3 +157,32 @@ def test_hosted_pigment_takes_the_nearest_rank(spark):
     assert q(False) == q(True) == {0.8}
     px[0].append((1, 0, 6, 0.9, 0.9, 0.9))
     assert q(True) == {0.9} and q(False) == {0.88}
+
+
+def test_embeds_of_each_revision_by_hand(spark):
+    from foliant.operators import pdf
+
+    objects = (
+        [("a", 1, 0, 100, True, "x.txt", None, None, None), ("a", 2, 0, 200, False, None, "%PDF", 50, "s2"), ("a", 2, 0, 900, False, None, "PK..", 70, "s2b"), ("a", 3, 0, 300, True, "", "abcd", 9, "s3"), ("a", 4, 0, 400, False, None, "zzzz", 8, "s4")],
+        "filename string, id int, gen int, place long, marked boolean, name string, head string, bytes long, sha256 string",
+    )
+    refs = ([("a", 1, 1, 7), ("a", 1, 2, 2), ("a", 1, 3, 4)], "filename string, id int, seq int, child int")
+    xref = ([("a", 0, 1, "n", 100), ("a", 0, 2, "n", 201), ("a", 0, 3, "n", 300), ("a", 0, 4, "n", 400), ("a", 1, 2, "n", 900), ("a", 1, 3, "f", 0), ("a", 2, 2, "f", 0)], "filename string, rev int, id int, flag string, place long")
+    got = literal(spark, lambda p: pdf.embeds(p, "o", "r", "x", 60), "source_revision, object_id, embed_name, media_type, sha256, omitted", o=objects, r=refs, x=xref)
+    assert sorted(got) == [
+        (0, "1 0", "x.txt", "application/pdf", "s2", None),
+        (0, "3 0", "embed-3", "application/octet-stream", "s3", None),
+        (1, "1 0", "x.txt", "application/zip", "s2b", "hosted-preview-cap"),
+        (2, "1 0", "x.txt", "text/plain", "s4", None),
+    ]
+
+
+def test_hosted_receipt_measures_the_output(spark):
+    from foliant.operators import reduce
+
+    schema = "image_id long, y long, x long, r double, g double, b double"
+    a = ([(1, 0, 0, 1.0, 1.0, 1.0), (1, 0, 1, 0.0, 0.0, 0.0)], schema)
+    b = ([(1, 0, 0, 0.0, 0.0, 0.0), (1, 0, 1, 1.0, 1.0, 1.0)], schema)
+    x = lambda hosted: literal(spark, lambda p: reduce.receipt(p, "a", "b", "zero", "page", True, "", hosted), "com_x", a=a, b=b)[0][0]
+    own = lambda t: literal(spark, lambda p: reduce.center(p, "t"), "com_x", t=t)[0][0]
+    assert (x(False), x(True)) == (own(a), own(b)) and x(False) != x(True)
