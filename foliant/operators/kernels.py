@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.constants import EPS, LUMA, WEIGHTS, paint
+from foliant.constants import EPS, LUMA, MODES, PAPERS, WEIGHTS, paint
 
 PACKED = "image_id long, height int, width int, r array<double>, g array<double>, b array<double>"
 SQRT2 = 1.414  # the distance's diagonal step
@@ -389,3 +389,26 @@ def encoded(images: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("image_id").slice(i, 1), pa.array([png.encode(_image(b, i))], pa.binary())], names=["image_id", "png"])
 
     return images.select("image_id", "height", "width", "r", "g", "b").mapInArrow(run, "image_id long, png binary").withColumn("sha256", F.sha2("png", 256))
+
+
+def batch(images: DataFrame, modes: tuple[str, ...] = tuple(MODES), to: str = "ink", inject: bool = True) -> DataFrame:
+    """(image_id, lens, png, sha256, receipt): every image through every mode to a target, one picture after another.
+
+    The receipt is JSON: lens, target, paper, inject flags, size and digest. Each image is read once for all modes.
+    """
+    from foliant.sources import png
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rgb, ids = _image(b, i), b.column("image_id").slice(i, 1)
+                for m in modes:
+                    out = target(lens(rgb, m, inject), to)
+                    columns = [ids, pa.array([m]), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[0]], pa.int32()), pa.array([png.encode(out)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["image_id", "lens", "width", "height", "png"])
+
+    papers = F.create_map(*(F.lit(x) for m in modes for x in (m, PAPERS[m])))
+    applied = F.lit(inject) & (F.col("lens") != "zero")
+    done = images.select("image_id", "height", "width", "r", "g", "b").mapInArrow(run, "image_id long, lens string, width int, height int, png binary").withColumn("sha256", F.sha2("png", 256))
+    fields = ("lens", F.lit(to).alias("target"), papers[F.col("lens")].alias("paper"), F.lit(inject).alias("inject"), applied.alias("inject_applied"), (F.lit(inject) & ~applied).alias("inject_ignored"), "width", "height", "sha256", F.lit(False).alias("invented"))
+    return done.select("image_id", "lens", "png", "sha256", F.to_json(F.struct(*fields)).alias("receipt"))

@@ -782,6 +782,12 @@ def png_round_trip(spark, sf_dir: str):
     return src.join(back, "image_id").select("image_id", "error", (worst <= 0.5 / 255 + 1e-12).alias("same"))
 
 
+@kernel
+def lens_batch(spark, sf_dir: str):
+    """Every image through all modes, with the receipts; sources.png.save writes the files."""
+    return kernels.batch(images(spark, sf_dir)).drop("png")
+
+
 @kernel
 def synthetic_receipts(spark, sf_dir: str):
     """The synthetic page through every lens."""

@@ -120,3 +120,29 @@ def encode(rgb: np.ndarray) -> bytes:
     rows = np.concatenate([np.zeros((height, 1), np.uint8), px.reshape(height, -1)], 1).tobytes()
     part = lambda k, p: struct.pack(">I", len(p)) + k + p + struct.pack(">I", zlib.crc32(k + p))
     return MAGIC + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def save(pictures, folder: str) -> None:
+    """Write each row (image_id, lens, png, receipt) to folder/lens/image_id.png, and its receipt beside it, from the executors.
+
+    The folder is one that all executors share. A file appears under its name when it is whole, so a task that is run
+    again replaces its files; rows of one name replace each other.
+    """
+
+    def run(rows) -> None:
+        import json
+        import os
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for r in rows:
+            place = f"{root}/{r.lens}"
+            system.create_dir(place, recursive=True)
+            for ending, body in ((".png", bytes(r.png)), (".json", (json.dumps(json.loads(r.receipt), indent=2, ensure_ascii=False) + "\n").encode())):
+                part = f"{place}/.{r.image_id}{ending}.{os.urandom(4).hex()}"
+                with system.open_output_stream(part) as out:
+                    out.write(body)
+                system.move(part, f"{place}/{r.image_id}{ending}")
+
+    pictures.select("image_id", "lens", "png", "receipt").foreachPartition(run)

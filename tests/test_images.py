@@ -246,3 +246,24 @@ def test_neighbourhoods_against_numpy(spark):
             best = min(best, d)
         assert w == 2 * best
     random.seed(0)
+
+
+def test_batch_writes_every_mode_beside_its_receipt(spark, tmp_path):
+    import hashlib
+    import json
+
+    from foliant.sources import png
+
+    rgb = np.random.default_rng(3).random((5, 7, 3))
+    done = kernels.batch(kernels.packed(page(spark, rgb)), to="page")
+    assert sorted(r.lens for r in done.select("lens").collect()) == sorted(MODES)
+    for _ in range(2):  # files are replaced
+        png.save(done, str(tmp_path))
+    for m in MODES:
+        assert sorted(f.name for f in (tmp_path / m).iterdir() if not f.name.startswith(".")) == ["0.json", "0.png"]
+        body, text = (tmp_path / m / "0.png").read_bytes(), (tmp_path / m / "0.json").read_text()
+        want = png.quantized(kernels.target(kernels.lens(rgb, m), "page"))
+        assert (np.rint(png.decode(body) * 255) == want).all()
+        receipt = json.loads(text)
+        assert text.endswith("}\n") and receipt["sha256"] == hashlib.sha256(body).hexdigest()
+        assert (receipt["lens"], receipt["target"], receipt["width"], receipt["height"], receipt["inject_ignored"]) == (m, "page", 7, 5, m == "zero")
