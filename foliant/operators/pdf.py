@@ -125,7 +125,10 @@ def previous(p: Plan, tables: str) -> str:
     The table at that place, else the nearest by place or startxref within XREF_WITHIN bytes, the earliest of equals;
     null if there is none. A pointer to the startxref word itself is not followed.
     """
-    spots = p.add("spots", f"SELECT filename, rev, place AS spot, 0 AS kind FROM {tables} UNION ALL SELECT filename, rev, startxref AS spot, 1 AS kind FROM {tables} WHERE startxref IS NOT NULL")
+    if p.d.name == "spark":  # one pass over the tables
+        spots = p.add("spots", f"SELECT filename, rev, spot, kind FROM {tables} LATERAL VIEW stack(2, CAST(place AS BIGINT), 0, CAST(startxref AS BIGINT), 1) e AS spot, kind WHERE spot IS NOT NULL")
+    else:
+        spots = p.add("spots", f"SELECT filename, rev, place AS spot, 0 AS kind FROM {tables} UNION ALL SELECT filename, rev, startxref AS spot, 1 AS kind FROM {tables} WHERE startxref IS NOT NULL")
     j = p.add(
         "prevs",
         f"""SELECT t.filename AS filename, t.rev AS rev, s.rev AS prev_rev, row_number() OVER (PARTITION BY t.filename, t.rev ORDER BY CASE WHEN s.kind = 0 AND s.spot = t.prev THEN 0 ELSE 1 END, abs(s.spot - t.prev), s.rev, s.kind) AS k
@@ -134,12 +137,33 @@ def previous(p: Plan, tables: str) -> str:
     return p.add("previous", f"SELECT t.filename AS filename, t.rev AS rev, t.prev AS prev, j.prev_rev AS prev_rev FROM {tables} t LEFT JOIN {j} j ON t.filename = j.filename AND t.rev = j.rev AND j.k = 1")
 
 
+def _chain_in_arrays(p: Plan, prevs: str, block: int = 1000) -> str:
+    """chain() with one array a file. Places seen are kept by blocks of steps, so that long files are not copied at each step.
+
+    Values used more than once are bound by a lambda: Spark copies a column's expression to where it is used, and would
+    compute it at each step.
+    """
+    let = lambda name, x, body: f"transform(array({x}), {name} -> {body})[0]"
+    state = "named_struct('at', {}, 'seen', {})".format
+    place = lambda x: f"CASE WHEN dense THEN {x} - lo + 1 ELSE CAST(array_position(revs, {x}) AS INT) END"
+    inner = f"aggregate(sequence(1, least({block}, size(t) - b * {block})), {state('s.at', 'CAST(array() AS ARRAY<INT>)')}, (u, i) -> CASE WHEN u.at IS NULL THEN u ELSE {state('nexts[u.at - 1]', 'array_append(u.seen, u.at)')} END)"
+    walk = f"aggregate(sequence(0, (size(t) - 1) div {block}), {state(place('array_max(revs)'), 'CAST(array() AS ARRAY<ARRAY<INT>>)')}, (s, b) -> CASE WHEN s.at IS NULL THEN s ELSE {let('c', inner, state('c.at', 'array_append(s.seen, c.seen)'))} END, s -> flatten(s.seen))"
+    rows = "transform(CASE WHEN walked THEN reverse(seen) ELSE sequence(1, size(t)) END, (at, i) -> named_struct('rev', revs[at - 1], 'node', i, 'walked', walked))"
+    body = let("seen", walk, let("walked", "size(array_distinct(seen)) = size(t)", rows))
+    body = let("lo", "array_min(revs)", let("dense", "array_max(revs) - lo = size(t) - 1 AND size(array_distinct(revs)) = size(t) AND revs[0] IS NOT NULL", let("nexts", f"transform(t, x -> {place('x.prev_rev')})", body)))
+    f = p.add("files", f"SELECT filename, collect_list(struct(rev, prev_rev)) AS tables FROM {prevs} GROUP BY filename")
+    return p.add("chain", f"SELECT filename, rev, node, walked FROM {f} LATERAL VIEW inline({let('t', 'sort_array(tables)', let('revs', 't.rev', body))}) e AS rev, node, walked")
+
+
 def chain(p: Plan, prevs: str) -> str:
     """(filename, rev, node, walked): a file's revisions in order, from previous(); the tip is the last one.
 
     The chain of /Prev from the tip, reversed; all tables in their order if the chain misses some. A file's walk has as
-    many steps as it has tables at most, so a loop of pointers ends.
+    many steps as it has tables at most, so a loop of pointers ends. Spark walks each file in an array, as its recursion
+    stops at a million rows in all and at 100 steps.
     """
+    if p.d.name == "spark":
+        return _chain_in_arrays(p, prevs)
     p.recursive = True
     n = p.add("n", f"SELECT filename, max(rev) AS tip, count(*) AS tables FROM {prevs} GROUP BY filename")
     walk = p.add("walk", "")

@@ -75,6 +75,16 @@ def test_revision_chain_follows_prev_from_the_tip(spark):
     assert sorted(got) == [("a", 0, 0, True), ("a", 1, 1, True), ("a", 2, 2, True), ("b", 0, 0, False), ("b", 1, 1, False), ("b", 2, 2, False), ("c", 0, 0, True), ("c", 1, 1, True)]
 
 
+def test_revision_chain_of_a_long_file(spark):
+    from foliant.operators import pdf
+
+    prevs = [("long", r, r - 1 if r else None) for r in range(2500)] + [("loop", 0, 1), ("loop", 1, 0), ("loop", 2, 1)] + [("gaps", 3, None), ("gaps", 10, 3), ("gaps", 12, 10), ("order", 0, 1), ("order", 1, None), ("order", 2, 0)]
+    got = literal(spark, lambda p: pdf.chain(p, "v"), "filename, node, rev, walked", v=(prevs, "filename string, rev int, prev_rev int"))
+    want = [("long", r, r, True) for r in range(2500)] + [("loop", r, r, True) for r in range(3)]
+    want += [("gaps", 0, 3, True), ("gaps", 1, 10, True), ("gaps", 2, 12, True), ("order", 0, 1, True), ("order", 1, 0, True), ("order", 2, 2, True)]
+    assert sorted(got) == sorted(want)
+
+
 def test_revision_edges_by_hand(spark):
     from foliant.operators import pdf
 
