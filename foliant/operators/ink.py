@@ -10,6 +10,8 @@ from foliant.operators import neighbour as nb
 from foliant.plans.sql import Plan, as_frame
 
 MIN_INK = 0.004
+#: Places of an image in one order: rows are this far apart.
+STRIDE = 1 << 32
 
 
 def mask(p: Plan, src: str, interpolated: bool = False) -> str:
@@ -22,20 +24,79 @@ def mask(p: Plan, src: str, interpolated: bool = False) -> str:
     return p.add("ink", f"SELECT s.image_id AS image_id, y, x, l, paper FROM {src} s JOIN {q} q ON s.image_id = q.image_id WHERE l < greatest(0.08e0, paper - 0.16e0)")
 
 
+def _hood(p: Plan, src: str) -> str:
+    """src with the image's size and paper, is_ink, 3 x 3 mean m, Sobel gx, gy, mag and beside (ink among four neighbours).
+
+    Windows over places in one order an image, so that pixels are shuffled by image only; a missing place adds nothing.
+    """
+    a = p.add("at", f"SELECT image_id, y, x, l, CAST(y AS BIGINT) * {STRIDE} + x AS pos, max(y) OVER (PARTITION BY image_id) AS y1, max(x) OVER (PARTITION BY image_id) AS x1, count(*) OVER (PARTITION BY image_id) AS n FROM {src}")
+    k = p.add("rank", f"SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY l) AS k FROM {a}")
+    q = p.add("paper", f"SELECT *, max(CASE WHEN k = least(floor(n * 0.88e0) + 1, n) THEN l END) OVER (PARTITION BY image_id) AS paper FROM {k}")
+    i = p.add("isink", f"SELECT image_id, y, x, l, pos, y1, x1, n, paper, coalesce(l < greatest(0.08e0, paper - 0.16e0), false) AS is_ink FROM {q}")
+
+    def seen(what: str, dy: int, dx: int) -> str:
+        to = dy * STRIDE + dx
+        side = f"{abs(to)} {'PRECEDING' if to < 0 else 'FOLLOWING'}"
+        return f"max({what}) OVER (PARTITION BY image_id ORDER BY pos RANGE BETWEEN {side} AND {side})"
+
+    name = lambda dy, dx: f"l{dy + 1}{dx + 1}"
+    around = [d for d in nb.RING if d != (0, 0)]
+    beside = " OR ".join(f"coalesce({seen('is_ink', *d)}, false)" for d in ((-1, 0), (1, 0), (0, -1), (0, 1)))
+    h = p.add("hood", f"SELECT *, l AS l11, {', '.join(f'{seen("l", *d)} AS {name(*d)}' for d in around)}, {beside} AS beside FROM {i}")
+
+    def inside(dy: int, dx: int) -> str:
+        """The neighbour, or what is next to it on the border."""
+        if not dy and not dx:
+            return "l11"
+        out = " ".join(f"WHEN {' AND '.join(t for t in (v, w) if t)} THEN {name(0 if v else dy, 0 if w else dx)}" for v, w in (
+            (f"y = {'y1' if dy > 0 else 0}" if dy else "", f"x = {'x1' if dx > 0 else 0}" if dx else ""), (f"y = {'y1' if dy > 0 else 0}" if dy else "", ""), ("", f"x = {'x1' if dx > 0 else 0}" if dx else ""),
+        ) if v or w)
+        return f"(CASE {out} ELSE {name(dy, dx)} END)"
+
+    slope = lambda kernel: " + ".join(f"coalesce({inside(*d)} * {w}e0, 0e0)" for d, w in kernel.items())
+    total, number = " + ".join(f"coalesce({name(*d)}, 0e0)" for d in nb.RING), " + ".join(f"CASE WHEN {name(*d)} IS NULL THEN 0 ELSE 1 END" for d in nb.RING)
+    g = p.add("slopes", f"SELECT image_id, y, x, l, y1, x1, n, paper, is_ink, beside, ({total}) / ({number}) AS m, {slope(nb.SOBEL_X)} AS gx, {slope(nb.SOBEL_Y)} AS gy FROM {h}")
+    return p.add("hoods", f"SELECT *, CASE WHEN y = 0 OR x = 0 OR y = y1 OR x = x1 THEN 0e0 ELSE sqrt(gx * gx + gy * gy) END AS mag FROM {g}")
+
+
+def _parts(p: Plan, src: str) -> tuple[str, str, str]:
+    """For features(): images with size, bleed and erasure; ink with width, wobble and angle; ink."""
+    h = _hood(p, src)
+    bright, ghost = "NOT is_ink AND l > least(0.97e0, paper + 0.04e0)", "NOT is_ink AND l > 0.55e0 AND l < 0.78e0 AND mag > 0.08e0"
+    box = ", ".join(f"CASE WHEN bool_or(is_ink) THEN {f}(CASE WHEN {bright} THEN {c} END) END AS {a}" for f, c, a in (("min", "x", "bx0"), ("min", "y", "by0"), ("max", "x", "bx1"), ("max", "y", "by1")))
+    size = p.add(
+        "size",
+        f"""SELECT image_id, max(y1) AS y1, max(x1) AS x1, count(*) AS n, avg(CASE WHEN l < 0.12e0 THEN 1e0 ELSE 0e0 END) AS dark_frac,
+        avg(CASE WHEN beside AND NOT is_ink AND y BETWEEN 1 AND y1 - 1 AND x BETWEEN 1 AND x1 - 1 THEN mag END) AS bleed,
+        CASE WHEN bool_or(is_ink) THEN count(CASE WHEN {bright} THEN 1 END) END AS bright, CASE WHEN bool_or(is_ink) THEN count(CASE WHEN {ghost} THEN 1 END) END AS ghost, {box} FROM {h} GROUP BY image_id""",
+    )
+    ink = p.add("ink", f"SELECT image_id, y, x, l, abs(l - m) AS wobble, atan2(round(gy, 9) + 0e0, round(gx, 9) + 1e-6) AS rad FROM {h} WHERE is_ink")
+    run = ink
+    for along, other in (("x", "y"), ("y", "x")):
+        g = p.add("isl", f"SELECT *, {along} - row_number() OVER (PARTITION BY image_id, {other} ORDER BY {along}) AS grp FROM {run}")
+        part = f"OVER (PARTITION BY image_id, {other}, grp)"
+        run = p.add("run", f"SELECT * EXCEPT (grp), least({along} - min({along}) {part}, max({along}) {part} - {along}) + 1 AS d{along} FROM {g}")
+    px = p.add("inkpx", f"SELECT *, 2e0 * least(dx, dy, 8) AS width, degrees(rad) AS angle FROM {run}")
+    return size, px, ink
+
+
 def features(p: Plan, src: str) -> str:
     """One row an image with all native features; features of ink are null where there is none."""
-    size = p.add("size", f"SELECT image_id, max(y) AS y1, max(x) AS x1, count(*) AS n, avg(CASE WHEN l < 0.12e0 THEN 1e0 ELSE 0e0 END) AS dark_frac FROM {src} GROUP BY image_id")
-    ink = mask(p, src)
-    at = p.add("inkat", f"SELECT image_id, y, x FROM {ink}")
-    w = nb.width(p, at)
-    g, g0, box = nb.sobel(p, src), nb.sobel(p, src, replicate=False), nb.box_mean(p, src)
-    ring = nb.ring(p, at)
-    on = lambda a, b: f"{a}.image_id = {b}.image_id AND {a}.y = {b}.y AND {a}.x = {b}.x"
-    px = p.add(
-        "inkpx",
-        f"""SELECT i.image_id AS image_id, i.y AS y, i.x AS x, i.l AS l, width, abs(i.l - m) AS wobble, degrees(atan2(round(gy, 9) + 0e0, round(gx, 9) + 1e-6)) AS angle, atan2(round(gy, 9) + 0e0, round(gx, 9) + 1e-6) AS rad
+    if spark := p.d.name == "spark":
+        (size, px, ink), own = _parts(p, src), ()
+    else:
+        size = p.add("size", f"SELECT image_id, max(y) AS y1, max(x) AS x1, count(*) AS n, avg(CASE WHEN l < 0.12e0 THEN 1e0 ELSE 0e0 END) AS dark_frac FROM {src} GROUP BY image_id")
+        ink = mask(p, src)
+        at = p.add("inkat", f"SELECT image_id, y, x FROM {ink}")
+        w = nb.width(p, at)
+        g, g0, box = nb.sobel(p, src), nb.sobel(p, src, replicate=False), nb.box_mean(p, src)
+        ring = nb.ring(p, at)
+        on = lambda a, b: f"{a}.image_id = {b}.image_id AND {a}.y = {b}.y AND {a}.x = {b}.x"
+        px = p.add(
+            "inkpx",
+            f"""SELECT i.image_id AS image_id, i.y AS y, i.x AS x, i.l AS l, width, abs(i.l - m) AS wobble, degrees(atan2(round(gy, 9) + 0e0, round(gx, 9) + 1e-6)) AS angle, atan2(round(gy, 9) + 0e0, round(gx, 9) + 1e-6) AS rad
         FROM {ink} i JOIN {w} w ON {on('i', 'w')} JOIN {g} g ON {on('i', 'g')} JOIN {box} x ON {on('i', 'x')}""",
-    )
+        )
     agg = p.add(
         "inkagg",
         f"""SELECT image_id, count(*) AS ink_pixels, avg(width) AS weight_mean, stddev_pop(width) AS weight_std, max(width) - min(width) AS taper, avg(1e0 - l) AS density, avg(wobble) AS tremor,
@@ -43,18 +104,20 @@ def features(p: Plan, src: str) -> str:
     )
     rows = p.add("rows", f"SELECT image_id, {p.d.idiv('y', '4')} AS band, avg(y) AS c FROM {ink} GROUP BY 1, 2 HAVING count(*) > 6")
     drift = p.add("drift", f"SELECT image_id, stddev_pop(c) AS drift FROM {rows} GROUP BY image_id HAVING count(*) >= 3")
-    bleed = p.add(
-        "bleed",
-        f"""SELECT r.image_id AS image_id, avg(mag) AS bleed FROM {ring} r JOIN {g0} g ON {on('r', 'g')} JOIN {size} z ON r.image_id = z.image_id
+    if not spark:
+        bleed = p.add(
+            "bleed",
+            f"""SELECT r.image_id AS image_id, avg(mag) AS bleed FROM {ring} r JOIN {g0} g ON {on('r', 'g')} JOIN {size} z ON r.image_id = z.image_id
         WHERE r.y BETWEEN 1 AND y1 - 1 AND r.x BETWEEN 1 AND x1 - 1 GROUP BY r.image_id""",
-    )
-    off = p.add("off", f"SELECT g.*, paper FROM {g0} g JOIN (SELECT DISTINCT image_id, paper FROM {ink}) q ON g.image_id = q.image_id LEFT JOIN {at} i ON {on('g', 'i')} WHERE i.x IS NULL")
-    bright, ghost = "l > least(0.97e0, paper + 0.04e0)", "l > 0.55e0 AND l < 0.78e0 AND mag > 0.08e0"
-    erased = p.add("erased", f"SELECT image_id, count(CASE WHEN {bright} THEN 1 END) AS bright, count(CASE WHEN {ghost} THEN 1 END) AS ghost, min(CASE WHEN {bright} THEN x END) AS bx0, min(CASE WHEN {bright} THEN y END) AS by0, max(CASE WHEN {bright} THEN x END) AS bx1, max(CASE WHEN {bright} THEN y END) AS by1 FROM {off} GROUP BY image_id")
+        )
+        off = p.add("off", f"SELECT g.*, paper FROM {g0} g JOIN (SELECT DISTINCT image_id, paper FROM {ink}) q ON g.image_id = q.image_id LEFT JOIN {at} i ON {on('g', 'i')} WHERE i.x IS NULL")
+        bright, ghost = "l > least(0.97e0, paper + 0.04e0)", "l > 0.55e0 AND l < 0.78e0 AND mag > 0.08e0"
+        erased = p.add("erased", f"SELECT image_id, count(CASE WHEN {bright} THEN 1 END) AS bright, count(CASE WHEN {ghost} THEN 1 END) AS ghost, min(CASE WHEN {bright} THEN x END) AS bx0, min(CASE WHEN {bright} THEN y END) AS by0, max(CASE WHEN {bright} THEN x END) AS bx1, max(CASE WHEN {bright} THEN y END) AS by1 FROM {off} GROUP BY image_id")
+        own = (bleed, erased)
     tiles = p.add("tiles", f"SELECT image_id, stddev_pop(l) AS s FROM {src} GROUP BY image_id, {p.d.idiv('y', '8')}, {p.d.idiv('x', '8')} HAVING count(*) = 64")
     spread = p.add("spread", f"SELECT image_id, stddev_pop(s) AS block_std FROM {tiles} GROUP BY image_id")
     cl = p.add("ncl", f"SELECT image_id, count(*) AS clones FROM {nb.clones(p, src, first_only=False)} GROUP BY image_id")
-    join = " ".join(f"LEFT JOIN {t} ON z.image_id = {t}.image_id" for t in (agg, drift, bleed, erased, spread, cl))
+    join = " ".join(f"LEFT JOIN {t} ON z.image_id = {t}.image_id" for t in (agg, drift, *own, spread, cl))
     return p.add(
         "features",
         f"""SELECT z.image_id AS image_id, x1 + 1 AS width, y1 + 1 AS height, n AS pixels, coalesce(ink_pixels, 0) AS ink_pixels, coalesce(ink_pixels, 0) * 1e0 / n AS ink_frac, weight_mean, weight_std,

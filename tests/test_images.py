@@ -267,3 +267,32 @@ def test_batch_writes_every_mode_beside_its_receipt(spark, tmp_path):
         receipt = json.loads(text)
         assert text.endswith("}\n") and receipt["sha256"] == hashlib.sha256(body).hexdigest()
         assert (receipt["lens"], receipt["target"], receipt["width"], receipt["height"], receipt["inject_ignored"]) == (m, "page", 7, 5, m == "zero")
+
+
+def test_ink_features_shuffle_pixels_by_image_only(spark):
+    """Every exchange of pixels is by image: places are looked up in windows."""
+    px = spark.createDataFrame([(1, 0, 0, 0.1)], "image_id long, y int, x int, l double")
+    plan = ink.ink_features(px)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join " in line]
+    assert joins and not [line for line in joins if "y#" in line and "x#" in line]
+
+
+def test_ink_features_of_small_and_torn_images(spark):
+    """One row, one column, missing pixels and an image without ink, against the plan of joins in DuckDB."""
+    from foliant.plans.sql import DUCK, SPARK, Plan
+
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(5)
+    rows = [(i, y, x, float(rng.choice([0.05, 0.3, 0.6, 0.7, 0.9, 0.99]))) for i, (h, w) in enumerate([(1, 9), (9, 1), (24, 24), (17, 30), (2, 2)]) for y in range(h) for x in range(w) if i != 3 or rng.random() < 0.8]
+    rows += [(9, y, x, 0.9) for y in range(8) for x in range(8)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src (image_id BIGINT, y INT, x INT, l DOUBLE)")
+    con.executemany("INSERT INTO src VALUES (?, ?, ?, ?)", rows)
+    p = Plan(DUCK)
+    want = con.execute(p.text(ink.features(p, "src"))).fetchall()
+    p = Plan(SPARK)
+    got = p.frame(spark, ink.features(p, "src"), src=spark.createDataFrame(rows, "image_id long, y int, x int, l double")).collect()
+    assert len(got) == len(want) == 6
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        for c, u, v in zip(got[0].__fields__, a, b, strict=True):
+            assert u == v or (isinstance(u, float) and abs(u - v) < 1e-9), (a[0], c, u, v)
