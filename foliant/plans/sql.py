@@ -27,7 +27,17 @@ class Spark:
         return f"percentile({x}, {q})"
 
     def half_even(self, x: str, n: int) -> str:
-        return f"bround({x}, {n})"
+        """As DuckDB's round_even: of the product in doubles, which bround's decimals tell from a tie in other places."""
+        return f"(rint(({x}) * 1e{n}) / 1e{n})"
+
+    def mean(self, x: str) -> str:
+        """The mean of doubles, the same in any order of rows: an exact sum to 20 digits unless values are huge or not numbers."""
+        return f"CASE WHEN min({x}) >= -1e12 AND max({x}) <= 1e12 THEN CAST(sum(try_cast({x} AS DECIMAL(38, 20))) / count({x}) AS DOUBLE) ELSE avg({x}) END"
+
+    def spread(self, x: str) -> str:
+        """The population deviation of whole numbers, the same in any order of rows: from exact sums."""
+        whole = f"CAST({x} AS DECIMAL(19, 0))"
+        return f"(sqrt(CAST(CAST(count({x}) AS DECIMAL(38, 0)) * CAST(sum({whole} * {whole}) AS DECIMAL(38, 0)) - CAST(sum({whole}) AS DECIMAL(38, 0)) * CAST(sum({whole}) AS DECIMAL(38, 0)) AS DOUBLE)) / count({x}))"
 
     def pmod(self, x: str, n: str) -> str:
         return f"pmod({x}, {n})"
@@ -123,6 +133,12 @@ class Duck(Spark):
     def half_even(self, x, n):
         return f"round_even({x}, {n})"
 
+    def mean(self, x):
+        return f"avg({x})"
+
+    def spread(self, x):
+        return f"stddev_pop({x})"
+
     def pmod(self, x, n):
         return f"((({x}) % ({n})) + ({n})) % ({n})"
 

@@ -248,7 +248,7 @@ def stroke_edges(p: Plan):
 @query("orders")
 def stroke_indicators(p: Plan):
     """Rules over strokes: pen lifts, style shifts, two inks."""
-    f = p.add("facts", "SELECT o_custkey AS image_id, count(*) AS components, min(o_orderkey % 9) / 2e0 AS aspect_min, max(o_orderkey % 9) / 1e0 AS aspect_max, avg(o_totalprice) / 2000000e0 AS sat_mean, stddev_pop(o_orderkey % 101) AS hue_std FROM orders GROUP BY o_custkey")
+    f = p.add("facts", f"SELECT o_custkey AS image_id, count(*) AS components, min(o_orderkey % 9) / 2e0 AS aspect_min, max(o_orderkey % 9) / 1e0 AS aspect_max, {p.d.mean('o_totalprice')} / 2000000e0 AS sat_mean, {p.d.spread('o_orderkey % 101')} AS hue_std FROM orders GROUP BY o_custkey")
     return ink.stroke_indicators(p, f), "*"
 
 

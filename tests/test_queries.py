@@ -85,6 +85,27 @@ def test_revision_chain_of_a_long_file(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_half_even_rounds_as_duckdb(spark, duck):
+    from foliant.plans.sql import DUCK, SPARK
+
+    ties = "SELECT id, (id + 0.5e0) / 1000e0 AS x FROM "
+    got = spark.sql(f"SELECT id, {SPARK.half_even('x', 3)} AS x FROM ({ties} range(0, 1000)) t").collect()
+    assert [tuple(r) for r in got] == duck.execute(f"SELECT id, {DUCK.half_even('x', 3)} FROM ({ties} (SELECT range AS id FROM range(0, 1000)) r) t ORDER BY id").fetchall()
+
+
+def test_deviation_of_whole_numbers_is_exact_in_any_order(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.plans.sql import SPARK
+
+    rows = [(g, x) for g in range(40) for x in (g, g + 56, g + 14, g + 14 + 56, g + 5, g + 61)]
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "g long, x long").orderBy(F.rand(parts)).repartition(parts)
+        got = df.groupBy("g").agg(F.expr(SPARK.spread("x")).alias("s"), F.expr(SPARK.mean("x / 10e0")).alias("m")).collect()
+        assert {r.s for r in got} == {math.sqrt(6 * sum(x * x for x in (0, 56, 14, 70, 5, 61)) - 206**2) / 6}
+        assert {r.g: r.m for r in got} == {g: (6 * g + 206) / 60 for g in range(40)}
+
+
 def test_revision_edges_by_hand(spark):
     from foliant.operators import pdf
 
