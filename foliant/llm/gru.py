@@ -68,7 +68,7 @@ class Gru:
         n, un = self.hidden, self.p["un"]
         steps, lanes = inputs.shape
         gates = np.stack([self.p["uzr"][:, :n], self.p["uzr"][:, n:]])
-        a = np.ascontiguousarray(self.p["x"][inputs].reshape(steps, lanes, 3, n).transpose(2, 0, 1, 3))
+        a = np.take(self.p["x"].reshape(-1, 3, n).transpose(1, 0, 2).copy(), inputs, axis=1)
         out, whole = np.empty((steps, lanes, n), h.dtype), keep.all(1)
         for t in range(steps):
             if not whole[t]:
@@ -100,28 +100,31 @@ class Gru:
         rows = np.arange(n)
         lc = h @ p["wc"]  # states are within -1..1 and log shares below 0: no exponential overflows
         lc += p["bc"]
-        at = lc[rows, cls]
+        mine = rows * self.classes + cls  # where each row's class stands
+        at = lc.ravel().take(mine)
         np.exp(lc, lc)
         s = lc @ np.ones(self.classes, lc.dtype)
         logp = at - np.log(s)
+        own = rows * CLASS
         starts, one = np.searchsorted(cls, np.arange(self.classes + 1)), np.ones(CLASS, lc.dtype)
         if grad:
             lc *= (1 / (s * n))[:, None]
-            lc[rows, cls] -= 1 / n
+            lc.ravel()[mine] -= 1 / n
             g = {"wc": h.T @ lc, "bc": np.ones(n, lc.dtype) @ lc, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
             dh = lc @ p["wc"].T
         for c in np.flatnonzero(np.diff(starts)):
             i = slice(starts[c], starts[c + 1])
             lo = h[i] @ p["wo"][c]
             lo += p["bo"][c]
-            k = rows[: len(lo)]
-            at = lo[k, within[i]]
+            k = own[i] - own[starts[c]]
+            k += within[i]
+            at = lo.ravel().take(k)
             np.exp(lo, lo)
             s = lo @ one
             logp[i] += at - np.log(s)
             if grad:
                 lo *= (1 / (s * n))[:, None]
-                lo[k, within[i]] -= 1 / n
+                lo.ravel()[k] -= 1 / n
                 np.matmul(h[i].T, lo, g["wo"][c])
                 g["bo"][c] = np.ones(len(lo), lo.dtype) @ lo
                 dh[i] += lo @ p["wo"][c].T
@@ -175,7 +178,7 @@ class Gru:
         order = sorted_places(inputs.ravel(), self.size)
         rows = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g["x"] = (rows[first], np.concatenate([np.add.reduceat(d[order], first, axis=0) for d in flat_da], 1))
+        g["x"] = (rows[first], np.add.reduceat(flat_da.take(order, axis=1).transpose(1, 0, 2).reshape(-1, 3 * n), first, axis=0))
         return g, hs[-1]
 
 
@@ -232,6 +235,14 @@ def windows(docs: Iterable[np.ndarray], start: int, most: int = LANES) -> Iterat
         keep, real = np.ones((len(held), WINDOW), f32), np.ones((len(held), WINDOW), bool)
         going = []
         for k, lane in enumerate(held):
+            d, p, i = lane
+            to = p + WINDOW
+            if p and to <= len(d):  # the window lies within the lane's document
+                y[k] = d[p:to]
+                owner[k] = i
+                lane[1] = to
+                going.append(k)
+                continue
             at = 0
             while at < WINDOW:
                 d, p, i = lane

@@ -783,3 +783,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(range(60)) - set(out.index) == {6, 7} and 60 not in out.index
     assert "bench" not in out.text[3] and "abcdefghijkl" not in out.text[4] and out.text[8] == texts[8]
     assert (out.n_tokens == out.ids.map(len)).all() and set(out.kept) == set(out["Items"]) == set(out.ids_before) == set(out._text) == {"own"}
+
+
+def test_windows_that_lie_within_a_document_are_as_those_that_do_not():
+    """Every token comes once, in order, after its predecessor, whatever the length of a document is to the window."""
+    from foliant.llm import gru
+
+    docs = [np.arange(1, 1 + n, dtype=np.int32) + 1000 * k for k, n in enumerate([1, 31, 32, 33, 64, 65, 96, 200, 7])]
+    for most in (1, 2, 4):
+        got = {k: [] for k in range(len(docs))}
+        for x, keep, y, real, owner, _ in gru.windows(iter(docs), 0, most):
+            for lane in range(x.shape[1]):
+                for t in np.flatnonzero(real[:, lane]):
+                    k = int(owner[t, lane])
+                    assert x[t, lane] == (got[k][-1] if got[k] else 0) and keep[t, lane] == bool(got[k])
+                    got[k].append(int(y[t, lane]))
+        assert got == {k: d.tolist() for k, d in enumerate(docs)}
