@@ -497,6 +497,45 @@ def test_lm_steps_on_every_token(spark, monkeypatch):
     assert seen == [lex.total, lex.total]  # seed pass, then all documents
 
 
+def test_lm_encodes_as_words_one_by_one(spark, docs):
+    import pyarrow as pa
+
+    odd = [None, "", " \n\t ", "a", " A b", "É ÀZ ", "x\x0by\x0c\r\nz\x1cq\x85 \u2003 w", "\x00 n", "tie tie " * 40, "9" * 5000, "\u2003"]
+    raw = [(t or "").encode() for t in odd] + [b"\xff\xc3 A\xe9 b"]
+    offsets = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+    broken = pa.Array.from_buffers(pa.string(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(raw))])  # not all UTF-8
+    for column, want in ((pa.array(odd), raw[:-1]), (broken, raw), (broken.slice(3, 5), raw[3:8]), (pa.array([None, ""], pa.string()), [b"", b""])):
+        words, n = op8_lm.split(column)
+        assert words.cast(pa.binary()).to_pylist() == [w for t in want for w in t.lower().split()]
+        assert n.tolist() == [len(t.split()) for t in want]
+        assert op8_lm.endings(words).tolist() == [zlib.crc32(w[-2:]) % op8_lm.ENDINGS for w in words.cast(pa.binary()).to_pylist()]
+    counted = op8_lm.word_counts(docs, 50)  # summed and sent on many times
+    tok = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    assert dict(counted.collect()) == Counter(w for r in corpus() for w in tok(r[1]))
+    lex, _ = op8_lm.lexicon(op8_lm.stored(counted, "words"), 20)
+    frequent = lex.words.to_pylist()
+    for r in op8_lm.encoded(docs, lex).join(docs.selectExpr("xxhash64(doc_id, text) _key", "text").distinct(), "_key").collect():
+        words = tok(r.text)
+        rare = [w for w in words if w not in frequent]
+        assert np.frombuffer(r.ids, op8_lm.IDS).tolist() == [lex.id[frequent.index(w)] if w in frequent else lex.class_id[op8_lm.ending(w)] for w in words]
+        assert (r.n_tokens, r.frequent) == (len(words), len(words) - len(rare))
+        assert dict(zip(map(bytes, r.words), r["counts"], strict=True)) == Counter(rare) and len(r.words) == len(set(rare))
+
+
+def test_lm_splits_texts_twice(spark, tmp_path, monkeypatch):
+    """Once for the counts and once for ids, which training and scoring share: each pass over the words cost CPU time."""
+    read, stored = [], op8_lm.stored
+
+    def seen(df, what):
+        read.append((what, "text" in df._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(df, what)
+
+    monkeypatch.setattr(op8_lm, "stored", seen)
+    pd.DataFrame({"doc_id": [1, 2, 3], "text": ["a b", None, "a c"]}).to_parquet(tmp_path / "documents.parquet")
+    assert op8_lm.op8_lm_scoring(spark, str(tmp_path)).count() == 3
+    assert [what for what, texts in read if texts] == ["words", "encoded"]
+
+
 def scalar_likelihood(m, d, start):
     """The forward pass one number at a time."""
     p = {k: v.astype(float).tolist() for k, v in m.p.items()}
